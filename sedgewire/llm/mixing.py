@@ -3,7 +3,7 @@
 Each document has a fixed 60-bit hash. A source's budget beyond whole passes is met by the
 documents below a threshold of that hash. Sizes are summed by source and 4096 hash buckets; the bucket
 in which the running sum crosses the budget is refined by the next 12 bits of the hash, over its
-documents alone, until it is empty or one hash is left. Nothing is sorted but the buckets of a source.
+documents alone, until one hash is left. Nothing is sorted but the buckets of a source.
 """
 
 from __future__ import annotations
@@ -72,8 +72,9 @@ def thresholds(sizes: DataFrame, targets: DataFrame) -> DataFrame:
         filled = buckets.withColumn("upto", running)
         known = broadcast_if_small(state.select(F.col("source").alias("s"), "rest"))
         over = filled.join(known, filled.source.eqNullSafe(known.s)).where(F.col("upto") > F.col("rest"))
-        edge = over.groupBy("source").agg(F.min(F.struct("prefix", (F.col("rest") - F.col("upto") + F.col("size")).alias("rest"))).alias("e"))
-        state = checkpointed(edge.select("source", "e.rest", "e.prefix"))
+        edge = over.groupBy("source").agg(F.min(F.struct("prefix", (F.col("rest") - F.col("upto") + F.col("size")).alias("rest"), "size")).alias("e"))
+        last = F.lit(int(level == _LEVELS - 1))  # one hash is left: its documents are taken if that comes nearer to the budget
+        state = checkpointed(edge.select("source", "e.rest", (F.col("e.prefix") + F.when(F.col("e.size") < 2 * F.col("e.rest"), last).otherwise(0)).alias("prefix")))
         done = state.select("source", F.shiftleft("prefix", shift).alias("threshold")) if done is None else _newer(done, state, shift)
         done = checkpointed(done)
         if level == _LEVELS - 1 or state.isEmpty():
@@ -93,8 +94,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5,
     """docs with size, source_size, target and copies: how often the mix takes the document (0 to `most`).
 
     Null texts have size 0; null is a source like any other, after all others. Rows that repeat an id share their
-    fate. A document whose size alone exceeds what is left of its source's budget is not taken for
-    it. An empty table gives an empty result. Columns of docs with the added names are replaced.
+    fate. The document that crosses the budget is taken if the sum then comes nearer to it. An empty table gives an empty result. Columns of docs with the added names are replaced.
     """
     docs = without_columns(docs, "size", "source_size", "target", "copies")
     sized = docs.withColumn("size", word_count(F.col("text"))).withColumn("h", mix_hash(F.col("doc_id")))
@@ -127,7 +127,8 @@ t AS (SELECT *, least(coalesce(max(level) FILTER (level <= ratio) OVER () * weig
 p AS (SELECT source, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS passes FROM t),
 c AS (
   SELECT d.doc_id, d.size, p.source_size, p.target, p.passes, p.target - p.passes * p.source_size AS rest,
-    sum(d.size) OVER (PARTITION BY d.source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+    sum(d.size) OVER (PARTITION BY d.source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
+    sum(d.size) OVER (PARTITION BY d.source, h) AS own
   FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
-SELECT doc_id, size::BIGINT AS size, source_size, target, (size * (passes + CASE WHEN upto <= rest THEN 1 ELSE 0 END))::BIGINT AS taken FROM c
+SELECT doc_id, size::BIGINT AS size, source_size, target, (size * (passes + CASE WHEN upto <= rest OR (upto - own <= rest AND own < 2 * (rest - (upto - own))) THEN 1 ELSE 0 END))::BIGINT AS taken FROM c
 """
