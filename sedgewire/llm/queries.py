@@ -9,7 +9,17 @@ from pyspark.sql import functions as F
 
 from sedgewire.llm import line_dedup, mixing
 from sedgewire.llm.common import read_table
+from sedgewire.llm.embedding_groups import embedding_groups
 from sedgewire.llm.near_duplicates import near_duplicate_groups
+from sedgewire.llm.transport_stream import media_digests
+
+
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digests(read_table(spark, sf_dir, "documents"))
+
+
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_groups(read_table(spark, sf_dir, "embeddings"), cosine=0.93)
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +40,8 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_mixing": op2_mixing,
+    "op3_media_columns": op3_media_columns,
+    "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
 }
 
