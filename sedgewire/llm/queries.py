@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedgewire.llm import line_dedup, mixing
+from sedgewire.llm import byte_bpe, language_id, line_dedup, mixing
 from sedgewire.llm.common import read_table
 from sedgewire.llm.embedding_groups import embedding_groups
 from sedgewire.llm.near_duplicates import near_duplicate_groups
@@ -37,12 +38,25 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe.token_digests(read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    told = language_id.identify(docs.select("doc_id", "text"), language_id.fit_on(docs))
+    return told.select("doc_id", language_id.held_out(F.col("doc_id"), 3, 1).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_ambiguous").alias("ambiguous"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_mixing": op2_mixing,
     "op3_media_columns": op3_media_columns,
     "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op8_byte_bpe": op8_byte_bpe,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
