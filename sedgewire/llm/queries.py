@@ -12,6 +12,7 @@ from sedgewire.llm import byte_bpe, language_id, line_dedup, mixing
 from sedgewire.llm.common import read_table
 from sedgewire.llm.embedding_groups import embedding_groups
 from sedgewire.llm.near_duplicates import near_duplicate_groups
+from sedgewire.llm.repeated_spans import remove_repeats
 from sedgewire.llm.transport_stream import media_digests
 
 
@@ -43,6 +44,11 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.token_digests(read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     told = language_id.identify(docs.select("doc_id", "text"), language_id.fit_on(docs))
@@ -56,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_language_id": op10_language_id,
 }
 
