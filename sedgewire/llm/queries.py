@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedgewire.llm import byte_bpe, language_id, line_dedup, mixing
+from sedgewire.llm import byte_bpe, html_extraction, language_id, line_dedup, mixing, toxicity
 from sedgewire.llm.common import read_table
 from sedgewire.llm.embedding_groups import embedding_groups
 from sedgewire.llm.near_duplicates import near_duplicate_groups
@@ -24,6 +24,10 @@ def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_groups(read_table(spark, sf_dir, "embeddings"), cosine=0.93)
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.main_texts(read_table(spark, sf_dir, "pages"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_duplicate_groups(read_table(spark, sf_dir, "documents"), k=3, percent=85)
     return groups.select("doc_id", "n_shingles", "component_id", "kept")
@@ -39,6 +43,13 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    net = toxicity.fit_on(docs, read_table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs.select("doc_id", "text"), net, "score")
+    return scored.select("doc_id", (toxicity.crc_remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe.token_digests(read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -60,7 +71,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_media_columns": op3_media_columns,
     "op4_embedding_near_dedup": op4_embedding_near_dedup,
+    "op5_html_extraction": op5_html_extraction,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op7_toxicity": op7_toxicity,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_language_id": op10_language_id,

@@ -253,8 +253,8 @@ def _chosen(texts: list[bytes], toxic: np.ndarray, score, rng) -> tuple[list[byt
     return windows, labels
 
 
-def fit(texts: list[bytes], toxic: np.ndarray, rounds: tuple[int, ...] = (4, 3), batch: int = 192, rate: float = 0.01, seed: int = 5) -> Network:
-    """Fit on labelled texts; in each round windows are chosen, then seen `rounds[k]` times."""
+def fit(texts: list[bytes], toxic: np.ndarray, rounds: tuple[int, ...] = (4, 3), steps: int = 100, batch: int = 192, rate: float = 0.01, seed: int = 5) -> Network:
+    """Fit on labelled texts; in each round windows are chosen, then seen `rounds[k]` times, more often if they make few batches (`steps`)."""
     net, rng = Network(seed), np.random.default_rng(seed)
     odds = _piece_odds(texts, toxic)
 
@@ -277,8 +277,9 @@ def fit(texts: list[bytes], toxic: np.ndarray, rounds: tuple[int, ...] = (4, 3),
     for k, times in enumerate(rounds):
         windows, labels = _chosen(texts, toxic, by_net if k else by_odds, rng)
         y = np.array(labels, np.float32)
-        for _ in range(times):
-            for rows in np.array_split(rng.permutation(len(y)), max(1, len(y) // batch)):
+        batches = max(1, len(y) // batch)
+        for _ in range(max(times, -(-steps // batches))):
+            for rows in np.array_split(rng.permutation(len(y)), batches):
                 step += 1
                 data = np.frombuffer(b"\n".join(windows[r] for r in rows) + b"\n", np.uint8)
                 starts, ends = words_of(data)
