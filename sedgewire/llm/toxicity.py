@@ -1,6 +1,6 @@
 """Toxicity of texts by a bidirectional gated recurrent network with attention pooling, in numpy.
 
-A word's input joins an embedding of the word with the sum of embeddings of its 3- and 4-byte pieces,
+A word's input joins an embedding of the word with the sum of embeddings of its 3-, 5- and 7-byte pieces,
 ends marked, so that inflections of a stem share what is learned. The network reads windows
 of 24 words, each overlapping the next by half; a text's score is that of its worst window. Labels are
 given by text, so training picks the windows: first by how much more often their word pieces occur in toxic texts,
@@ -17,7 +17,12 @@ from pyspark.sql import functions as F
 from sedgewire.llm.common import arrow_bytes, hash_spans, in_batches, lower_ascii
 
 WORDS, STRIDE = 24, 12
-_SLOTS, _DIM, _HIDDEN, _ATTENTION = 1 << 14, 8, 8, 8
+_SLOT_BITS, _DIM, _HIDDEN, _ATTENTION = 18, 8, 8, 8
+_SLOTS = 1 << _SLOT_BITS
+#: Embedded words, and pieces of each length: those that tell the labels apart best. All others have a zero vector, so rare words can't be learned by heart.
+KEPT = 1_000
+#: Embedded pieces of words by name and length in bytes.
+PIECES = {"three": 3, "five": 5, "seven": 7}
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
@@ -29,22 +34,24 @@ def words_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[0::2], edges[1::2]
 
 
-def _pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Slots of the 3- and 4-byte pieces that start at each byte of the words with marked ends (_SLOTS: none), and where each word's begin."""
+def _pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each length of PIECES the slots of the pieces that start at each byte of the words with marked ends (_SLOTS: none), and where each word's begin."""
     lengths = ends - starts + 2
     firsts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
     total = int(lengths.sum())
     owner = np.repeat(np.arange(len(starts)), lengths)
     inside = np.arange(total) - firsts[owner]
-    code = np.full(total + 3, 1, np.uint32)
-    middle = (inside > 0) & (inside < lengths[owner] - 1)
-    code[:total][middle] = data[(starts[owner] + inside - 1)[middle]]
     left = lengths[owner] - inside
-    three = (code[:total] * np.uint32(0x9E3779B1) ^ code[1 : total + 1] * np.uint32(0x85EBCA77) ^ code[2 : total + 2] * np.uint32(0xC2B2AE3D)) * np.uint32(0x27D4EB2F)
-    four = (three ^ code[3 : total + 3] * np.uint32(0x165667B1)) * np.uint32(0x9E3779B1)
-    g3 = np.where(left >= 3, three >> np.uint32(18), _SLOTS).astype(np.int64)
-    g4 = np.where(left >= 4, four >> np.uint32(18), _SLOTS).astype(np.int64)
-    return g3, g4, firsts
+    code = np.ones(total + max(PIECES.values()), np.uint32)
+    middle = (inside > 0) & (left > 1)
+    code[:total][middle] = data[(starts[owner] + inside - 1)[middle]]
+    slots, mixed = [], np.zeros(total, np.uint32)
+    for k in range(max(PIECES.values())):
+        mixed = (mixed ^ code[k : k + total]) * np.uint32(0x9E3779B1)
+        mixed ^= mixed >> np.uint32(15)
+        if k + 1 in PIECES.values():
+            slots.append(np.where(left > k, (mixed * np.uint32(0x85EBCA77)) >> np.uint32(32 - _SLOT_BITS), _SLOTS).astype(np.int64))
+    return slots, firsts
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -52,27 +59,28 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Network:
-    """Parameters by name; forward keeps what backward needs if asked."""
+    """Parameters by name; forward keeps what backward needs if asked. known: by name, the embedding (KEPT: none) of each slot."""
 
-    def __init__(self, seed: int = 5) -> None:
-        rng = np.random.default_rng(seed)
+    def __init__(self, known: dict[str, np.ndarray], seed: int = 5) -> None:
+        rng, self.known = np.random.default_rng(seed), known
         d, h = 2 * _DIM, _HIDDEN
 
         def normal(*shape, scale):
             return (rng.standard_normal(shape) * scale).astype(np.float32)
 
-        self.p = {"word": normal(_SLOTS, _DIM, scale=0.05), "three": normal(_SLOTS, _DIM, scale=0.05), "four": normal(_SLOTS, _DIM, scale=0.05)}
+        self.p = {name: normal(KEPT, _DIM, scale=0.05) for name in ("word", *PIECES)}
         for way in ("f", "b"):
             self.p |= {f"w{way}": normal(d, 3 * h, scale=d**-0.5), f"u{way}": normal(h, 3 * h, scale=h**-0.5), f"c{way}": np.zeros(3 * h, np.float32)}
         self.p |= {"wa": normal(2 * h, _ATTENTION, scale=(2 * h) ** -0.5), "ca": np.zeros(_ATTENTION, np.float32), "va": normal(_ATTENTION, scale=0.5), "uo": normal(2 * h, scale=0.5), "co": np.zeros(1, np.float32)}
 
     def vectors(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray):
         p = self.p
-        slot = (hashes >> np.uint64(50)).astype(np.int64)
-        g3, g4, firsts = _pieces(data, starts, ends)
+        slots, firsts = _pieces(data, starts, ends)
+        slots = [self.known[name][g] for name, g in zip(PIECES, slots, strict=True)]
+        slot = self.known["word"][_word_slots(hashes)]
         zero = np.zeros((1, _DIM), np.float32)
-        both = np.concatenate([p["three"], zero])[g3] + np.concatenate([p["four"], zero])[g4]
-        return np.concatenate([p["word"][slot], np.add.reduceat(both, firsts, axis=0)], axis=1), (slot, g3, g4, firsts)
+        both = sum(np.concatenate([p[name], zero])[g] for name, g in zip(PIECES, slots, strict=True))
+        return np.concatenate([np.concatenate([p["word"], zero])[slot], np.add.reduceat(both, firsts, axis=0)], axis=1), (slot, slots, firsts)
 
     def forward(self, x: np.ndarray, index: np.ndarray, keep: bool = False):
         """Logits of windows: index has rows of word numbers into x, -1 behind the end."""
@@ -135,11 +143,11 @@ class Network:
             g[f"w{way}"] = x.T @ dinputs[:-1]
             g[f"c{way}"] = dinputs[:-1].sum(axis=0)
             dx[:-1] += dinputs[:-1] @ p[f"w{way}"].T
-        slot, g3, g4, firsts = words
-        np.add.at(g["word"], slot, dx[:-1, :_DIM])
-        spread = np.repeat(dx[:-1, _DIM:], np.diff(np.concatenate([firsts, [len(g3)]])), axis=0)
-        for name, where in (("three", g3), ("four", g4)):
-            real = where < _SLOTS
+        slot, slots, firsts = words
+        np.add.at(g["word"], slot[slot < KEPT], dx[:-1, :_DIM][slot < KEPT])
+        spread = np.repeat(dx[:-1, _DIM:], np.diff(np.concatenate([firsts, [len(slots[0])]])), axis=0)
+        for name, where in zip(PIECES, slots, strict=True):
+            real = where < KEPT
             np.add.at(g[name], where[real], spread[real])
         return g
 
@@ -224,18 +232,36 @@ def _window_text(spans, places: np.ndarray) -> bytes:
     return b" ".join(chunk[a:b].tobytes() for a, b in zip(starts[real], ends[real], strict=True))
 
 
-def _piece_odds(texts: list[bytes], toxic: np.ndarray) -> np.ndarray:
-    """By 4-byte piece: smoothed log odds of the texts that hold it."""
-    seen = np.zeros((2, _SLOTS + 1))
+def _word_slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+
+
+def _odds(texts: list[bytes], toxic: np.ndarray) -> dict[str, np.ndarray]:
+    """By word and piece: smoothed log odds of the texts that hold it, times the root of their number; 0 where fewer than 4 do."""
+    seen = {name: np.zeros((2, _SLOTS + 1)) for name in ("word", *PIECES)}
     for t, y in zip(texts, toxic, strict=True):
         data = lower_ascii(np.frombuffer(t, np.uint8))
         starts, ends = words_of(data)
         if len(starts):
-            seen[int(y), np.unique(_pieces(data, starts, ends)[1])] += 1
-    n = np.array([max(1, (toxic == 0).sum()), max(1, (toxic == 1).sum())])
-    odds = np.log((seen[1] + 0.5) / n[1]) - np.log((seen[0] + 2) / n[0])
-    odds[_SLOTS] = -9
-    return odds
+            seen["word"][int(y), np.unique(_word_slots(hash_spans(data, starts, ends)))] += 1
+            for name, slots in zip(PIECES, _pieces(data, starts, ends)[0], strict=True):
+                seen[name][int(y), np.unique(slots)] += 1
+    n = [max(1, (toxic == y).sum()) for y in (0, 1)]
+    out = {}
+    for name, (clean, bad) in seen.items():
+        out[name] = np.where(clean + bad >= 4, (np.log((bad + 0.5) / n[1]) - np.log((clean + 0.5) / n[0])) * np.sqrt(clean + bad), 0)
+        out[name][_SLOTS] = 0
+    return out
+
+
+def _known(odds: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    out = {}
+    for name, values in odds.items():
+        best = np.argsort(-np.abs(values), kind="stable")[:KEPT]
+        best = best[values[best] != 0]
+        out[name] = np.full(_SLOTS + 1, KEPT, np.int32)
+        out[name][best] = np.arange(len(best))
+    return out
 
 
 def _chosen(texts: list[bytes], toxic: np.ndarray, score, rng) -> tuple[list[bytes], list[int]]:
@@ -255,16 +281,16 @@ def _chosen(texts: list[bytes], toxic: np.ndarray, score, rng) -> tuple[list[byt
 
 def fit(texts: list[bytes], toxic: np.ndarray, rounds: tuple[int, ...] = (4, 3), steps: int = 100, batch: int = 192, rate: float = 0.01, seed: int = 5) -> Network:
     """Fit on labelled texts; in each round windows are chosen, then seen `rounds[k]` times, more often if they make few batches (`steps`)."""
-    net, rng = Network(seed), np.random.default_rng(seed)
-    odds = _piece_odds(texts, toxic)
+    odds = _odds(texts, toxic)
+    net, rng = Network(_known(odds), seed), np.random.default_rng(seed)
 
     def by_odds(t: bytes):
         data = lower_ascii(np.frombuffer(t, np.uint8))
         starts, ends = words_of(data)
         if not len(starts):
             return np.zeros(0), None, None
-        _, g4, firsts = _pieces(data, starts, ends)
-        word = np.maximum.reduceat(odds[g4], firsts)
+        slots, firsts = _pieces(data, starts, ends)
+        word = np.maximum.reduceat(np.max([odds[name][g] for name, g in zip(PIECES, slots, strict=True)], axis=0), firsts)
         places, _ = windows_of(np.array([len(starts)]))
         return np.where(places >= 0, word[np.maximum(places, 0)], -9).max(axis=1), places, (data, starts, ends)
 
