@@ -7,20 +7,246 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sedgewire.functions import columns as C
+from sedgewire.operators import records as R
+from sedgewire.plans import documents_as_scan, table
 
-def scan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.agg(
-        F.count("*").alias("total_files"),
-        F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).cast("long").alias("total_size"),
-        F.count_distinct("source").alias("n_sources"),
-        F.count_distinct("lang").alias("n_langs"),
-    )
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+_SCAN = "(SELECT source || '/' || doc_id || '.' || lang AS path, lang AS mime, octet_length(encode(text))::BIGINT AS size_bytes, sha256(text) AS sha256, doc_id AS row_no FROM documents)"
+
+
+def query(sql: str):
+    def add(f):
+        QUERIES[f.__name__], ORACLE_SQL[f.__name__] = f, sql.replace("SCAN", _SCAN)
+        return f
+
+    return add
+
+
+@query("SELECT count(*) AS total_files, coalesce(sum(size_bytes), 0)::BIGINT AS total_size, count(DISTINCT mime) AS n_mimes, count(DISTINCT sha256) AS n_contents FROM SCAN")
+def scan_summary(spark, d):
+    scan = documents_as_scan(spark, d)
+    return scan.agg(F.count("*").alias("total_files"), F.coalesce(F.sum("size_bytes"), F.lit(0)).cast("long").alias("total_size"), F.count_distinct("mime").alias("n_mimes"), F.count_distinct("sha256").alias("n_contents"))
+
+
+@query("SELECT coalesce(lang, '') AS mime, count(*) AS n FROM documents GROUP BY 1")
+def mime_counts(spark, d):
+    return R.mime_counts(table(spark, d, "documents").select(F.col("lang").alias("mime")))
+
+
+@query("SELECT code, count(*) AS n FROM (SELECT unnest(CASE WHEN toxic = 1 AND quality = 0 THEN ['toxic', 'low_quality'] WHEN toxic = 1 THEN ['toxic'] WHEN quality = 0 THEN ['low_quality'] ELSE [] END) AS code FROM labels) GROUP BY code")
+def warning_counts(spark, d):
+    codes = F.filter(F.array(F.when(F.col("toxic") == 1, "toxic"), F.when(F.col("quality") == 0, "low_quality")), lambda x: x.isNotNull())
+    return R.code_counts(table(spark, d, "labels").select(codes.alias("warnings")), "warnings")
+
+
+@query("SELECT event_type AS value, count(*) AS n FROM events WHERE event_type <> '' GROUP BY 1 ORDER BY n DESC, min(event_id) LIMIT 5")
+def top_n_findings(spark, d):
+    top = R.top_findings(table(spark, d, "events").select(F.col("event_type").alias("value"), F.col("event_id").alias("row_no")))
+    return top.select("value", "n")
+
+
+@query("SELECT user_id, max(event_id) AS row_no, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1")
+def last_wins_index(spark, d):
+    rows = table(spark, d, "events").select(F.col("user_id").cast("string").alias("path"), F.col("event_id").alias("row_no"), "event_type")
+    return R.last_wins(rows).select(F.col("path").cast("long").alias("user_id"), "row_no", "event_type")
+
+
+@query("SELECT key, min(event_id) AS row_no, arg_min(event_type, event_id) AS result FROM (SELECT 'u' || user_id AS key, * FROM events) GROUP BY 1")
+def first_wins_lookup(spark, d):
+    rows = table(spark, d, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("key"), F.col("event_id").alias("row_no"), F.col("event_type").alias("result"))
+    return R.first_wins(rows, "key", "row_no").select("key", "row_no", "result")
+
+
+@query("WITH s AS (SELECT path, sha256, min(path) OVER (PARTITION BY sha256) AS first_path FROM SCAN) SELECT path, sha256, first_path FROM s WHERE path > first_path AND sha256 IS NOT NULL")
+def duplicate_content(spark, d):
+    return R.duplicate_content(documents_as_scan(spark, d))
+
+
+_DIFF = """WITH o AS (SELECT doc_id::VARCHAR AS path, sha256(text) AS rec FROM documents WHERE doc_id % 5 <> 0),
+n AS (SELECT doc_id::VARCHAR AS path, CASE WHEN doc_id % 7 = 0 THEN sha256(text || '!') ELSE sha256(text) END AS rec FROM documents WHERE doc_id % 5 <> 1)
+SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'removed' ELSE 'changed' END AS status
+FROM o FULL OUTER JOIN n ON o.path = n.path WHERE o.path IS NULL OR n.path IS NULL OR o.rec <> n.rec"""
+
+
+def _snapshots(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("path"), "text", F.col("doc_id").alias("row_no"))
+    old = docs.where(F.col("doc_id") % 5 != 0).withColumn("record", F.sha2("text", 256))
+    new = docs.where(F.col("doc_id") % 5 != 1).withColumn("record", F.sha2(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256))
+    return old, new
+
+
+@query(_DIFF)
+def diff_snapshots(spark, d):
+    return R.diff(*_snapshots(spark, d))
+
+
+@query(f"WITH c AS ({_DIFF}) SELECT list_sort(list(path) FILTER (status = 'added')) AS added, list_sort(list(path) FILTER (status = 'removed')) AS removed, list_sort(list(path) FILTER (status = 'changed')) AS changed FROM c")
+def diff_summary(spark, d):
+    return R.diff_summary(R.diff(*_snapshots(spark, d)))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def paths_common(spark, d):
+    return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def paths_removed(spark, d):
+    return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
+
+
+@query("SELECT s.path, CASE WHEN l.doc_id IS NULL THEN 'missing' ELSE 'hash_mismatch' END AS issue FROM SCAN s LEFT JOIN labels l ON s.row_no = l.doc_id WHERE l.doc_id IS NULL OR l.toxic = 1")
+def verify_issues(spark, d):
+    scan = documents_as_scan(spark, d)
+    labels = table(spark, d, "labels").select(F.col("doc_id").alias("row_no"), "toxic")
+    found = scan.join(labels, "row_no").select("path", F.when(F.col("toxic") == 1, F.lit("other")).otherwise(F.col("sha256")).alias("sha256"))
+    return R.verify(scan.select("path", "sha256"), found)
+
+
+@query("SELECT sha256 || chr(9) || path AS line FROM SCAN WHERE sha256 IS NOT NULL AND path IS NOT NULL")
+def hash_lines(spark, d):
+    return R.hash_lines(documents_as_scan(spark, d).where("sha256 is not null and path is not null"))
+
+
+@query("SELECT doc_id, md5(text) AS hash_hex FROM documents")
+def hash_md5(spark, d):
+    return table(spark, d, "documents").select("doc_id", C.content_hash(F.col("text"), " MD5 ").alias("hash_hex"))
+
+
+@query("SELECT count(*) AS record_count, sha256(string_agg(coalesce(sha256, ''), ',' ORDER BY row_no)) AS digest FROM SCAN")
+def manifest_digest(spark, d):
+    return R.manifest(documents_as_scan(spark, d)).select("record_count", F.sha2(F.array_join("hashes", ","), 256).alias("digest"))
+
+
+@query("SELECT page_id, lower(regexp_extract(url, '[^/](\\.[^./]+)$', 1)) AS suffix FROM pages")
+def suffix(spark, d):
+    return table(spark, d, "pages").select("page_id", C.suffix(F.col("url")).alias("suffix"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"scan_summary": scan_summary}
+_NAMES = "(SELECT p_partkey, p_name || CASE p_partkey % 8 WHEN 0 THEN '.JPG' WHEN 1 THEN '.png' WHEN 2 THEN '.tar.pdf' WHEN 3 THEN '.docx' WHEN 4 THEN '.mov' WHEN 5 THEN '.' WHEN 6 THEN '' ELSE '.jpeg.txt' END AS path FROM part)"
 
-ORACLE_SQL: dict[str, str] = {
-    "scan_summary": """SELECT count(*) AS total_files, coalesce(sum(octet_length(encode(text))), 0)::BIGINT AS total_size,
-        count(DISTINCT source) AS n_sources, count(DISTINCT lang) AS n_langs FROM documents""",
-}
+
+def _names(spark, d):
+    k = F.col("p_partkey") % 8
+    end = F.when(k == 0, ".JPG").when(k == 1, ".png").when(k == 2, ".tar.pdf").when(k == 3, ".docx").when(k == 4, ".mov").when(k == 5, ".").when(k == 6, "").otherwise(".jpeg.txt")
+    return table(spark, d, "part").select("p_partkey", F.concat("p_name", end).alias("path"))
+
+
+_MIME = "CASE p_partkey % 8 WHEN 0 THEN 'image/jpeg' WHEN 1 THEN 'image/png' WHEN 2 THEN 'application/pdf' WHEN 3 THEN 'application/vnd.openxmlformats-officedocument.wordprocessingml.document' WHEN 4 THEN 'video/mp4' ELSE 'application/octet-stream' END"
+
+
+@query(f"SELECT p_partkey, {_MIME} AS mime FROM part")
+def guess_mime(spark, d):
+    return _names(spark, d).select("p_partkey", C.guess_mime(F.col("path")).alias("mime"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'image' WHEN 1 THEN 'image' WHEN 2 THEN 'pdf' WHEN 3 THEN 'docx' WHEN 4 THEN 'video' ELSE 'none' END AS extractor FROM part")
+def dispatch(spark, d):
+    return _names(spark, d).select("p_partkey", C.extractor(C.guess_mime(F.col("path")), F.col("path")).alias("extractor"))
+
+
+@query("SELECT page_id FROM pages WHERE NOT (lower(url) LIKE '%utm_%' OR lower(url) LIKE '%/fr/%' OR regexp_full_match(lower(url), 'https://m\\..*', 's'))")
+def exclude_filter(spark, d):
+    return table(spark, d, "pages").where(~C.excluded(F.col("url"), ["UTM_", "/fr/", "https://m.*"])).select("page_id")
+
+
+@query("SELECT page_id, regexp_replace(lower(replace(trim('  .\\' || url || ' '), '\\', '/')), '^\\./', '') AS pattern, regexp_matches(url, '[*?\\[]') AS is_glob FROM pages")
+def normalize_pattern(spark, d):
+    raw = F.concat(F.lit("  .\\"), F.col("url"), F.lit(" "))
+    return table(spark, d, "pages").select("page_id", C.normalized_pattern(raw).alias("pattern"), C.is_glob(F.col("url")).alias("is_glob"))
+
+
+@query("SELECT p_partkey, list_sort(list_distinct(['.' || lower(p_brand), '.' || lower(p_type)])) AS extensions FROM part")
+def include_extensions(spark, d):
+    raw = F.concat(F.lit(" ."), F.col("p_brand"), F.lit(", ,"), F.col("p_type"), F.lit(" ,"), F.col("p_brand"))
+    return table(spark, d, "part").select("p_partkey", F.array_sort(C.include_extensions(raw)).alias("extensions"))
+
+
+@query("SELECT p_partkey, [p_brand, p_type, p_name] AS patterns FROM part")
+def split_patterns(spark, d):
+    raw = F.array(F.concat(F.lit(" "), F.col("p_brand"), F.lit(" ,"), F.col("p_type")), F.lit(" , "), F.col("p_name"))
+    return table(spark, d, "part").select("p_partkey", C.split_patterns(raw).alias("patterns"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN -(l_quantity + l_linenumber / 60.0::DOUBLE + l_linenumber / 3600.0::DOUBLE) ELSE l_quantity + l_linenumber / 60.0::DOUBLE + l_linenumber / 3600.0::DOUBLE END AS degrees, CASE WHEN l_tax = 0 THEN 0.0::DOUBLE ELSE l_discount / l_tax END AS ratio FROM lineitem")
+def dms_to_deg(spark, d):
+    value = C.dms_to_degrees(F.col("l_quantity"), F.col("l_linenumber"), F.col("l_linenumber"))
+    ref = F.when(F.col("l_returnflag") == "R", "s").otherwise("N")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", C.signed_degrees(value, ref).alias("degrees"), C.rational(F.col("l_discount"), F.col("l_tax")).alias("ratio"))
+
+
+@query("SELECT event_id, 'mtime:' || floor(epoch(ts))::BIGINT || ':' || length(props) AS key FROM events")
+def mtime_cache_key(spark, d):
+    seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
+    return table(spark, d, "events").select("event_id", C.cache_key("mtime", F.lit(""), seconds, F.length("props")).alias("key"))
+
+
+@query("SELECT e.event_id, c.row_no IS NOT NULL AS cache_hit, c.result AS cached FROM events e LEFT JOIN (SELECT user_id, min(event_id) AS row_no, arg_min(event_type, event_id) AS result FROM events WHERE user_id % 3 = 0 GROUP BY 1) c ON e.user_id = c.user_id")
+def cache_lookup(spark, d):
+    events = table(spark, d, "events")
+    files = events.select("event_id", F.col("user_id").cast("string").alias("sha256"), F.lit(0).alias("mtime"), F.lit(0).alias("size_bytes"))
+    cache = events.where(F.col("user_id") % 3 == 0).select(F.concat(F.lit("sha256:"), F.col("user_id").cast("string")).alias("key"), F.col("event_type").alias("result"), F.col("event_id").alias("row_no"))
+    return R.with_cache(files, cache).select("event_id", "cache_hit", "cached")
+
+
+@query("SELECT count(*) AS entries, coalesce(sum(octet_length(encode(props))), 0)::BIGINT AS size FROM events")
+def cache_stats(spark, d):
+    return R.cache_stats(table(spark, d, "events").select(F.col("props").alias("result")))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN ['has_gps', 'has_author'] WHEN doc_id % 3 = 1 THEN ['has_author'] ELSE [] END AS privacy_flags, CASE doc_id % 3 WHEN 0 THEN 50 WHEN 1 THEN 10 ELSE 0 END AS risk_score FROM documents")
+def privacy_signals(spark, d):
+    k = F.col("doc_id") % 3
+    meta = F.when(k == 0, F.lit('{"gps":null,"docx_author":"a"}')).when(k == 1, F.lit('{"pdf_author":"b"}'))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("path"), meta.alias("metadata"))
+    return R.privacy_signals(docs).select(F.col("path").alias("doc_id"), "privacy_flags", "risk_score")
+
+
+@query("SELECT event_id, '{\"mtime\":' || event_id || '}' AS metadata FROM events")
+def sanitize_metadata(spark, d):
+    meta = F.concat(F.lit('{"pdf_author": "x", "mtime": '), F.col("event_id").cast("string"), F.lit(', "gps_latitude": 1.5}'))
+    return R.sanitize(table(spark, d, "events").select("event_id", meta.alias("metadata"))).select("event_id", "metadata")
+
+
+@query("SELECT event_id AS path, 'mtime' AS key, floor(epoch(ts))::BIGINT::VARCHAR AS value FROM events")
+def timeline(spark, d):
+    meta = F.concat(F.lit('{"mtime":'), F.unix_seconds(F.col("ts").cast("timestamp")).cast("string"), F.lit("}"))
+    return R.timeline(table(spark, d, "events").select(F.col("event_id").alias("path"), meta.alias("metadata")))
+
+
+@query("SELECT doc_id, toxic, CASE WHEN toxic = 1 THEN 'toxic' ELSE 'unknown' END AS error_code, 'label' AS stage FROM labels")
+def structured_errors(spark, d):
+    code = F.when(F.col("toxic") == 1, "toxic").otherwise("")
+    errors = C.with_error(F.lit(None), code, F.lit("label"), F.lit("m"))
+    return table(spark, d, "labels").select("doc_id", "toxic", errors[0]["error_code"].alias("error_code"), errors[0]["stage"].alias("stage"))
+
+
+@query("SELECT o_orderkey, '{\"a\":' || o_orderkey || ',\"b\":{\"c\":null,\"d\":\"' || o_orderstatus || '\"}}' AS record FROM orders")
+def canonical_json(spark, d):
+    raw = F.concat(F.lit('{ "b": {"d": "'), F.col("o_orderstatus"), F.lit('", "c": null}, "a": '), F.col("o_orderkey").cast("string"), F.lit(" }"))
+    return table(spark, d, "orders").select("o_orderkey", C.canonical_json(raw).alias("record"))
+
+
+@query("SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS escaped FROM pages")
+def html_escape(spark, d):
+    return table(spark, d, "pages").select("page_id", C.html_escaped(F.col("html")).alias("escaped"))
+
+
+@query("SELECT o_orderkey, format('{:,}', o_orderkey) AS size FROM orders")
+def size_thousands(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", F.format_number("o_orderkey", 0).alias("size"))
+
+
+@query("SELECT c_custkey, c_name AS author, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment || '; ' || c_name ELSE 'docx' END AS software, CASE WHEN c_acctbal IS NULL THEN NULL ELSE 'unknown' END AS precision_flag FROM customer")
+def normalize_identity(spark, d):
+    even = F.col("c_custkey") % 2 == 0
+    raw = table(spark, d, "customer").select(
+        "c_custkey",
+        F.when(even, F.struct(F.concat(F.lit(" "), F.col("c_name")).alias("Author"), F.col("c_mktsegment").alias("Creator"), F.col("c_name").alias("Producer"))).alias("pdf"),
+        F.when(~even, F.struct(F.concat(F.col("c_name"), F.lit(" ")).alias("creator"))).alias("docx"),
+        F.struct(F.col("c_acctbal").alias("lat")).alias("gps_norm"),
+    )
+    return R.normalize(raw).select("raw.c_custkey", "identity.author", "capture.software", "geo.precision_flag")
