@@ -157,7 +157,9 @@ def near_duplicate_groups(docs: DataFrame, k: int = 5, percent: int = 80, bands:
     roots = connected_components(links)
 
     named = shared.join(roots, "node", "left").select("band", "bucket", "n", shared.node, F.coalesce("root", shared.node).alias("root"))
-    mixed = named.groupBy("band", "bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band", "bucket")
+    mixed = named.groupBy("band", "bucket", "n").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("node").alias("first"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.reverse(F.hex("node")))).alias("y"))
+    # a bucket with the very members of one of an earlier band has no pair that it would be the first to compare
+    mixed = mixed.where("lo <> hi").groupBy("n", "first", "x", "y").agg(F.min(F.struct("band", "bucket")).alias("b")).select("b.band", "b.bucket")
     blocks = F.greatest(F.ceil(F.col("n") / block_rows), F.lit(1)).cast("int")
     split = named.join(mixed, ["band", "bucket"], "left_semi").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
     split = split.select("*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
