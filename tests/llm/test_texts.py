@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from sedgewire.llm import byte_bpe, html_extraction, language_id, toxicity, transport_stream
 from sedgewire.llm.page_samples import sample_pages
@@ -44,7 +45,8 @@ def test_media_digests(spark):
 
 def test_perfect_hash_is_minimal():
     keys = [f"k{i}".encode() for i in range(3000)]
-    assert sorted(byte_bpe.PerfectHash(keys).slot(k) for k in keys) == list(range(3000))
+    table = byte_bpe.PerfectHash(keys)
+    assert sorted(table.slot(k) for k in keys) == list(range(3000))
 
 
 def test_bpe_equals_tiktoken(spark):
@@ -60,7 +62,7 @@ def test_bpe_equals_tiktoken(spark):
 
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    told = language_id.identify(docs, language_id.fit_on(docs)).withColumn("held", language_id.held_out(docs.doc_id, 3, 1))
+    told = language_id.identify(docs, language_id.fit_on(docs)).withColumn("held", language_id.held_out(F.col("doc_id"), 3, 1))
     rows = told.where("held and lang is not null and lang_pred <> 'und'").selectExpr("avg(int(lang = lang_pred)) a", "min(lang_score) s").first()
     assert rows.a >= 0.98 and 0 <= rows.s <= 1
     odd = spark.createDataFrame([(1, None), (2, "123 !?"), (3, "")], "doc_id long, text string")
