@@ -168,6 +168,8 @@ def window_scores(net: Network, data: np.ndarray, offsets: np.ndarray, slab: int
     chunk = lower_ascii(data[base : offsets[-1]])
     at = offsets - base
     starts, ends = words_of(chunk)
+    if not len(starts):
+        return np.zeros(0, np.float32), np.zeros(0, np.int64), np.zeros((0, WORDS), np.int64), (chunk, starts, ends)
     cut = np.searchsorted(starts, at[1:-1])  # a text's last word ends where the next text begins
     glued = (ends[np.maximum(cut - 1, 0)] > at[1:-1]) & (cut > 0) if len(cut) else np.zeros(0, bool)
     if glued.any():
@@ -176,8 +178,6 @@ def window_scores(net: Network, data: np.ndarray, offsets: np.ndarray, slab: int
     proper = ends > starts
     starts, ends = starts[proper], ends[proper]
     counts = np.diff(np.concatenate([[0], np.searchsorted(starts, at[1:-1]), [len(starts)]])) if len(at) > 2 else np.array([len(starts)])
-    if not len(starts):
-        return np.zeros(0, np.float32), np.zeros(0, np.int64), np.zeros((0, WORDS), np.int64), (chunk, starts, ends)
     hashes = hash_spans(chunk, starts, ends)
     unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
     order = np.argsort(first)  # spans in order, as the pieces need
