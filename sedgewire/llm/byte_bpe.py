@@ -142,7 +142,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Encoder:
     """Encodes texts; keeps the ranks of the last pre-tokens met: two generations of up to `kept` each."""
 
-    def __init__(self, vocabulary: Vocabulary, pattern: str, kept: int = 200_000) -> None:
+    def __init__(self, vocabulary: Vocabulary, pattern: str, kept: int = 350_000) -> None:
         self.vocabulary, self.kept = vocabulary, kept
         self.find = regex.compile(pattern).findall
         self.seen: dict[str, tuple[int, ...]] = {}
