@@ -51,7 +51,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("byte_bpe", tokenize),
 ]
 
-#: A trained network decides the first stage, which SQL can't express; tests/llm hold run() against a plain version of all stages.
+#: A trained network decides the first stage, which SQL can't express; tests/llm check each stage's columns, counts and round trip.
 ORACLE_SQL = None
 
 
