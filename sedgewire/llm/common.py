@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -34,6 +35,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a table in the shared folder: compressed, and read by column, which a checkpoint isn't; its partitioning is not kept."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def broadcast_if_small(df: DataFrame, rows: int = 20_000) -> DataFrame:
     """Hint a broadcast if a count shows at most this many (narrow) rows; otherwise the planner joins by shuffle and splits skew at run time."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

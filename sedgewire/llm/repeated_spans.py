@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedgewire.llm.common import arrow_bytes, checkpointed, in_batches, without_columns
+from sedgewire.llm.common import arrow_bytes, checkpointed, in_batches, without_columns, written
 from sedgewire.llm.repeat_anchors import anchors, window_hashes
 from sedgewire.llm.run_length_index import build
 
@@ -131,7 +131,7 @@ def repeated_ranges(docs: DataFrame, window: int = 200, group: int = 2_000, shar
     inside = texts.select("text_key", "text")
     bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(again))
     occurrences = inside.mapInArrow(lambda it: in_batches(lambda b: _occurrences(b, window, bitmap.value), it, 256), "anchor long, segment long, text_key long, start long, n int")
-    occurrences = checkpointed(occurrences)
+    occurrences = written(occurrences)
 
     segments = occurrences.groupBy("segment", "anchor").agg(F.count("*").alias("times"), F.min(F.struct("text_key", "start", "n")).alias("at"))
     segments = checkpointed(segments)
@@ -141,7 +141,7 @@ def repeated_ranges(docs: DataFrame, window: int = 200, group: int = 2_000, shar
     fetched = inside.join(wanted, "text_key").mapInArrow(
         lambda it: in_batches(partial(_fetch, window=window, seen=set()), it, 256), "anchor long, segment long, text_key long, start long, n int, single boolean, hot boolean, bytes binary"
     )
-    fetched = checkpointed(fetched)
+    fetched = written(fetched)
     shares = max(1, fetched.where("not hot").count() // share)
     dealt = fetched.where("not hot").groupBy(F.pmod(F.xxhash64("anchor"), F.lit(shares)).alias("share"))
     edges = dealt.applyInPandas(lambda pdf: _share(pdf, window), "text_key long, start long, n int")
