@@ -70,8 +70,8 @@ def _cell_links(pdf: pd.DataFrame, cosine: float) -> pd.DataFrame:
     left = np.flatnonzero(home & (pdf["block"].to_numpy() == x))
     linked = u[left] @ u.T >= cosine
     position = np.arange(len(u))
-    if x == y:  # members of the block once with each other, and with the copies that share it
-        linked &= position[None, :] > left[:, None]
+    if x == y:  # members of the block once with each other, and with every copy that shares it, wherever it stands
+        linked &= ~home[None, :] | (position[None, :] > left[:, None])
     else:
         linked[:, left] = False
     count = np.zeros(len(u), np.int64)

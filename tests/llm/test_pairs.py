@@ -1,3 +1,4 @@
+import itertools
 import random
 from collections import Counter
 
@@ -7,7 +8,7 @@ import pytest
 from sedgewire.llm import superminhash
 from sedgewire.llm.common import arrow_bytes
 from sedgewire.llm.components import connected_components
-from sedgewire.llm.embedding_groups import embedding_groups
+from sedgewire.llm.embedding_groups import _cell_links, embedding_groups
 from sedgewire.llm.near_duplicates import drop_near_duplicates, near_duplicate_groups
 from sedgewire.llm.repeated_spans import remove_repeats
 from sedgewire.llm.run_length_index import build
@@ -110,6 +111,39 @@ def test_embedding_groups_against_brute_force(spark):
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == {r[0]: (n[r[0]], want[r[0]], want[r[0]] == r[0]) for r in rows}
 
 
+def test_embedding_links_of_boundary_copies_in_any_order():
+    import pandas as pd
+
+    near = [np.array([1.0, 0.01 * k]) for k in range(3)]
+    rows = [(b"home", True, 2, near[0]), (b"copy", False, 3, near[1]), (b"more", True, 5, near[2])]
+    for order in itertools.permutations(rows):
+        cell = pd.DataFrame(order, columns=["node", "home", "copies", "vector"]).assign(x=0, y=0, block=0)
+        cell["vector"] = [v / np.linalg.norm(v) for v in cell["vector"]]
+        got = _cell_links(cell, 0.93)
+        assert dict(zip(got["node"], got["n"], strict=True)) == {b"home": 8, b"copy": 7, b"more": 5}
+        assert got["root"].nunique() == 1
+
+
+def test_embedding_groups_over_many_partitions(spark):
+    rng = np.random.default_rng(5)
+    u = rng.standard_normal((600, 3))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    label = np.arange(600) % 6
+    near = np.triu((u @ u.T >= 0.93) & (label[:, None] == label), 1)
+    links, n = np.argwhere(near).tolist(), (near + near.T).sum(axis=1)
+    want = _groups(range(600), links)
+    rows = spark.createDataFrame([(i, v.tolist(), i % 6) for i, v in enumerate(u)], "vec_id long, embedding array<double>, label int").repartition(9)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "9")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = embedding_groups(rows, cell_rows=64).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {i: (n[i], want[i]) for i in range(600)}
+
+
 def test_run_length_index_against_brute_force():
     rng = random.Random(3)
     for alphabet in (b"ab", b"abcd", bytes(range(256))):
