@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from sedgewire.llm.common import in_batches
 from sedgewire.llm.page_samples import sample_pages
-from sedgewire.llm.page_tree import Page, features, read_page
+from sedgewire.llm.page_tree import LOOSE, Page, features, read_page
 
 
 class BoostedTrees:
@@ -74,12 +74,12 @@ def _labels(source: str) -> tuple[Page, np.ndarray, np.ndarray]:
     page = read_page(source)
     marks = [("x" if m[3] == "in" else "o") for m in _MARK.finditer(source)]
     tags = [m[1] for m in _MARK.finditer(source)]
-    # the marks come in page order, as blocks do; every marked element is a block
+    # the marks come in page order, as blocks do; every marked element is a block or starts a loose run
     state = np.zeros(len(page.blocks), np.int8)
     positions = _marked(source)
     for number, mark in zip(positions, marks, strict=True):
         state[number] = 1 if mark == "x" else -1
-    assert all(page.blocks[k].tag == t for k, t in zip(positions, tags, strict=True))
+    assert all(page.blocks[k].tag in (t, LOOSE) for k, t in zip(positions, tags, strict=True))
     for i, b in enumerate(page.blocks):
         if i and not state[i]:
             state[i] = state[b.parent]
@@ -133,15 +133,16 @@ def _extract_batch(batch: pa.RecordBatch, model: BoostedTrees) -> pa.RecordBatch
         own = logits[at : at + len(table)]
         at += len(table)
         keep = decode(page, own, np.expm1(table[:, 31]))
-        bare = all(page.blocks[block].tag in ("html", "body") for block, _ in page.runs)
-        out.append("\n".join(text for block, text in page.runs if keep[block] and (bare or page.blocks[block].tag not in ("html", "body"))))
+        bare = all(b.tag in ("html", "body", LOOSE) for b in page.blocks if b.chars)
+        out.append("\n".join(text for block, text in page.runs if bare or keep[block]))
     return batch.drop_columns(["html"]).append_column("main_text", pa.array(out, pa.string()))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """pages without html but with main_text: the kept text runs in page order, joined by line ends; empty if there are none.
 
-    White space in a run is one space; line breaks within a block are white space. A null page is empty. Text directly in the body is kept only if the page has no other.
+    White space in a run is one space; line breaks within a block are white space. A null page is empty. A run of text directly in the body is a block of its own, kept or
+    dropped as others are; if a page has no other text, all of it is kept.
     A column named main_text is replaced.
     """
     pages = pages.select(*[c for c in pages.columns if c.lower() != "main_text"])

@@ -108,17 +108,49 @@ class _Maker:
             return f"<article data-in>{body}</article>"
         return self.named(tag, _INSIDE if tag != "div" else [x for x in _INSIDE if x], body, " data-in")
 
+    def loose_article(self) -> str:
+        """A main part without an element around it: text runs directly in the body, with blocks or rules between them."""
+        r = self.r
+        parts = [f"<h1 data-in>{self.words(3, 14)}</h1>"] if r.random() < 0.6 else []
+        runs = r.choices([1, 2, 3, 6], [4, 3, 2, 1])[0]
+        for k in range(runs):
+            if k:
+                parts.append(r.choice(["<hr>", f"<h2 data-in>{self.words(2, 8)}</h2>", f"<p data-in>{self.sentences(1, 8)}</p>", self.outside(r.choice(["advert", "share", "aside"]))]))
+            text = r.choice(["<br>", "<br><br>", "<br />\n", " <b>x</b> "]).join(self.sentences(1, 8) for _ in range(r.choice([1, 2, 4, 9])))
+            tag = r.choice(["span", "font", "b", "tt"])
+            run = f"<{tag}{f' class={chr(34)}{r.choice(_INSIDE)}{chr(34)}' if r.random() < 0.2 else ''} data-in>{text}</{tag}>"
+            parts.append(f"<x-text>{run}</x-text>" if r.random() < 0.1 else run)
+        return "".join(parts)
+
+    def loose_outside(self) -> str:
+        """A run directly in the body that isn't main text, between rules."""
+        r = self.r
+        body, name = r.choice(
+            [
+                (r.choice(["&copy; ", "Copyright ", "&copy; 2024 "]) + self.words(2, 5) + " &middot; " + self.sentences(0, 2), ""),
+                (r.choice([" | ", " ", " &raquo; "]).join(f'<a href="/{k}">{self.words(1, 4)}</a>' for k in range(r.randint(1, 8))), ""),
+                (self.sentences(1, 3), r.choice(_OUTSIDE["advert"])),
+                (self.words(2, 8), r.choice([x for x in _OUTSIDE["header"] + _OUTSIDE["notice"] + _OUTSIDE["share"] if x])),
+            ]
+        )
+        return f"<hr><span{f' class={chr(34)}{name}{chr(34)}' if name else ''} data-out>{body}</span><hr>"
+
     def page(self) -> str:
         r = self.r
         above = [k for k, p in (("header", 0.5), ("nav", 0.75), ("notice", 0.3), ("advert", 0.5), ("share", 0.2), ("form", 0.2)) if r.random() < p]
         below = [k for k, p in (("comments", 0.35), ("advert", 0.3), ("aside", 0.4), ("form", 0.25), ("nav", 0.2), ("footer", 0.8), ("notice", 0.15)) if r.random() < p]
         if r.random() < 0.3:
             r.shuffle(above)
-        content = self.article()
-        if r.random() < 0.2:
+        loose = r.random() < 0.25
+        content = self.loose_article() if loose else self.article()
+        if r.random() < (0.5 if loose else 0.25):
+            loose, at = True, r.choice([above, below])
+            at.insert(r.randint(0, len(at)), "loose")
+        if not loose and r.random() < 0.2:
             content = f"<main>{content}{self.outside('comments') if r.random() < 0.4 else ''}</main>"
-        body = "".join(map(self.outside, above)) + content + "".join(map(self.outside, below))
-        if r.random() < 0.25:
+        beside = lambda kind: self.loose_outside() if kind == "loose" else self.outside(kind)
+        body = "".join(map(beside, above)) + content + "".join(map(beside, below))
+        if not loose and r.random() < 0.25:
             body = f"<div class='{r.choice(['wrapper', 'container', 'page', 'site'])}'>{body}</div>"
         return f"<!DOCTYPE html><html><head><title>{self.words(2, 6)}</title><style>p{{}}</style></head><body>{body}</body></html>"
 

@@ -20,6 +20,8 @@ CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
     "tbody": ("tr", "td", "th", "thead", "tbody"), "tfoot": ("tr", "td", "th", "tbody"), "body": ("head",),
 }
+#: The tag of the anonymous block that a run of text directly in html or body makes.
+LOOSE = ""
 SCOPE = frozenset("table ul ol dl td th article section div body html form aside nav header footer main".split())
 
 # Words in class, id, role and aria-label that tell what a part of a page is for.
@@ -70,28 +72,42 @@ def _attributes(block: Block, raw: str) -> None:
 
 
 def read_page(source: str) -> Page:
-    """The blocks in page order (the first is the root) and the text runs with the block each belongs to. White space in a run is one space; references are decoded."""
+    """The blocks in page order (the first is the root) and the text runs with the block each belongs to. White space in a run is one space; references are decoded.
+
+    A run directly in html or body is an anonymous block, named by the inline elements that were open at its first character.
+    """
     blocks = [Block("html", -1, 0)]
     stack: list[tuple[str, int]] = [("html", 0)]  # open elements and the block that text in them belongs to
     runs: list[tuple[int, str]] = []
     text: list[str] = []
+    names: list[tuple[tuple[str, int], str]] = []  # inline elements directly in html or body that a loose run may start in, with their attributes
+    begun = False
     link = linked = 0
     at, end = 0, len(source)
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, begun
         if text:
             run = " ".join(html.unescape("".join(text)).split())
             text.clear()
             if run:
-                b = blocks[stack[-1][1]]
-                runs.append((stack[-1][1], run))
+                k = stack[-1][1]
+                if blocks[k].tag in ("html", "body"):
+                    b = Block(LOOSE, k, blocks[k].depth + 1)
+                    for _, raw in names:
+                        _attributes(b, raw)
+                    blocks[k].children.append(len(blocks))
+                    k = len(blocks)
+                    blocks.append(b)
+                b = blocks[k]
+                runs.append((k, run))
                 b.chars += len(run)
                 b.links += min(linked, len(run))
                 b.words += run.count(" ") + 1
                 b.stops += run.count(".") + run.count(",") + run.count("?") + run.count("!")
                 b.runs += 1
-        linked = 0
+        linked, begun = 0, False
+        names[:] = [x for x in names if any(x[0] is e for e in stack)]
 
     def close(depth: int) -> None:
         nonlocal link
@@ -100,11 +116,14 @@ def read_page(source: str) -> Page:
         for t, _ in stack[depth:]:
             link -= t == "a"
         del stack[depth:]
+        if names and not begun:
+            names[:] = [x for x in names if any(x[0] is e for e in stack)]
 
     def said(piece: str) -> None:
-        nonlocal linked
+        nonlocal linked, begun
         if piece:
             text.append(piece)
+            begun = begun or not piece.isspace()
             if link:
                 linked += len(piece)
 
@@ -158,13 +177,15 @@ def read_page(source: str) -> Page:
         else:
             link += tag == "a"
             stack.append((tag, stack[-1][1]))
+            if not begun and blocks[stack[-1][1]].tag in ("html", "body"):
+                names.append((stack[-1], m[3]))
     flush()
     return Page(blocks, runs)
 
 
 NAMES = (
     "heading paragraph item list division section article main nav header footer aside form table cell quote figure preformatted depth outside inside hidden above_outside above_inside in_nav in_header in_footer "
-    "in_aside in_form in_article in_list log_chars link_share words_per_run stops_per_word runs blocks chars_per_block children position sibling_index siblings same_siblings sibling_chars parent_chars parent_links".split()
+    "in_aside in_form in_article in_list log_chars link_share words_per_run stops_per_word runs blocks chars_per_block children position sibling_index siblings same_siblings sibling_chars parent_chars parent_links loose loose_share article_share".split()
 )
 _KIND = {"p": 1, "li": 2, "ul": 3, "ol": 3, "dl": 3, "menu": 3, "div": 4, "section": 5, "article": 6, "main": 7, "nav": 8, "header": 9, "footer": 10, "aside": 11, "form": 12, "fieldset": 12, "table": 13, "td": 14, "th": 14, "blockquote": 15, "figure": 16, "figcaption": 16, "pre": 17} | {f"h{k}": 0 for k in range(1, 7)}
 
@@ -182,6 +203,8 @@ def features(page: Page) -> np.ndarray:
     for i in range(n - 1, 0, -1):
         tree[blocks[i].parent] += tree[i]
     out = np.zeros((n, len(NAMES)))
+    out[:, 47] = sum(b.chars for b in blocks if b.tag == LOOSE) / total
+    out[:, 48] = max((tree[i, 0] for i, b in enumerate(blocks) if b.tag in ("article", "main")), default=0) / total
     above = np.zeros((n, 9))
     for i, b in enumerate(blocks):
         f = out[i]
@@ -202,6 +225,7 @@ def features(page: Page) -> np.ndarray:
         f[22:31] = above[i]
         f[31:39] = np.log1p(chars), links / max(1, chars), words / max(1, runs), stops / max(1, words), runs, count, chars / count, len(b.children)
         f[39] = before[i] / total
+        f[46] = b.tag == LOOSE
         f[41] = len(brothers)
         if i:
             m = tree[b.parent]

@@ -140,6 +140,20 @@ def test_extraction_on_the_pages(spark):
     assert {r.page_id: r.text for r in html_extraction.main_texts(odd).collect()}[3] == "just text & more"
 
 
+def test_extraction_keeps_loose_articles(spark):
+    told = "The harbour was closed for a week, and the boats stayed in. Nobody could say when it would open again, not even the port office. "
+    nav, foot, ad = "<nav><ul><li><a href='/a'>Home</a></li><li><a href='/b'>News</a></li></ul></nav>", "<footer>&copy; example.com</footer>", "<div class='ad'>Buy our boats now.</div>"
+    one = " ".join((told * 3).split())
+    pages = {
+        1: (f"<body>{nav}{told * 3}<br><br>{told}<br>{told * 2}{foot}</body>", [" ".join((told * 6).split())]),
+        2: (f"<body>{nav}<span>{told * 3}</span>{ad}<font size=2>{told * 3}</font>{foot}</body>", [one, one]),
+        3: (f"<body>{ad}<my-story>{told}<br>{told * 2}</my-story><hr>{told * 3}{foot}", [one, one]),
+        4: (f"<body>{nav}<article><h1>Harbour closed</h1><p>{told * 3}</p></article>&copy; 2024 example.com &middot; All rights reserved.</body>", ["Harbour closed", one]),
+    }
+    got = html_extraction.main_texts(spark.createDataFrame([(k, "", v[0]) for k, v in pages.items()], "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text.split("\n") for r in got} == {k: v[1] for k, v in pages.items()}
+
+
 def test_page_tree_closes_what_html_closes():
     page = read_page("<p>a<p>b<ul><li>c<li>d</ul>e<script>x<p></script><!-- <p>no --><td>f")
     assert [t for _, t in page.runs] == ["a", "b", "c", "d", "e", "f"]
