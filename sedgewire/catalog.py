@@ -118,7 +118,7 @@ def hash_md5(spark, d):
 
 @query("SELECT count(*) AS record_count, sha256(string_agg(coalesce(sha256, ''), ',' ORDER BY row_no)) AS digest FROM SCAN")
 def manifest_digest(spark, d):
-    return R.manifest(documents_as_scan(spark, d)).select("record_count", F.sha2(F.array_join("hashes", ","), 256).alias("digest"))
+    return R.manifest_digest(documents_as_scan(spark, d))
 
 
 @query("SELECT page_id, lower(regexp_extract(url, '[^/](\\.[^./]+)$', 1)) AS suffix FROM pages")

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import argparse
+import contextlib
 import importlib.util
 import os
 import shutil
 import sys
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from sedgewire.operators import case_bundle, records
 from sedgewire.sources.cache import CacheTable
@@ -41,19 +41,21 @@ def scan(a) -> int:
 def report(a) -> int:
     rows = read_jsonl(session(), a.scan)
     kind = a.format or ("html" if a.html else "json")
-    text = case_bundle.render_html(rows) if kind == "html" else case_bundle.report_json(rows)
-    if a.out:
-        with open(a.out, "w", encoding="utf-8") as f:
-            f.write(text + "\n")
-    else:
-        print(text)
+    lines = case_bundle.html_lines(rows) if kind == "html" else [case_bundle.report_json(rows)]
+    with open(a.out, "w", encoding="utf-8") if a.out else contextlib.nullcontext(sys.stdout) as f:
+        for line in lines:
+            f.write(line + "\n")
     return 0
 
 
 def diff(a) -> int:
     spark = session()
-    changes = records.diff(read_jsonl(spark, a.old), read_jsonl(spark, a.new))
-    _show(records.diff_summary(changes).select(F.to_json(F.struct("added", "changed", "removed"))))
+    changes = records.diff(read_jsonl(spark, a.old), read_jsonl(spark, a.new)).cache()
+    for k, status in enumerate(("added", "changed", "removed")):
+        print(f'{"," if k else "{"}"{status}":', end="")
+        for piece in case_bundle.json_list(r.path for r in records.diff_rows(changes, status).toLocalIterator()):
+            print(piece, end="")
+    print("}")
     return 0
 
 

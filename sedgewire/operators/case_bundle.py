@@ -8,6 +8,7 @@ import json
 import os
 import uuid
 import zipfile
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +26,8 @@ def _key(metadata, *names):
 FINDINGS = {"author": ("author", "pdf_author", "docx_author"), "producer": ("producer", "pdf_producer"), "model": ("model", "exif_model")}
 
 
-def render_html(scan: DataFrame, strict: bool = False) -> str:
-    """Summary, types, findings, warnings, errors and the table of files; every value is escaped. strict: short metadata keys only."""
+def html_lines(scan: DataFrame, strict: bool = False) -> Iterator[str]:
+    """The report line by line, files as they come: summary, types, findings, warnings, errors and the table of files; every value is escaped. strict: short metadata keys only."""
     keys = {k: v[:1] if strict else v for k, v in FINDINGS.items()}
     v = F.parse_json(F.coalesce("metadata", F.lit("{}")))
     gps = F.greatest(F.variant_get(v, "$.gps", "variant").isNotNull(), F.lit(False) if strict else F.variant_get(v, "$.gps_latitude", "variant").isNotNull())
@@ -49,9 +50,16 @@ def render_html(scan: DataFrame, strict: bool = False) -> str:
         codes = scan.select(F.explode(name).alias("value"), "row_no").groupBy("value").agg(F.count("*").alias("n"), F.min("row_no").alias("first")).orderBy(F.desc("n"), "first")
         out += [f"<h2>{name.capitalize()}</h2><ul>", *[item(r.value, r.n) for r in codes.toLocalIterator()], "</ul>"]
     out.append("<h2>Files</h2><table><tr><th>path</th><th>mime</th><th>size</th><th>warnings</th><th>errors</th></tr>")
+    yield from out
     cells = scan.orderBy("row_no").select("path", "mime", "size_bytes", F.array_join("warnings", "|"), F.array_join("errors", "|"))
-    out += ["<tr>" + "".join(f"<td>{e('' if c is None else str(c))}</td>" for c in row) + "</tr>" for row in cells.toLocalIterator()]
-    return "\n".join([*out, "</table></body></html>"])
+    for row in cells.toLocalIterator():
+        yield "<tr>" + "".join(f"<td>{e('' if c is None else str(c))}</td>" for c in row) + "</tr>"
+    yield "</table></body></html>"
+
+
+def render_html(scan: DataFrame, strict: bool = False) -> str:
+    """The whole report as one text, for scans that fit the driver."""
+    return "\n".join(html_lines(scan, strict))
 
 
 def report_json(scan: DataFrame) -> str:
@@ -59,6 +67,15 @@ def report_json(scan: DataFrame) -> str:
     return json.dumps(row, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
 
 
+def json_list(values: Iterable[str], indent: str = "") -> Iterator[str]:
+    """A JSON list of texts in pieces; with an indent, laid out as json.dumps does."""
+    first = True
+    for value in values:
+        yield ("[" if first else ",") + (f"\n{indent}  " if indent else "") + json.dumps(value, ensure_ascii=False)
+        first = False
+    yield "[]" if first else (f"\n{indent}]" if indent else "]")
+
+
 def inside(base: str, rel: str) -> str | None:
     """The path below base, or None if rel leaves it."""
     full = os.path.realpath(os.path.join(base, rel))
@@ -69,10 +86,13 @@ def export_bundle(scan: DataFrame, path: str, notes: str | None = "", redact: bo
     """A ZIP with manifest.json, scan.jsonl, hashes.txt, reports/report.json, a redacted scan if asked for, and files below files_base. Returns the case id."""
     os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
     case = uuid.uuid4().hex
-    told = records.manifest(scan).first()
-    head = {"case_id": case, "created_at": datetime.datetime.now(datetime.UTC).replace(tzinfo=None).isoformat() + "Z", "notes": notes, "record_count": told.record_count, "hashes": told.hashes, "redacted": redact}
+    head = {"case_id": case, "created_at": datetime.datetime.now(datetime.UTC).replace(tzinfo=None).isoformat() + "Z", "notes": notes, "record_count": scan.count()}
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("manifest.json", json.dumps(head, ensure_ascii=False, indent=2) + "\n")
+        with z.open("manifest.json", "w", force_zip64=True) as member:
+            member.write((json.dumps(head, ensure_ascii=False, indent=2).removesuffix("\n}") + ',\n  "hashes": ').encode())
+            for piece in json_list((r.h for r in records.hash_rows(scan).toLocalIterator()), "  "):
+                member.write(piece.encode())
+            member.write(f',\n  "redacted": {json.dumps(redact)}\n}}\n'.encode())
         members = {"scan.jsonl": record_json(scan), "hashes.txt": records.hash_lines(scan)}
         if redact:
             members["scan.redacted.jsonl"] = record_json(records.sanitize(scan))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -62,8 +64,13 @@ def diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select("path", status.alias("status")).where("status is not null")
 
 
+def diff_rows(changes: DataFrame, status: str) -> DataFrame:
+    """The paths of one status, sorted by range: for any number of changes."""
+    return changes.where(F.col("status") == status).select("path").orderBy("path")
+
+
 def diff_summary(changes: DataFrame) -> DataFrame:
-    """One row of three sorted lists; for changes that fit one row."""
+    """One row of three sorted lists; for changes that fit one row (diff_rows: for more)."""
     of = lambda s: F.array_sort(F.collect_list(F.when(F.col("status") == s, F.col("path")))).alias(s)
     return changes.agg(of("added"), of("removed"), of("changed"))
 
@@ -107,10 +114,27 @@ def privacy_signals(scan: DataFrame) -> DataFrame:
     return scan.select("path", pick("has_gps", "has_author").alias("privacy_flags"), score.alias("risk_score"), pick("GPS_PRESENT", "AUTHOR_PRESENT").alias("reason_codes"))
 
 
-def manifest(scan: DataFrame) -> DataFrame:
-    """record_count and the hashes in row order, for a case that fits one row."""
-    hashes = F.transform(F.array_sort(F.collect_list(F.struct("row_no", F.coalesce("sha256", F.lit("")).alias("h")))), lambda x: x["h"])
-    return scan.agg(F.count("*").alias("record_count"), hashes.alias("hashes"))
+def hash_rows(scan: DataFrame) -> DataFrame:
+    """The hashes in row order (h), a null as the empty text, sorted by range."""
+    return scan.select("row_no", F.coalesce("sha256", F.lit("")).alias("h")).orderBy("row_no", "h").select("h")
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64()), pa.array([",".join(batch.column("h").to_pylist()).encode()])], names=["n", "part"])
+
+
+def manifest_digest(scan: DataFrame) -> DataFrame:
+    """One row: record_count and the SHA-256 of the hashes in row order, joined by commas (null if there are none).
+
+    One digest over all is a chain; executors sort and join the hashes, the driver takes one range at a time through it.
+    """
+    digest, count = hashlib.sha256(), 0
+    for r in hash_rows(scan).mapInArrow(_joined, "n long, part binary").toLocalIterator():
+        digest.update(b"," + r.part if count else r.part)
+        count += r.n
+    return scan.sparkSession.createDataFrame([(count, digest.hexdigest() if count else None)], "record_count long, digest string")
 
 
 def hash_lines(scan: DataFrame) -> DataFrame:

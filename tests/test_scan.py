@@ -1,3 +1,4 @@
+import hashlib
 import json
 import struct
 import zipfile
@@ -5,7 +6,7 @@ import zlib
 
 import pytest
 
-from sedgewire import cli
+from sedgewire import catalog, cli
 from sedgewire.operators import case_bundle, records
 from sedgewire.sources.cache import CacheTable
 from sedgewire.sources.extractors import exif
@@ -88,6 +89,38 @@ def test_jsonl_round_trip_diff_and_bundle(spark, tree, tmp_path):
     assert cli.main(["verify", str(out), "--base", str(tree)]) == 2
 
 
+def test_manifest_report_and_diff_by_ranges(spark, tmp_path, monkeypatch, capsys):
+    lines = [(k, None if k % 50 == 7 else hashlib.sha256(b"%d" % k).hexdigest(), f"d/é{k}") for k in range(2_000)]
+    scan = spark.createDataFrame(lines, "row_no long, sha256 string, path string").repartition(7)
+    scan = scan.selectExpr("*", "'m' AS mime", "1L AS size_bytes", "'{}' AS metadata", "array() AS warnings", "array('e') AS errors")
+    hashes = [h or "" for _, h, _ in lines]
+    out = tmp_path / "s.jsonl"
+    write_single_file(record_json(scan), str(out))
+    none = tmp_path / "none.jsonl"
+    none.write_text("")
+
+    def one_row(*_):
+        raise AssertionError("all rows in one")
+
+    with monkeypatch.context() as m:
+        m.setattr(records.F, "collect_list", one_row)
+        got = catalog.R.manifest_digest(scan).first()
+        assert tuple(got) == (2_000, hashlib.sha256(",".join(hashes).encode()).hexdigest())
+        assert tuple(records.manifest_digest(scan.limit(0)).first()) == (0, None)
+        m.setattr(case_bundle, "report_json", lambda _: "{}")
+        case_bundle.export_bundle(scan, str(tmp_path / "case.zip"), notes="n")
+        capsys.readouterr()
+        assert cli.main(["diff", str(none), str(out)]) == 0
+    told = json.loads(capsys.readouterr().out)
+    assert told == {"added": sorted(p for _, _, p in lines), "changed": [], "removed": []}
+    with zipfile.ZipFile(tmp_path / "case.zip") as z:
+        raw = z.read("manifest.json").decode()
+    head = json.loads(raw)
+    assert raw == json.dumps(head, ensure_ascii=False, indent=2) + "\n"
+    assert list(head) == ["case_id", "created_at", "notes", "record_count", "hashes", "redacted"] and head["hashes"] == hashes
+    assert sum(line.startswith("<tr><td>") for line in case_bundle.html_lines(scan)) == 2_000
+
+
 def test_paths_outside_the_base(tmp_path):
     assert case_bundle.inside(str(tmp_path), "../x") is None and case_bundle.inside(str(tmp_path), "/etc/passwd") is None
 
