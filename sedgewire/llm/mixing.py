@@ -59,7 +59,10 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], share: float, most:
 
 
 def thresholds(sizes: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source, source_size, target, passes, threshold) from (source, size, h): every document is taken `passes` times, and once more if h < threshold."""
+    """(source, source_size, target, passes, threshold) from (source, size, h): every document is taken `passes` times, and once more if h < threshold.
+
+    Where whole passes meet the target the threshold is 0, so texts without words aren't taken more often than the others; a source without words is taken once.
+    """
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     plan = targets.withColumn("passes", passes).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
     plan = checkpointed(plan.select("source", "source_size", "target", "passes", "rest"))
@@ -82,7 +85,7 @@ def thresholds(sizes: DataFrame, targets: DataFrame) -> DataFrame:
         edge_of = broadcast_if_small(state.select(F.col("source").alias("s"), F.col("prefix").alias("p")))
         rows = checkpointed(rows.join(edge_of, rows.source.eqNullSafe(edge_of.s) & (F.shiftright("h", shift) == F.col("p"))).select("source", "size", "h"))
     above = F.lit(1 << (_BITS * _LEVELS))
-    return plan.alias("a").join(done.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")), "left").select("a.source", "source_size", "target", "passes", F.coalesce("threshold", above).alias("threshold"))
+    return plan.alias("a").join(done.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")), "left").select("a.source", "source_size", "target", "passes", F.when((F.col("source_size") > 0) & (F.col("rest") <= 0), 0).otherwise(F.coalesce("threshold", above)).cast("long").alias("threshold"))
 
 
 def _newer(done: DataFrame, state: DataFrame, shift: int) -> DataFrame:

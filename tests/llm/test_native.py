@@ -40,3 +40,13 @@ def test_mixing_edges(spark):
     assert mixed.where("copies > 2 or copies < 0").count() == 0
     assert mixing.mix(spark.createDataFrame([], DOC)).count() == 0
     assert mixing.take_mix(spark.createDataFrame(rows, DOC)).columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_capped_source_takes_empty_texts_as_often_as_the_others(spark):
+    capped = [(i, "x" if i == 44 else None, None, "a", 0) for i in range(60)]  # the one with the highest hash has a word
+    rows = capped + [(100 + i, "w " * 50, None, s, 0) for i in range(40) for s in "bc"] + [(900, " ", None, "d", 0)]
+    mixed = mixing.mix(spark.createDataFrame(rows, DOC))
+    assert {r.copies for r in mixed.where("source = 'a'").collect()} == {2}
+    assert [r.copies for r in mixed.where("source = 'd'").collect()] == [1]
+    taken = mixing.take_mix(spark.createDataFrame(rows, DOC)).where("source = 'a'").groupBy("doc_id").count()
+    assert {r["count"] for r in taken.collect()} == {2}
