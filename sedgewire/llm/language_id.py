@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedgewire.llm.common import arrow_bytes, in_batches, lower_ascii
+from sedgewire.llm.common import arrow_bytes, broadcast_if_small, checkpointed, in_batches, lower_ascii
 
 DIMENSIONS = 4096
 _LETTER = regex.compile(r"\p{L}")
@@ -131,19 +131,18 @@ def held_out(doc_id, modulus: int, remainder: int):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus == remainder
 
 
-def fit_on(docs: DataFrame, sample: int = 4_000, most_languages: int = 200, most_bytes: int = 100_000) -> LanguageModel | None:
-    """Fit on a bounded sample of labelled rows that aren't held out: about `sample` in all, as many of each language,
-    chosen by a hash of id and text, of texts up to `most_bytes`; the `most_languages` most frequent languages. None if there are none."""
+def fit_on(docs: DataFrame, sample: int = 4_000, most_bytes: int = 100_000) -> LanguageModel | None:
+    """Fit on a bounded sample of labelled rows that aren't held out: about `sample` in all, as many of each language
+    (about 20 at least), chosen by a hash of id and text, of texts up to `most_bytes`. Every language is learned. None if there are none."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), 3, 1) & F.octet_length("text").between(1, most_bytes))
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
-    if not counts:
+    counts = checkpointed(known.groupBy("lang").agg(F.count("*").alias("n")))
+    languages = counts.count()
+    if not languages:
         return None
-    each = max(20, sample // len(counts))
+    each = max(20, sample // languages)
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003))
-    chosen = F.lit(False)
-    for r in counts:
-        chosen = chosen | ((F.col("lang") == r.lang) & (draw < int(1_000_003 * min(1.0, each / r.n)) + 1))
-    rows = known.where(chosen).select("text", "lang", F.xxhash64("doc_id", "text").alias("h")).toPandas().sort_values(["h", "text"], kind="stable")
+    chosen = draw < F.floor(1_000_003 * F.least(F.lit(1.0), float(each) / F.col("n"))) + 1
+    rows = known.join(broadcast_if_small(counts), "lang").where(chosen).select("text", "lang", F.xxhash64("doc_id", "text").alias("h")).toPandas().sort_values(["h", "text"], kind="stable")
     return fit(rows["text"].tolist(), rows["lang"].tolist())
 
 

@@ -70,6 +70,13 @@ def test_language_held_out_accuracy(spark):
     assert language_id.identify(odd, None).count() == 3
 
 
+def test_every_language_is_learned(spark):
+    rows = [(8 * k + i, f"{chr(0x4E00 + 40 * k)}{chr(0x4E00 + 40 * k + i)} " * 9, f"l{k:03}") for k in range(230) for i in range(8)]
+    known = {lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 3 != 1}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(known) > 200 and set(language_id.fit_on(docs).languages) == known
+
+
 def test_codewords_differ():
     for n in (1, 2, 4, 30):
         code = language_id.codewords(n)
