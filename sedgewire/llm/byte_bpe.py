@@ -5,18 +5,22 @@ from __future__ import annotations
 import base64
 import functools
 import itertools
+from array import array
 from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedgewire.llm.common import in_batches
+from sedgewire.llm.common import in_batches, without_columns
 
 _MASK = (1 << 64) - 1
+#: About what a kept pre-token takes beside its characters and ids: two objects and its place in a dictionary.
+_ENTRY = 180
 
 
 class PerfectHash:
@@ -80,11 +84,10 @@ class Vocabulary:
         self.joined = {ranks[t[:i]] << 32 | ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
         by_rank = sorted((r, t) for t, r in ranks.items())
         size = self.none = by_rank[-1][0] + 1
-        lengths = np.zeros(size, np.int64)
+        self.bytes_of = [b""] * size  # by rank
         for r, t in by_rank:
-            lengths[r] = len(t)
-        self.lengths, self.starts = lengths, np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        self.bytes = np.frombuffer(b"".join(t for _, t in by_rank), np.uint8)
+            self.bytes_of[r] = t
+        self.digest = xxhash.xxh3_128_hexdigest(b"".join(r.to_bytes(4, "little") + len(t).to_bytes(4, "little") + t for r, t in by_rank))
 
     def whole(self, piece: bytes) -> int | None:
         """The rank of a piece that is a token."""
@@ -124,14 +127,9 @@ class Vocabulary:
         return [x for x in ids if x >= 0]
 
     def decode(self, ids: np.ndarray) -> bytes:
-        out = []
-        for at in range(0, len(ids), 1 << 18):
-            part = ids[at : at + (1 << 18)]
-            lengths = self.lengths[part]
-            ends = np.cumsum(lengths)
-            index = np.repeat(self.starts[part] - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
-            out.append(self.bytes[index].tobytes())
-        return b"".join(out)
+        """The bytes of these ids; one outside the vocabulary stands for none."""
+        ids = ids[(ids >= 0) & (ids < self.none)]
+        return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -140,26 +138,34 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Encoder:
-    """Encodes texts; keeps the ranks of the last pre-tokens met: two generations of up to `kept` each."""
+    """Encodes texts; keeps the ids of the last pre-tokens met, packed: two generations of up to half of `kept_bytes` each."""
 
-    def __init__(self, vocabulary: Vocabulary, pattern: str, kept: int = 350_000) -> None:
-        self.vocabulary, self.kept = vocabulary, kept
+    def __init__(self, vocabulary: Vocabulary, pattern: str, kept_bytes: int = 64 << 20) -> None:
+        self.vocabulary, self.most, self.held = vocabulary, kept_bytes // 2, 0
         self.find = regex.compile(pattern).findall
-        self.seen: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
-
-    def __call__(self, text: str) -> list[int]:
-        if len(self.seen) > self.kept:
-            self.seen, self.older = {}, self.seen
-        seen, older = self.seen, self.older
+        self.seen: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _learn(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            raw = piece.encode()
+            rank = self.vocabulary.whole(raw)
+            ids = array("i", (rank,) if rank is not None else self.vocabulary.merged(raw)).tobytes()
+        if self.held > self.most:
+            self.seen, self.older, self.held = {}, self.seen, 0
+        self.seen[piece] = ids
+        self.held += _ENTRY + 4 * len(piece) + len(ids)
+        return ids
+
+    def __call__(self, text: str) -> bytes:
+        """The ids of a text as 32-bit integers."""
         pieces = self.find(text)
-        for p in set(pieces).difference(seen):
-            if (ids := older.get(p)) is None:
-                raw = p.encode()
-                rank = self.vocabulary.whole(raw)
-                ids = (rank,) if rank is not None else tuple(self.vocabulary.merged(raw))
-            seen[p] = ids
-        return list(itertools.chain.from_iterable(map(seen.__getitem__, pieces)))
+        known = list(map(self.seen.get, pieces))
+        if None in known:
+            new = {p: self._learn(p) for p in {p for p, ids in zip(pieces, known, strict=True) if ids is None}}
+            known = [new[p] if ids is None else ids for p, ids in zip(pieces, known, strict=True)]
+        return b"".join(known)
 
 
 @functools.lru_cache(maxsize=2)
@@ -167,55 +173,70 @@ def _vocabulary(path: str) -> Vocabulary:
     return Vocabulary(read_ranks(path))
 
 
-#: An encoder for each broadcast vocabulary and pattern, kept while the Python worker lives.
-_ENCODERS: dict[tuple[int, str], Encoder] = {}
+#: An encoder for each vocabulary (by the digest of its ranks) and pattern, kept while the Python worker lives.
+_ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 
-def _encode_batch(batch: pa.RecordBatch, shared, pattern: str) -> pa.RecordBatch:
-    key = (shared.value.bytes.size, pattern)
+def _encoder(vocabulary: Vocabulary, pattern: str) -> Encoder:
+    key = (vocabulary.digest, pattern)
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(shared.value, pattern)
-    encoder = _ENCODERS[key]
-    values, ends = [], [0]
-    for text in batch.column("text").to_pylist():
-        ids = encoder(text or "")
-        values.append(np.array(ids, np.int32))
-        ends.append(ends[-1] + len(ids))
-    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(values)))
+        _ENCODERS[key] = Encoder(vocabulary, pattern)
+    return _ENCODERS[key]
+
+
+def _encode_batch(batch: pa.RecordBatch, shared, pattern: str) -> pa.RecordBatch:
+    encoder = _encoder(shared.value, pattern)
+    ids = [encoder(text or "") for text in batch.column("text").to_pylist()]
+    ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
     return batch.append_column("ids", lists)
 
 
-def _with(frame: DataFrame, name: str, kind: str) -> str:
-    return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema] + [f"{name} {kind}"])
+def _decode_batch(batch: pa.RecordBatch, shared) -> pa.RecordBatch:
+    out = [shared.value.decode(np.asarray(x.values.fill_null(-1), dtype=np.int64)) if x.is_valid else b"" for x in batch.column("ids")]
+    return batch.append_column("decoded", pa.array(out, pa.binary()))
 
 
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """docs with ids, the token ids of the whole text. A null or empty text has none.
+def _transcode_batch(batch: pa.RecordBatch, shared, pattern: str) -> pa.RecordBatch:
+    both = _decode_batch(_encode_batch(batch, shared, pattern), shared)
+    exact = pc.equal(pc.fill_null(batch.column("text"), "").cast(pa.binary()), both.column("decoded"))
+    return both.drop_columns(["text"]).append_column("exact", exact)
 
-    path: the rank file, read on the driver and broadcast (its size is the vocabulary's, not the data's).
-    A column of docs named ids is replaced.
-    """
-    docs = docs.select(*[c for c in docs.columns if c.lower() != "ids"])
-    shared = docs.sparkSession.sparkContext.broadcast(_vocabulary(path))
-    return docs.mapInArrow(lambda it: in_batches(lambda b: _encode_batch(b, shared, pattern), it, 256), _with(docs, "ids", "array<int>"))
 
+def _with(frame: DataFrame, added: str) -> str:
+    return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema] + [added])
 
-def _decode_batch(batch: pa.RecordBatch, shared) -> pa.RecordBatch:
-    ids = batch.column("ids")
-    out = [shared.value.decode(np.asarray(x.values, dtype=np.int64)) if x.is_valid else b"" for x in ids]
-    return batch.append_column("decoded", pa.array(out, pa.binary()))
+
+def _shared(frame: DataFrame, path: str):
+    """The rank file, read on the driver and broadcast: its size is the vocabulary's, not the data's."""
+    return frame.sparkSession.sparkContext.broadcast(_vocabulary(path))
+
+
+def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """docs with ids, the token ids of the whole text. A null or empty text has none. A column of docs named ids is replaced; repeated rows give repeated results."""
+    docs, shared = without_columns(docs, "ids"), _shared(docs, path)
+    return docs.mapInArrow(lambda it: in_batches(lambda b: _encode_batch(b, shared, pattern), it), _with(docs, "ids array<int>"))
 
 
 def decode(frame: DataFrame, path: str) -> DataFrame:
-    """A frame with ids, plus decoded: the bytes they stand for (null ids: none). A column named decoded is replaced."""
-    frame = frame.select(*[c for c in frame.columns if c.lower() != "decoded"])
-    shared = frame.sparkSession.sparkContext.broadcast(_vocabulary(path))
-    return frame.mapInArrow(lambda it: in_batches(lambda b: _decode_batch(b, shared), it, 256), _with(frame, "decoded", "binary"))
+    """A frame with ids, plus decoded: the bytes they stand for (null ids, null in ids and numbers outside the vocabulary: none). A column named decoded is replaced."""
+    frame, shared = without_columns(frame, "decoded"), _shared(frame, path)
+    return frame.mapInArrow(lambda it: in_batches(lambda b: _decode_batch(b, shared), it), _with(frame, "decoded binary"))
+
+
+def transcode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """docs without text, but with ids, decoded (the bytes that the ids stand for) and exact (whether those are the text's): encode and decode in one pass.
+
+    A null text is empty and decodes to no bytes. Columns of the added names are replaced; an empty table gives an empty result.
+    """
+    docs, shared = without_columns(docs, "ids", "decoded", "exact"), _shared(docs, path)
+    ddl = _with(docs.drop("text"), "ids array<int>, decoded binary, exact boolean")
+    return docs.mapInArrow(lambda it: in_batches(lambda b: _transcode_batch(b, shared, pattern), it), ddl)
 
 
 def token_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """The contract's digests of encoding and decoding."""
-    both = decode(encode(docs.select("doc_id", "text"), path, pattern).drop("text"), path)
+    """The contract's digests of encoding and decoding, a row for each row of docs; a null text is empty. Other columns of docs are ignored."""
+    both = transcode(docs.select("doc_id", "text"), path, pattern)
     text = F.concat_ws(",", F.col("ids").cast("array<string>"))
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(text, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -22,10 +22,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where nobody set one (tests, one machine), a folder of its own."""
+    """The folder that spark.checkpoint.dir names. Where nobody set one, a folder of its own on one machine (tests); on a cluster that is an error, as executors don't share local folders."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return context.getCheckpointDir()
 
 
@@ -42,6 +45,12 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system, whichever that is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def broadcast_if_small(df: DataFrame, rows: int = 20_000) -> DataFrame:
     """Hint a broadcast if a count shows at most this many (narrow) rows; otherwise the planner joins by shuffle and splits skew at run time."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -118,8 +127,23 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def in_batches(function, batches: Iterable[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    """Apply a function to the batches of mapInArrow, in smaller pieces so that Python's memory stays bounded."""
+def _bytes_before(column: pa.Array) -> np.ndarray | None:
+    """For each row of a column of texts, bytes or lists the bytes (of a list: its values, at 8 bytes) before it, and all at the end; None for other kinds."""
+    kind = column.type
+    wide = pa.types.is_large_string(kind) or pa.types.is_large_binary(kind) or pa.types.is_large_list(kind)
+    if not wide and not (pa.types.is_string(kind) or pa.types.is_binary(kind) or pa.types.is_list(kind)) or not len(column):
+        return None
+    offsets = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32, count=len(column) + 1 + column.offset)[column.offset :]
+    return (offsets - offsets[0]).astype(np.int64) * (8 if pa.types.is_list(kind) or pa.types.is_large_list(kind) else 1)
+
+
+def in_batches(function, batches: Iterable[pa.RecordBatch], rows: int = 1024, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Apply a function to the batches of mapInArrow, in pieces of at most so many rows and bytes of text (one row at least), so that what Python holds stays bounded."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield function(batch.slice(at, rows))
+        known = [x for x in map(_bytes_before, batch.columns) if x is not None]
+        before = np.sum(known, axis=0) if known else np.zeros(batch.num_rows + 1, np.int64)
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, min(at + rows, int(np.searchsorted(before, before[at] + most, side="right")) - 1))
+            yield function(batch.slice(at, to - at))
+            at = to

@@ -5,12 +5,14 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
 from sedgewire.llm import byte_bpe, html_extraction, language_id, toxicity, transport_stream
+from sedgewire.llm.common import in_batches
 from sedgewire.llm.page_samples import sample_pages
 from sedgewire.llm.page_tree import features, read_page
 
@@ -56,8 +58,28 @@ def test_bpe_equals_tiktoken(spark):
     encoded = byte_bpe.encode(docs, PATH, public_tokenizers.PATTERN)
     for r in byte_bpe.decode(encoded, PATH).collect():
         assert r.ids == real.encode_ordinary(TEXTS[r.doc_id] or "") and bytes(r.decoded) == (TEXTS[r.doc_id] or "").encode()
-    small = byte_bpe.Encoder(byte_bpe.Vocabulary(ranks), public_tokenizers.PATTERN, kept=3)
-    assert [small(t or "") for t in TEXTS] == [real.encode_ordinary(t or "") for t in TEXTS]
+    both = byte_bpe.transcode(docs.selectExpr("*", "0 as DECODED", "doc_id as other"), PATH, public_tokenizers.PATTERN)
+    assert both.columns == ["doc_id", "other", "ids", "decoded", "exact"]
+    for r in both.collect():
+        assert r.exact and r.ids == real.encode_ordinary(TEXTS[r.doc_id] or "") and bytes(r.decoded) == (TEXTS[r.doc_id] or "").encode()
+    small = byte_bpe.Encoder(byte_bpe.Vocabulary(ranks), public_tokenizers.PATTERN, kept_bytes=900)
+    assert [np.frombuffer(small(t or ""), np.int32).tolist() for t in TEXTS] == [real.encode_ordinary(t or "") for t in TEXTS]
+    assert small.held <= 450 + 6 * max(len(t or "") for t in TEXTS)
+    odd = spark.createDataFrame([([1, None, 10**6, -3],), (None,)], "ids array<int>")
+    assert [bytes(r.decoded) for r in byte_bpe.decode(odd, PATH).collect()] == [next(t for t, k in ranks.items() if k == 1), b""]
+
+
+def test_two_vocabularies_in_one_worker():
+    ranks = {bytes([b]): b for b in range(256)}
+    one, two = byte_bpe.Vocabulary(ranks | {b"ab": 256, b"cd": 257}), byte_bpe.Vocabulary(ranks | {b"ab": 257, b"cd": 256})
+    ids = lambda v: np.frombuffer(byte_bpe._encoder(v, public_tokenizers.PATTERN)("abcd"), np.int32).tolist()
+    assert (ids(one), ids(two)) == ([256, 257], [257, 256])
+
+
+def test_pieces_are_cut_by_bytes():
+    batch = pa.RecordBatch.from_pydict({"text": ["x" * 10] * 5 + ["y" * 100, None, ""], "k": list(range(8))}).slice(1)
+    got = list(in_batches(lambda b: b, [batch, batch.slice(0, 0)], rows=3, most=25))
+    assert [b.num_rows for b in got] == [2, 2, 1, 2] and pa.Table.from_batches(got).equals(pa.Table.from_batches([batch]))
 
 
 def test_language_held_out_accuracy(spark):
