@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedgewire.llm import byte_bpe, line_dedup, mixing, near_duplicates, toxicity
-from sedgewire.llm.common import read_table, shared_folder
+from sedgewire.llm.common import read_table, remove_folder, shared_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,11 +36,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, and whether they decode to it."""
-    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    both = byte_bpe.decode(byte_bpe.encode(docs.select("doc_id", "source", "lang", "text"), path, public_tokenizers.PATTERN), path)
-    exact = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
-    return both.select("doc_id", "source", "lang", "ids", F.size("ids").cast("long").alias("n_tokens"), exact.alias("round_trip"))
+    """Token ids of each text (null or empty: none), and whether they decode to it. One row for each row of docs."""
+    both = byte_bpe.transcode(docs.select("doc_id", "source", "lang", "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return both.select("doc_id", "source", "lang", "ids", F.size("ids").cast("long").alias("n_tokens"), F.col("exact").alias("round_trip"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -56,10 +54,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each but the last is written as Parquet in the shared folder and read again."""
+    """All stages over the documents; each but the last is written as Parquet in the shared folder and read again. A stage's table goes once the next one's is complete."""
     docs = read_table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder, before = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        path = f"{folder}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            remove_folder(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
+
+
+QUERIES = {"pipeline": run}
