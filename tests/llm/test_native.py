@@ -24,8 +24,23 @@ def test_line_dedup_edges(spark):
     assert line_dedup.remove_boilerplate(docs.limit(0), 8).count() == 0
 
 
+def test_line_dedup_counts_the_null_source_and_replaces_added_names(spark):
+    rows = [(i, f"shared\nown {i}", "en", s, 0) for i, s in enumerate(["", None, "a", "b", "c", "d", "e", "f"])]
+    docs = spark.createDataFrame(rows, DOC).selectExpr("*", "7 AS N_Lines", "'x' AS text_kept", "1 AS removed", "2 AS text_key", "3 AS row")
+    got = line_dedup.remove_boilerplate(docs, 8)
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "removed", "text_key", "row", "n_lines", "n_removed", "text_kept"]
+    assert {r.doc_id: (r.n_lines, r.n_removed, r.text_kept, r.removed) for r in got.collect()} == {i: (2, int(i > 0), f"own {i}" if i else rows[0][1], 1) for i in range(8)}
+    assert line_dedup.remove_boilerplate(docs, 9).where("n_removed > 0").count() == 0
+
+
+def test_copies_of_a_whole_text_are_no_boilerplate(spark):
+    rows = [(i, "one line\nanother line", "en", f"s{i}", 0) for i in range(40)] + [(100 + i, f"menu\nown {i}", "en", f"s{i}", 0) for i in range(8)]
+    got = {r.doc_id: r.n_removed for r in line_dedup.remove_boilerplate(spark.createDataFrame(rows, DOC), 8).collect()}
+    assert got == {**{i: 0 for i in range(40)}, **{100 + i: int(i > 0) for i in range(8)}}
+
+
 def test_near_threshold_lines_are_counted_exactly(spark):
-    rows = [(100 * k + i, f"line {k}", "en", f"s{i % k}", 0) for k in range(6, 12) for i in range(24)]
+    rows = [(100 * k + i, f"line {k}\nown {k} {i}", "en", f"s{i % k}", 0) for k in range(6, 12) for i in range(24)]
     lines = line_dedup.line_table(spark.createDataFrame(rows, DOC))
     assert line_dedup.boilerplate_lines(lines, 8).count() == 4
 
