@@ -19,14 +19,14 @@ _UP = np.multiply.accumulate(np.concatenate([[U64(1)], np.full(_CHUNK + 1024, _B
 _DOWN = np.multiply.accumulate(np.concatenate([[U64(1)], np.full(_CHUNK + 1024, pow(_BASE, -1, 1 << 64), np.uint64)]))
 
 
-def anchors(data: np.ndarray, window: int = 200) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of one text's bytes: anchor hash, segment hash, first start and number of starts of each run, in order.
+def anchors(data: np.ndarray, window: int = 200) -> tuple[np.ndarray, ...]:
+    """Of one text's bytes: anchor hash, segment hash, first start and number of starts of each run, in order, and where in the run's bytes the anchor stands.
 
     Texts are worked through in chunks of starts; a run that a chunk's end cuts becomes two.
     """
     parts = [_chunk(data[at : at + _CHUNK + window - 1], at, window) for at in range(0, max(0, len(data) - window + 1), _CHUNK)]
     if not parts:
-        return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64))
+        return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
@@ -52,15 +52,19 @@ def _chunk(data: np.ndarray, at: int, window: int):
     ends = begins + counts + window - 1
     segment = mix64((sums[ends] - sums[begins]) * _DOWN[begins])
     segment = mix64(segment + counts.astype(np.uint64) * U64(0x9E3779B97F4A7C15) + (where[begins] - begins).astype(np.uint64))
-    return h[where[begins]], segment, begins + at, counts
+    return h[where[begins]], segment, begins + at, counts, where[begins] - begins
 
 
-def window_hashes(data: np.ndarray, window: int = 200) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of each window of a segment (shorter than a chunk)."""
-    out = []
-    for turn in (0, 1):
-        codes = _CODES[data] if not turn else mix64(_CODES[data])
-        sums = np.concatenate([[U64(0)], np.cumsum(codes * _UP[: len(codes)], dtype=np.uint64)])
-        n = len(data) - window + 1
-        out.append(mix64((sums[window : window + n] - sums[:n]) * _DOWN[:n] + U64(turn)))
-    return out[0], out[1]
+
+def halves(raw: bytes, n: int, offset: int, low: int, high: int, window: int = 200):
+    """Cut a run whose windows have their anchor at a distance of low to high (both included) in two, by distance.
+
+    Yields (low, high, core, first start, number of starts, offset, bytes) of each half that has windows; core is
+    the bytes that all windows with that anchor at these distances share, so equal windows have equal cores. At one distance the core is the window.
+    """
+    middle = (low + high) // 2
+    for a, b in ((low, middle), (middle + 1, high)):
+        first, last = max(0, offset - b), min(n - 1, offset - a)
+        if a <= b and first <= last:
+            core = raw[offset - a : offset - b + window]
+            yield a, b, core, first, last - first + 1, offset - first, raw[first : last + window]

@@ -176,20 +176,29 @@ def _removed(texts, window):
 
 
 @pytest.mark.parametrize("group", [2_000, 2])
-def test_repeats_against_brute_force(spark, group, monkeypatch):
+def test_repeats_against_brute_force(spark, group):
     rng = random.Random(7)
     word = lambda: "".join(rng.choices("abcdeé ", k=rng.randint(2, 9)))
     passage = "".join(word() for _ in range(120))
     texts = ["".join(word() for _ in range(rng.randint(0, 60))) + passage[(a := rng.randint(0, 200)) : a + rng.randint(100, 420)] + "".join(word() for _ in range(40)) for _ in range(25)]
+    texts += [word() + passage[100:293] + word() for _ in range(8)]  # a shared passage under 200 bytes within longer common ones
     texts += [texts[0], "a" * 500, "ab" * 120, "", None, "z" * 199, "y" * 200, "y" * 200]
-    from sedgewire.llm import repeated_spans
-
-    real = repeated_spans.repeated_ranges
-    monkeypatch.setattr(repeated_spans, "repeated_ranges", lambda docs, window: real(docs, window, group=group))
-    got = {r.doc_id: r for r in remove_repeats(spark.createDataFrame(list(enumerate(texts)), DOC)).collect()}
+    docs = spark.createDataFrame(list(enumerate(texts)), DOC).selectExpr("*", "1 AS ranges", "2 AS text_key", "3 AS N_Spans")
+    cut = remove_repeats(docs, group=group, share=5)
+    assert cut.columns == ["doc_id", "text", "ranges", "text_key", "n_bytes", "n_removed", "n_spans", "spans", "kept"]
+    got = {r.doc_id: r for r in cut.collect()}
     raw = [(t or "").encode() for t in texts]
     for i, kept in enumerate(_removed(raw, 200)):
-        assert (got[i].n_bytes, bytes(got[i].kept), got[i].n_removed) == (len(raw[i]), kept, len(raw[i]) - len(kept)), i
+        assert (got[i].n_bytes, bytes(got[i].kept), got[i].n_removed, got[i].ranges) == (len(raw[i]), kept, len(raw[i]) - len(kept), 1), i
+    if group == 2_000:
+        assert remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_repeats_of_the_table_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = docs.collect()
+    got = {r.doc_id: bytes(r.kept) for r in remove_repeats(docs).collect()}
+    assert got == {r.doc_id: kept for r, kept in zip(rows, _removed([(r.text or "").encode() for r in rows], 200), strict=True)}
 
 
 def test_nulls_in_arrow_columns():
