@@ -4,9 +4,9 @@
    size, signature and band hashes. Texts with one fingerprint are one node from here on.
 2. Nodes that share a band's bucket are candidates. Each is first compared with the bucket's
    least node; the full shingle sets decide (array_intersect in the JVM).
-3. Buckets that still hold several components compare the members of different components
-   inside tasks, in blocks, each pair in the first band it shares, on full sets again, so no
-   pairs are written and nothing is capped.
+3. In a bucket that still holds several components, the members outside its center's component are
+   compared with all members, inside tasks, in blocks, each pair in the first band it shares, on full sets
+   again. So no pairs are written and nothing is capped, and the work of a bucket is its size times those outside, not its square.
 4. Links are grouped by contraction (components.py).
 
 m = bands * rows slots: with 24 bands of 4 a pair at similarity 0.8 is missed with probability 3e-6, at 0.85 with 2e-8.
@@ -91,22 +91,19 @@ def _set_batch(batch: pa.RecordBatch, k: int) -> pa.RecordBatch:
 
 
 def _block_links(pdf: pd.DataFrame, percent: int, margin: float) -> pd.DataFrame:
-    """Links between different components among the members of one bucket's pair of blocks, a spanning forest of them."""
+    """Links between different components, a spanning forest of them: the rows marked left, which are outside the center's component, against those marked member."""
     out: list[tuple[bytes, bytes]] = []
-    band, bi, bj = (int(pdf[c].iloc[0]) for c in ("band", "bi", "bj"))
-    nodes, block = pdf["node"].tolist(), pdf["block"].to_numpy()
-    codes, comp = np.unique(np.array([x.hex() for x in pdf["root"]]), return_inverse=True)
-    comp = comp.astype(np.int64)
-    sets = [np.asarray(x, dtype=np.int64) for x in pdf["shingles"]]  # sorted as unsigned; only membership matters below
-    sets = [np.sort(x) for x in sets]
+    band = int(pdf["band"].iloc[0])
+    nodes, left, member, outside = pdf["node"].tolist(), pdf["left"].to_numpy(), pdf["member"].to_numpy(), pdf["outside"].to_numpy()
+    comp = np.unique(np.array([x.hex() for x in pdf["root"]]), return_inverse=True)[1].astype(np.int64)
+    order = np.argsort(np.argsort(np.array([x.hex() for x in nodes])))
+    sets = [np.sort(np.asarray(x, dtype=np.int64)) for x in pdf["shingles"]]  # only membership matters below
     size = np.array([len(x) for x in sets])
     bands = np.stack([np.asarray(x, dtype=np.int64) for x in pdf["bands"]])
     sig = np.stack([np.frombuffer(x, np.uint16) for x in pdf["signature"]])
     least = percent / 100 - margin
-    for i in range(len(nodes)):
-        others = np.flatnonzero((comp != comp[i]) & ((block == bj) if bi != bj else (np.arange(len(nodes)) > i)))
-        if bi != bj and block[i] != bi or not len(others):
-            continue
+    for i in np.flatnonzero(left):
+        others = np.flatnonzero(member & (comp != comp[i]) & (~outside | (order > order[i])))  # two outside meet once
         small, large = np.minimum(size[others], size[i]), np.maximum(size[others], size[i])
         others = others[100 * small >= percent * large]
         others = others[(bands[others, :band] != bands[i, :band]).all(axis=1)]  # else an earlier band compares the pair
@@ -157,13 +154,21 @@ def near_duplicate_groups(docs: DataFrame, k: int = 5, percent: int = 80, bands:
     roots = connected_components(links)
 
     named = shared.join(roots, "node", "left").select("band", "bucket", "n", shared.node, F.coalesce("root", shared.node).alias("root"))
-    mixed = named.groupBy("band", "bucket", "n").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("node").alias("first"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.reverse(F.hex("node")))).alias("y"))
+    same = (F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.reverse(F.hex("node")))).alias("y"))
+    mixed = named.groupBy("band", "bucket", "n").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("node").alias("first"), F.min_by("root", "node").alias("main"), *same).where("lo <> hi")
     # a bucket with the very members of one of an earlier band has no pair that it would be the first to compare
-    mixed = mixed.where("lo <> hi").groupBy("n", "first", "x", "y").agg(F.min(F.struct("band", "bucket")).alias("b")).select("b.band", "b.bucket")
-    blocks = F.greatest(F.ceil(F.col("n") / block_rows), F.lit(1)).cast("int")
-    split = named.join(mixed, ["band", "bucket"], "left_semi").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    split = split.select("*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    split = split.select("band", "bucket", "node", "root", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
+    mixed = mixed.groupBy("n", "first", "x", "y").agg(F.min(F.struct("band", "bucket", "main")).alias("b")).select("b.band", "b.bucket", "b.main")
+    held = checkpointed(named.join(mixed, ["band", "bucket"]).withColumn("outside", F.col("root") != F.col("main")))
+    out_blocks = F.ceil(F.col("s") / block_rows).cast("int")
+    counts = held.where("outside").groupBy("band", "bucket").agg(F.count("*").alias("s")).select("band", "bucket", out_blocks.alias("sb"))
+    all_blocks = F.greatest(F.ceil(F.col("n") / block_rows), F.lit(1)).cast("int")
+    split = held.join(counts, ["band", "bucket"]).withColumn("nb", all_blocks).withColumn("mine", F.pmod(F.xxhash64("node"), all_blocks).cast("int"))
+    split = split.withColumn("own", F.when(F.col("outside"), F.pmod(F.xxhash64(F.lit(1), "node"), F.col("sb"))).cast("int"))
+    against = F.transform(F.sequence(F.lit(0), F.col("sb") - 1), lambda y: F.struct(y.alias("bi"), F.col("mine").alias("bj")))
+    from_own = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda x: F.struct(F.col("own").alias("bi"), x.alias("bj")))
+    split = split.select("*", F.inline(F.when(F.col("outside"), F.array_distinct(F.concat(against, from_own))).otherwise(against)))
+    roles = (F.coalesce(F.col("bi") == F.col("own"), F.lit(False)).alias("left"), (F.col("bj") == F.col("mine")).alias("member"))
+    split = split.select("band", "bucket", "node", "root", "outside", "bi", "bj", *roles)
     grouped = split.join(sets, "node").groupBy("band", "bucket", "bi", "bj")
     extra = grouped.applyInPandas(lambda pdf: _block_links(pdf, percent, margin), "a binary, b binary")
     extra = checkpointed(extra)

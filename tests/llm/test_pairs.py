@@ -96,6 +96,20 @@ def test_near_duplicates_against_brute_force(spark, k, percent):
     assert near_duplicate_groups(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_the_table_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    sets, places = {r.doc_id: _shingles(r.text, 3) for r in rows}, {}
+    for i, own in sets.items():
+        for x in own:
+            places.setdefault(x, []).append(i)
+    shared = Counter(p for ids in places.values() for p in itertools.combinations(ids, 2))
+    links = [(a, b) for (a, b), n in shared.items() if 100 * n >= 85 * (len(sets[a]) + len(sets[b]) - n)]
+    want = _groups(sets, links)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicate_groups(docs, k=3, percent=85).collect()}
+    assert links and got == {i: (len(s), want[i]) for i, s in sets.items()}
+
+
 def test_embedding_groups_against_brute_force(spark):
     rng = np.random.default_rng(2)
     rows, centers = [], rng.standard_normal((6, 8))
