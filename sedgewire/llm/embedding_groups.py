@@ -2,70 +2,73 @@
 
 Unit vectors with cosine >= c are at Euclidean distance <= eps = sqrt(2 - 2c). Within a label every vector
 belongs to the cell of its nearest pivot. If x (nearest pivot p) and y (nearest pivot q) are within
-eps, the triangle inequality gives d(x,q) <= d(y,q) + eps <= d(y,p) + eps <= d(x,p) + 2 eps, so x is
-copied to every lower-numbered cell q for which that holds, and each pair meets once: in the
-lower of its two cells. Cells join on their own; large ones do so in pairs of blocks.
+eps, the triangle inequality gives d(x,q) <= d(y,q) + eps, which is at most the radius of q's cell + eps, and
+d(y,q) + eps <= d(y,p) + eps <= d(x,p) + 2 eps. So x is copied to every lower-numbered cell q for which both hold, and
+each pair meets once: in the lower of its two cells. Cells join on their own; large ones do so in pairs of blocks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sedgewire.llm.common import broadcast_if_small, checkpointed
 from sedgewire.llm.components import connected_components
 
-_CELLS = "label long, dim int, cell int, home boolean, node binary, copies long, vector array<double>"
-
 
-def _units(lists: pa.Array, dim: int) -> np.ndarray:
-    x = np.asarray(lists.flatten(), dtype=np.float64).reshape(-1, dim)
+def _units(vectors: pd.Series) -> np.ndarray:
+    x = np.stack(vectors.to_numpy()).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)  # so that no square overflows or vanishes
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _place(eps: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Home cell and boundary copies of each vector."""
-    for batch in batches:
-        groups: dict[tuple[int, int], list[int]] = {}
-        for i, key in enumerate(zip(batch.column("label").to_pylist(), batch.column("dim").to_pylist(), strict=True)):
-            groups.setdefault(key, []).append(i)
-        for (label, dim), rows in groups.items():
-            own = batch.take(pa.array(rows))
-            x = _units(own.column("embedding"), dim)
-            p = _units(own.column("pivots").slice(0, 1).flatten(), dim)
-            d2 = np.maximum(2 - 2 * (x @ p.T), 0)
-            home = d2.argmin(axis=1)
-            d = np.sqrt(d2)
-            near = d[np.arange(len(x)), home]
-            between = np.sqrt(np.maximum(2 - 2 * (p @ p.T), 0))[home]
-            reach = (d <= near[:, None] + 2 * eps + 1e-9) & (d2 - near[:, None] ** 2 <= 2 * eps * between + 1e-9)  # the second: distance to the bisector
-            reach &= np.arange(len(p))[None, :] < home[:, None]
-            at, cell = np.nonzero(reach)
-            index = np.concatenate([np.arange(len(x)), at])
-            flat = x[index]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(len(index), label, np.int64)),
-                    pa.array(np.full(len(index), dim, np.int32)),
-                    pa.array(np.concatenate([home, cell]).astype(np.int32)),
-                    pa.array(np.arange(len(index)) < len(x)),
-                    own.column("node").take(pa.array(index)),
-                    own.column("copies").take(pa.array(index)),
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(index) + 1, dtype=np.int32) * dim), pa.array(flat.reshape(-1))),
-                ],
-                names=["label", "dim", "cell", "home", "node", "copies", "vector"],
-            )
+def _distances(own: pd.DataFrame, pivots: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pivots' vectors in order of their cells, squared distances to them, the nearest one and its distance."""
+    p = _units(pivots["embedding"])
+    d2 = np.maximum(2 - 2 * (_units(own["embedding"]) @ p.T), 0)
+    home = d2.argmin(axis=1)
+    return p, d2, home, np.sqrt(d2[np.arange(len(own)), home])
+
+
+def _radii(key: tuple, own: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+    """Of a part of a label: the greatest distance to the pivot in each cell."""
+    if not len(own):
+        return pd.DataFrame({"label": [], "dim": [], "cell": [], "radius": []})
+    pivots = pivots.sort_values("cell")
+    _, _, home, near = _distances(own, pivots)
+    radius = np.full(len(pivots), -1.0)
+    np.maximum.at(radius, home, near)
+    used = np.flatnonzero(radius >= 0)
+    return pd.DataFrame({"label": key[0], "dim": key[1], "cell": pivots["cell"].to_numpy()[used], "radius": radius[used]})
+
+
+def _place(key: tuple, own: pd.DataFrame, pivots: pd.DataFrame, eps: float) -> pd.DataFrame:
+    """Home cell and boundary copies of each vector of a part of a label."""
+    names = ["label", "dim", "cell", "home", "node", "copies", "vector"]
+    if not len(own):
+        return pd.DataFrame({n: [] for n in names})
+    pivots = pivots.sort_values("cell")
+    p, d2, home, near = _distances(own, pivots)
+    radius = pivots["radius"].to_numpy()
+    between = np.sqrt(np.maximum(2 - 2 * (p @ p.T), 0))[home]
+    d = np.sqrt(d2)
+    reach = (d <= near[:, None] + 2 * eps + 1e-9) & (d <= radius[None, :] + eps + 1e-9)
+    reach &= d2 - near[:, None] ** 2 <= 2 * eps * between + 1e-9  # distance to the bisector
+    reach &= np.arange(len(p))[None, :] < home[:, None]
+    at, cell = np.nonzero(reach)
+    index = np.concatenate([np.arange(len(own)), at])
+    number = pivots["cell"].to_numpy()[np.concatenate([home, cell])]
+    rest = {c: own[f].to_numpy()[index] for c, f in (("node", "node"), ("copies", "copies"), ("vector", "embedding"))}
+    return pd.DataFrame({"label": key[0], "dim": key[1], "cell": number, "home": np.arange(len(index)) < len(own), **rest})
 
 
 def _cell_links(pdf: pd.DataFrame, cosine: float) -> pd.DataFrame:
     """Of one cell's pair of blocks: each linked node, the copies it links to here, and a common member of its component here."""
     x, y = int(pdf["x"].iloc[0]), int(pdf["y"].iloc[0])
-    u = np.stack(pdf["vector"].to_numpy())
+    u = _units(pdf["vector"])
     home, copies = pdf["home"].to_numpy(), pdf["copies"].to_numpy()
     left = np.flatnonzero(home & (pdf["block"].to_numpy() == x))
     linked = u[left] @ u.T >= cosine
@@ -91,7 +94,7 @@ def _cell_links(pdf: pd.DataFrame, cosine: float) -> pd.DataFrame:
     return pd.DataFrame({"node": nodes[keep], "n": count[keep], "root": nodes[root[keep]]})
 
 
-def embedding_groups(vectors: DataFrame, cosine: float = 0.93, cell_rows: int = 1024, most_pivots: int = 64) -> DataFrame:
+def embedding_groups(vectors: DataFrame, cosine: float = 0.93, cell_rows: int = 1024, part_rows: int = 20_000) -> DataFrame:
     """Per row of (vec_id, label, embedding): vec_id, n_links, component_id, kept.
 
     Vectors are compared if their labels and lengths are equal and the label is not null. A null or zero vector, or
@@ -99,23 +102,38 @@ def embedding_groups(vectors: DataFrame, cosine: float = 0.93, cell_rows: int =
     label are one node that counts its copies, so n_links is the number of other rows linked
     directly. component_id is the least vec_id reachable; null ids count as links but are never a
     component_id. Other columns are ignored; an empty table gives an empty result.
+
+    A label has a pivot for each cell_rows vectors, but not more than the root of their number, so placing a label's vectors
+    and joining its cells grow alike. part_rows: vectors of a label that a task places at once.
     """
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), F.col("embedding").cast("array<double>"))
+    kinds = dict(vectors.dtypes)
+    value = "float" if kinds["embedding"] == "array<float>" else "double"
+    rows = vectors.select(F.col("vec_id").cast("long"), "label", F.col("embedding").cast(f"array<{value}>"))
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     valid = F.col("label").isNotNull() & F.col("embedding").isNotNull() & finite & F.exists("embedding", lambda v: v != 0)
-    key = F.unhex(F.md5(F.concat_ws(":", F.col("label").cast("string"), F.col("embedding").cast("string")).cast("binary")))
-    rows = checkpointed(rows.withColumn("node", F.when(valid, key)))
+    half = lambda *seed: F.lpad(F.hex(F.xxhash64(*seed, "label", "embedding")), 16, "0")
+    rows = checkpointed(rows.withColumn("node", F.when(valid, F.unhex(F.concat(half(), half(F.lit("node")))))))
     nodes = rows.where("node is not null").groupBy("node").agg(F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.count("*").alias("copies"), F.min("vec_id").alias("id"))
     nodes = checkpointed(nodes.withColumn("dim", F.size("embedding")))
 
     sizes = nodes.groupBy("label", "dim").agg(F.count("*").alias("rows"), F.min("node").alias("least"))
-    wanted = F.least(F.ceil(F.col("rows") / cell_rows), F.lit(most_pivots))
-    drawn = nodes.join(broadcast_if_small(sizes), ["label", "dim"])
-    drawn = drawn.where((F.col("node") == F.col("least")) | (F.pmod(F.xxhash64("node"), F.col("rows")) < wanted - 1))
-    pivots = checkpointed(drawn.groupBy("label", "dim").agg(F.collect_list("embedding").alias("pivots")))  # about most_pivots vectors at most
-    spread = nodes.join(broadcast_if_small(pivots, 2_000), ["label", "dim"]).select("label", "dim", "node", "copies", "embedding", "pivots")
+    wanted = F.least(F.ceil(F.col("rows") / cell_rows), F.ceil(F.sqrt("rows")))
+    sizes = checkpointed(sizes.withColumn("wanted", wanted).withColumn("parts", F.ceil(F.col("rows") / part_rows).cast("int")))
+    sized = nodes.join(broadcast_if_small(sizes), ["label", "dim"])
+    drawn = sized.where((F.col("wanted") > 1) & ((F.col("node") == F.col("least")) | (F.pmod(F.xxhash64("node"), F.col("rows")) < F.col("wanted") - 1)))
+    cell = F.row_number().over(W.partitionBy("label", "dim").orderBy("node")) - 1  # pivots only: at most the root of a label's rows
+    numbered = drawn.select("label", "dim", cell.alias("cell"), "embedding", "parts")
+    pivots = checkpointed(numbered.select("label", "dim", "cell", "embedding", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))).toDF("label", "dim", "cell", "embedding", "part")
+    key = ["label", "dim", "part"]
+    spread = sized.where("wanted > 1").select(*key[:2], F.pmod(F.xxhash64(F.lit("part"), "node"), F.col("parts")).cast("int").alias("part"), "node", "copies", "embedding")
     eps = float(np.sqrt(2 - 2 * cosine))
-    placed = checkpointed(spread.mapInArrow(lambda it: _place(eps, it), _CELLS))
+    radii = spread.groupBy(*key).cogroup(pivots.groupBy(*key)).applyInPandas(lambda k, own, p: _radii(k, own, p), f"label {kinds['label']}, dim int, cell int, radius double")
+    radii = checkpointed(radii.groupBy("label", "dim", "cell").agg(F.max("radius").alias("radius")))
+    bounded = pivots.join(broadcast_if_small(radii), ["label", "dim", "cell"], "left").fillna(-10.0, ["radius"])  # an empty cell reaches nothing
+    schema = f"label {kinds['label']}, dim int, cell int, home boolean, node binary, copies long, vector array<{value}>"
+    placed = spread.groupBy(*key).cogroup(bounded.groupBy(*key)).applyInPandas(lambda k, own, p: _place(k, own, p, eps), schema)
+    single = sized.where("wanted = 1").select("label", "dim", F.lit(0).alias("cell"), F.lit(True).alias("home"), "node", "copies", F.col("embedding").alias("vector"))
+    placed = checkpointed(placed.union(single))
 
     cells = placed.groupBy("label", "dim", "cell").agg(F.count_if("home").alias("homes"), F.count_if(~F.col("home")).alias("guests"))
     cells = cells.withColumn("hb", F.greatest(F.lit(1), F.ceil(F.col("homes") / cell_rows)).cast("int"))

@@ -151,13 +151,31 @@ def test_embedding_groups_over_many_partitions(spark):
     try:
         spark.conf.set("spark.sql.shuffle.partitions", "9")
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-        got = embedding_groups(rows, cell_rows=64).collect()
+        got = embedding_groups(rows, cell_rows=16, part_rows=40).collect()
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
     assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {i: (n[i], want[i]) for i in range(600)}
 
 
+def test_clustered_embeddings_and_the_table(spark):
+    rng = np.random.default_rng(8)
+    centers = rng.standard_normal((40, 16))
+    x = centers[rng.integers(40, size=900)] + rng.standard_normal((900, 16)) * rng.choice([0.02, 0.1, 0.25], size=(900, 1))
+    made = spark.createDataFrame([(i, [float(a) for a in v.astype(np.float32)], f"l{i % 2}") for i, v in enumerate(x)], "vec_id long, embedding array<float>, label string")
+    table = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    for frame, cosine in ((made, 0.93), (table, 0.93), (table, 0.5)):
+        rows = frame.select("vec_id", "label", "embedding").where("embedding is not null").orderBy("vec_id").toPandas()
+        u = np.stack(rows["embedding"]).astype(float)
+        u /= np.linalg.norm(u, axis=1, keepdims=True)
+        same = rows["label"].to_numpy()[:, None] == rows["label"].to_numpy()
+        near = np.triu((u @ u.T >= cosine) & same, 1)
+        ids = rows["vec_id"].tolist()
+        want, n = _groups(ids, [(ids[a], ids[b]) for a, b in np.argwhere(near)]), (near + near.T).sum(axis=1)
+        got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_groups(frame, cosine=cosine, cell_rows=40, part_rows=100).collect()}
+        assert got == {i: (k, want[i]) for i, k in zip(ids, n, strict=True)} and (frame is table or near.any())
+
+
 def test_run_length_index_against_brute_force():
     rng = random.Random(3)
     for alphabet in (b"ab", b"abcd", bytes(range(256))):
