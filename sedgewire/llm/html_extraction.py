@@ -15,13 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedgewire.llm.common import in_batches
+from sedgewire.llm.common import in_batches, without_columns
 from sedgewire.llm.page_samples import sample_pages
-from sedgewire.llm.page_tree import LOOSE, Page, features, read_page
+from sedgewire.llm.page_tree import AT, LOOSE, TOKENS, Page, features, read_page
 
 
 class BoostedTrees:
-    """Logistic boosting of complete trees of a fixed depth over binned features."""
+    """Logistic boosting of complete trees of a fixed depth over binned features. odds: what attribute tokens say, for the features."""
+
+    odds: np.ndarray
 
     def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int = 50, depth: int = 4, rate: float = 0.25, bins: int = 24) -> None:
         self.depth = depth
@@ -92,17 +94,29 @@ def _marked(source: str) -> list[int]:
     return [i for i, b in enumerate(plain.blocks) if b.hidden]
 
 
+def token_odds(pages: list[tuple[Page, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """For each token the smoothed log odds that a block that carries it belongs to the main text; each page counts a token once in and once out."""
+    seen = np.zeros((2, TOKENS))
+    for page, inside, known in pages:
+        said = {(int(inside[i]), t) for i, b in enumerate(page.blocks) if known[i] for t in b.tokens}
+        for y, t in said:
+            seen[y, t] += 1
+    return np.log(seen[1] + 0.5) - np.log(seen[0] + 0.5)
+
+
 @functools.lru_cache(maxsize=2)
-def fitted(pages: int = 500, seed: int = 3) -> BoostedTrees:
-    """The model; made anew in each driver, the same each time."""
+def fitted(pages: int = 1200, seed: int = 3) -> BoostedTrees:
+    """The model; made anew in each driver, the same each time. Tokens are learned from every third page, trees from the others, so that they meet the odds as those of unseen pages."""
+    made = [_labels(source) for source in sample_pages(pages, seed)]
+    odds = token_odds(made[::3])
     xs, ys, ws = [], [], []
-    for source in sample_pages(pages, seed):
-        page, inside, known = _labels(source)
-        x = features(page)
-        xs.append(x[known])
+    for page, inside, known in (m for k, m in enumerate(made) if k % 3):
+        xs.append(features(page, odds)[known])
         ys.append(inside[known])
         ws.append(np.full(int(known.sum()), 1 / np.sqrt(max(1, known.sum()))))
-    return BoostedTrees(np.concatenate(xs), np.concatenate(ys).astype(float), np.concatenate(ws) * 8)
+    model = BoostedTrees(np.concatenate(xs), np.concatenate(ys).astype(float), np.concatenate(ws) * 8)
+    model.odds = odds
+    return model
 
 
 def decode(page: Page, logits: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -126,13 +140,13 @@ def decode(page: Page, logits: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def _extract_batch(batch: pa.RecordBatch, model: BoostedTrees) -> pa.RecordBatch:
     pages = [read_page(source or "") for source in batch.column("html").to_pylist()]
-    tables = [features(p) for p in pages]
+    tables = [features(p, model.odds) for p in pages]
     logits = model.logits(np.concatenate(tables)) if tables else np.zeros(0)
     out, at = [], 0
     for page, table in zip(pages, tables, strict=True):
         own = logits[at : at + len(table)]
         at += len(table)
-        keep = decode(page, own, np.expm1(table[:, 31]))
+        keep = decode(page, own, np.expm1(table[:, AT["log_chars"]]))
         bare = all(b.tag in ("html", "body", LOOSE) for b in page.blocks if b.chars)
         out.append("\n".join(text for block, text in page.runs if bare or keep[block]))
     return batch.drop_columns(["html"]).append_column("main_text", pa.array(out, pa.string()))
@@ -145,11 +159,12 @@ def extract(pages: DataFrame) -> DataFrame:
     dropped as others are; if a page has no other text, all of it is kept.
     A column named main_text is replaced.
     """
-    pages = pages.select(*[c for c in pages.columns if c.lower() != "main_text"])
+    pages = without_columns(pages, "main_text")
     shared = pages.sparkSession.sparkContext.broadcast(fitted())
     ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name != "html"] + ["main_text string"])
-    return pages.mapInArrow(lambda it: in_batches(lambda b: _extract_batch(b, shared.value), it, 256), ddl)
+    return pages.mapInArrow(lambda it: in_batches(lambda b: _extract_batch(b, shared.value), it, 256, 2 << 20), ddl)
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
+    """The contract's columns, a row for each row of pages: a null page has an empty text, repeated rows repeat. Other columns are ignored."""
     return extract(pages.select("page_id", "url", "html")).select("page_id", "url", F.col("main_text").alias("text"), F.char_length("main_text").cast("long").alias("n_chars"))

@@ -5,18 +5,20 @@ from __future__ import annotations
 import random
 
 _SYLLABLES = "an ba co de el fi ga ho in ka lo mi no or pe qu ra sa ti un ve wi xa yo zu th er on st".split()
+# Words that pages call their parts by; names are made of them with and without something before or behind.
 _OUTSIDE = {
-    "nav": ["nav", "menu", "navbar", "main-menu", "site-navigation", "topbar", ""],
-    "header": ["header", "site-header", "masthead", "page-top", ""],
-    "footer": ["footer", "site-footer", "page-footer", "copyright", "legal", ""],
-    "aside": ["sidebar", "side-bar widget", "rail", "related", "aside", ""],
-    "notice": ["cookie-notice", "consent", "gdpr banner", "alert notice", "notice"],
-    "advert": ["ad", "ads", "advert", "banner-ad", "sponsored", "promo"],
-    "form": ["newsletter", "search", "login-form", "subscribe", "contact", ""],
-    "comments": ["comments", "comment-list", "discussion", "replies", "disqus"],
-    "share": ["share", "social", "tags", "breadcrumb", "pagination", "byline toolbar"],
+    "nav": "nav navbar navigation menu topbar toc breadcrumb breadcrumbs".split(),
+    "header": "header masthead topbar banner branding".split(),
+    "footer": "footer copyright legal contentinfo privacy colophon".split(),
+    "aside": "sidebar aside rail related recommended trending popular widget complementary recirc".split(),
+    "notice": "cookie cookies consent gdpr notice alert popup modal overlay dialog banner".split(),
+    "advert": "ad ads advert adverts advertisement sponsor sponsored promo promotion".split(),
+    "form": "form login signin signup search subscribe newsletter contact".split(),
+    "comments": "comment comments reply replies respond discussion disqus".split(),
+    "share": "share sharing social tags toolbar pagination pager skip byline".split(),
 }
-_INSIDE = ["article", "post", "entry-content", "content", "main-content", "story", "text", "post-body", "", ""]
+_INSIDE = "article content post entry main body story text page prose markdown blog hentry maincontent articlebody richtext".split()
+_BEFORE, _BEHIND = ["", "", "", "", "site-", "main-", "page-", "js-", "c-", "top ", "blog_"], ["", "", "", "", "-wrapper", "-block", "-container", "-list", "__inner", "Box", " row", "-area"]
 
 
 class _Maker:
@@ -31,9 +33,13 @@ class _Maker:
     def sentences(self, low: int, high: int) -> str:
         return " ".join(self.words(2, 16).rstrip(",") + "." for _ in range(self.r.randint(low, high)))
 
-    def named(self, tag: str, names: list[str], body: str, mark: str = "") -> str:
-        name = self.r.choice(names)
-        kind = self.r.choice(["class", "class", "id", "role"]) if name else ""
+    def name(self, words: list[str]) -> str:
+        r = self.r
+        return r.choice(_BEFORE) + r.choice(words) + r.choice(_BEHIND)
+
+    def named(self, tag: str, words: list[str], body: str, mark: str = "", bare: float = 0.2) -> str:
+        name = "" if self.r.random() < bare else self.name(words)
+        kind = self.r.choice(["class", "class", "class", "id", "role"]) if name else ""
         return f"<{tag}{f' {kind}={chr(34)}{name}{chr(34)}' if name else ''}{mark}>{body}</{tag}>"
 
     def links(self, low: int, high: int) -> str:
@@ -47,8 +53,6 @@ class _Maker:
         r = self.r
         names = _OUTSIDE[kind]
         tag = kind if kind in ("nav", "header", "footer", "aside", "form") and r.random() < 0.65 else "div"
-        if tag == "div":
-            names = [x for x in names if x]
         if kind == "nav":
             body = self.links(3, 9)
         elif kind == "header":
@@ -67,10 +71,18 @@ class _Maker:
         elif kind == "comments":
             body = f"<h3>{self.words(1, 3)}</h3>" + "".join(r.choice(["<div class='comment'><p>{}</p></div>", "<li class='comment'>{}</li>", "<div><b>{}</b></div>", "<p class='reply'>{}</p>"]).format(self.sentences(1, 5)) for _ in range(r.randint(1, 6)))
             tag = r.choice(["div", "section", "aside"])
-            names = [x for x in names if x]
         else:
             body = self.links(2, 6)
-        return self.named(tag, names, body, " data-out")
+        if r.random() < 0.06:
+            body += r.choice(["<select><option>A<option>B</select>", "<button>Send", "<button type='button'>More</button>"])
+        return self.named(tag, names, body, " data-out", 0 if tag in ("div", "section") else 0.2)
+
+    def embedded(self) -> str:
+        """What isn't text of the page: something shown only if something else can't be."""
+        r = self.r
+        tag = r.choice(["noscript", "video", "object", "canvas", "template", "svg"])
+        inner = self.words(2, 9)
+        return f"<{tag} data-out>{r.choice(['{}', '<p>{}</p>', '<div>{}.</div>']).format(inner) if tag in ('noscript', 'template', 'object') else inner}</{tag}>"
 
     def article(self) -> str:
         r = self.r
@@ -78,7 +90,8 @@ class _Maker:
         title = f"<h{r.choice([1, 1, 1, 2])}>{self.words(3, 14)}</h1>".replace("</h1>", "</h1>")
         title = title if title.startswith("<h1") else title.replace("</h1>", "</h2>")
         if r.random() < 0.85:
-            parts.append(f"<header>{title}</header>" if r.random() < 0.15 else title)
+            head = self.name(_INSIDE) + r.choice(["-header", "-title", "__head", " header"])
+            parts.append(r.choice([f"<header>{title}</header>", f"<header class='{head}'>{title}</header>", f"<div class='{head}'>{title}</div>"]) if r.random() < 0.3 else title)
         for _ in range(r.choices([0, 1, 3, 8, 20], [1, 2, 4, 4, 2])[0]):
             x = r.random()
             text = self.sentences(1, 12)
@@ -96,8 +109,10 @@ class _Maker:
                 parts.append(f"<pre>{text}</pre>")
             elif x < 0.97:
                 parts.append(f"<figure><figcaption>{self.words(3, 12)}</figcaption></figure>")
-            else:
+            elif x < 0.99:
                 parts.append(self.outside(r.choice(["advert", "share", "aside", "form"])))
+            else:
+                parts.append(self.embedded())
         if r.random() < 0.15:
             parts.append(self.outside("share"))
         body = "".join(parts)
@@ -106,7 +121,7 @@ class _Maker:
         tag = r.choice(["article", "article", "article", "main", "div", "div", "section"])
         if tag == "article" and r.random() < 0.6:
             return f"<article data-in>{body}</article>"
-        return self.named(tag, _INSIDE if tag != "div" else [x for x in _INSIDE if x], body, " data-in")
+        return self.named(tag, _INSIDE, body, " data-in", 0.3)
 
     def loose_article(self) -> str:
         """A main part without an element around it: text runs directly in the body, with blocks or rules between them."""
@@ -118,7 +133,7 @@ class _Maker:
                 parts.append(r.choice(["<hr>", f"<h2 data-in>{self.words(2, 8)}</h2>", f"<p data-in>{self.sentences(1, 8)}</p>", self.outside(r.choice(["advert", "share", "aside"]))]))
             text = r.choice(["<br>", "<br><br>", "<br />\n", " <b>x</b> "]).join(self.sentences(1, 8) for _ in range(r.choice([1, 2, 4, 9])))
             tag = r.choice(["span", "font", "b", "tt"])
-            run = f"<{tag}{f' class={chr(34)}{r.choice(_INSIDE)}{chr(34)}' if r.random() < 0.2 else ''} data-in>{text}</{tag}>"
+            run = f"<{tag}{f' class={chr(34)}{self.name(_INSIDE)}{chr(34)}' if r.random() < 0.2 else ''} data-in>{text}</{tag}>"
             parts.append(f"<x-text>{run}</x-text>" if r.random() < 0.1 else run)
         return "".join(parts)
 
@@ -129,8 +144,8 @@ class _Maker:
             [
                 (r.choice(["&copy; ", "Copyright ", "&copy; 2024 "]) + self.words(2, 5) + " &middot; " + self.sentences(0, 2), ""),
                 (r.choice([" | ", " ", " &raquo; "]).join(f'<a href="/{k}">{self.words(1, 4)}</a>' for k in range(r.randint(1, 8))), ""),
-                (self.sentences(1, 3), r.choice(_OUTSIDE["advert"])),
-                (self.words(2, 8), r.choice([x for x in _OUTSIDE["header"] + _OUTSIDE["notice"] + _OUTSIDE["share"] if x])),
+                (self.sentences(1, 3), self.name(_OUTSIDE["advert"])),
+                (self.words(2, 8), self.name(_OUTSIDE["header"] + _OUTSIDE["notice"] + _OUTSIDE["share"])),
             ]
         )
         return f"<hr><span{f' class={chr(34)}{name}{chr(34)}' if name else ''} data-out>{body}</span><hr>"
@@ -149,9 +164,15 @@ class _Maker:
         if not loose and r.random() < 0.2:
             content = f"<main>{content}{self.outside('comments') if r.random() < 0.4 else ''}</main>"
         beside = lambda kind: self.loose_outside() if kind == "loose" else self.outside(kind)
-        body = "".join(map(beside, above)) + content + "".join(map(beside, below))
-        if not loose and r.random() < 0.25:
-            body = f"<div class='{r.choice(['wrapper', 'container', 'page', 'site'])}'>{body}</div>"
+        first, last = [*map(beside, above)], [*map(beside, below)]
+        if r.random() < 0.12:
+            first.insert(r.randint(0, len(first)), self.embedded())
+        body = "".join(first) + content + "".join(last)
+        if not loose and r.random() < 0.06:  # the layout of a table
+            side = self.outside(r.choice(["nav", "aside"]))
+            body = "".join(first) + "<table><tr>" + f"<td>{side}</td><td>{content}</td>" + "</tr></table>" + "".join(last)
+        for _ in range(r.choice([0, 0, 0, 1, 1, 2, 3]) if not loose else 0):
+            body = f"<div class='{r.choice(['wrapper', 'container', 'page', 'site', 'row', 'col', 'app', 'root', 'layout', 'grid'])}'>{body}</div>"
         return f"<!DOCTYPE html><html><head><title>{self.words(2, 6)}</title><style>p{{}}</style></head><body>{body}</body></html>"
 
 

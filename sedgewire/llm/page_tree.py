@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -11,8 +12,12 @@ import numpy as np
 
 # Fixed values of the HTML standard: element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math object select button video audio canvas".split())
-BLOCK = frozenset(
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
+#: Controls: what they hold is a label, no text of the page. One that isn't closed ends where the next block begins or ends.
+CONTROL = frozenset("button select".split())
+#: What a browser shows instead of text, or only if it can't show something else.
+EMBEDDED = frozenset("noscript object video audio canvas svg template".split())
+BLOCK = EMBEDDED | frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption legend head".split()
 )
@@ -23,19 +28,18 @@ CLOSES = {
 #: The tag of the anonymous block that a run of text directly in html or body makes.
 LOOSE = ""
 SCOPE = frozenset("table ul ol dl td th article section div body html form aside nav header footer main".split())
+#: Elements nested deeper than this belong to the one at this depth, so that no page takes more than its length times a constant.
+DEEPEST = 512
+#: Words of class, id, role, aria-label and itemprop are told apart by so many hash values.
+TOKENS = 4096
 
-# Words in class, id, role and aria-label that tell what a part of a page is for.
-OUTSIDE = frozenset(
-    "nav navbar navigation menu topbar header masthead footer sidebar aside rail cookie cookies consent gdpr notice banner alert ad ads advert adverts advertisement sponsor sponsored promo promotion "
-    "share sharing social related recommended recirc trending popular comment comments reply replies respond discussion disqus form login signin signup search subscribe newsletter breadcrumb breadcrumbs "
-    "pagination pager copyright widget popup modal overlay tags toolbar skip legal privacy contentinfo complementary dialog toc".split()
-)
-INSIDE = frozenset("article content post entry main body story text page prose markdown blog hentry maincontent articlebody richtext".split())
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_MARKUP = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+_TAG_END = re.compile(r">|=[ \t\n\r\f]*([\"'])")
 _ATTRIBUTE = re.compile(r"(?:^|[\s\"'])(class|id|role|aria-label|hidden|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORD = re.compile(r"[a-z]+")
 _HUMP = re.compile(r"([a-z])([A-Z])")
+_BLOCKS = "|".join(sorted(BLOCK - EMBEDDED))
+_CONTROL_END = {t: re.compile(rf"(</{t}\s*>)|</?(?:{_BLOCKS})[\s/>]", re.I) for t in CONTROL}
 
 
 @dataclass(slots=True)
@@ -43,8 +47,7 @@ class Block:
     tag: str
     parent: int
     depth: int
-    outside: int = 0
-    inside: int = 0
+    tokens: list[int] = field(default_factory=list)
     hidden: bool = False
     children: list[int] = field(default_factory=list)
     chars: int = 0  # of its own runs, as are the rest
@@ -66,9 +69,62 @@ def _attributes(block: Block, raw: str) -> None:
             block.hidden = True
             continue
         value = m[2] or m[3] or m[4] or ""
-        for w in set(_WORD.findall(_HUMP.sub(r"\1 \2", value).lower())):
-            block.outside += w in OUTSIDE
-            block.inside += w in INSIDE
+        block.tokens += [zlib.crc32(w.encode()) % TOKENS for w in set(_WORD.findall(_HUMP.sub(r"\1 \2", value).lower()))]
+
+
+class _Scanner:
+    """Finds markup in a page, in time that grows with its length: a search that ran to the end in vain isn't made again."""
+
+    def __init__(self, source: str) -> None:
+        self.source = source
+        self.quoted = True
+        self.ends: dict[str, tuple[int, re.Match | None]] = {}
+
+    def find(self, pattern: re.Pattern, key: str, at: int) -> re.Match | None:
+        """The first match from at on, kept while it lies ahead."""
+        since, m = self.ends.get(key, (at + 1, None))
+        if since > at or m is not None and m.start() < at:
+            m = pattern.search(self.source, at)
+            self.ends[key] = (at, m)
+        return m
+
+    def tag_end(self, at: int) -> int:
+        """Where the tag whose name ends here ends, behind its >: one in a quoted value doesn't count, unless a quote stays open."""
+        place = at
+        while self.quoted:
+            m = _TAG_END.search(self.source, place)
+            if m is None:
+                self.quoted = False
+            elif m[1] is None:
+                return m.end()
+            elif (place := self.source.find(m[1], m.end()) + 1) == 0:
+                self.quoted = False
+        end = self.source.find(">", at)
+        return end + 1 if end >= 0 else len(self.source)
+
+    def markup(self, at: int):
+        """(start, end, tag, whether it closes, attributes) of the next markup; the tag is None for comments and declarations; None if there is no more."""
+        m = _MARKUP.search(self.source, at)
+        if m is None:
+            return None
+        if m[2] is not None:
+            end = self.tag_end(m.end())
+            return m.start(), end, m[2].lower(), bool(m[1]), self.source[m.end() : end].removesuffix(">")
+        close = "-->" if m[0] == "<!--" else "]]>" if m[0] == "<![CDATA[" else ">"
+        end = self.source.find(close, m.end())
+        return m.start(), end + len(close) if end >= 0 else len(self.source), None, False, ""
+
+    def raw_end(self, tag: str, at: int) -> int:
+        m = self.find(re.compile(rf"</{tag}\s*>", re.I), tag, at)
+        return m.end() if m else len(self.source)
+
+    def control_end(self, tag: str, at: int) -> int:
+        """Behind the end tag of a control, or before the next block begins or ends; where neither comes, here."""
+        m = self.find(_CONTROL_END[tag], tag, at)
+        return at if m is None else m.end() if m[1] else m.start()
+
+    def closed(self, tag: str, at: int) -> bool:
+        return self.find(re.compile(rf"</{tag}[\s>]", re.I), f"/{tag}", at) is not None
 
 
 def read_page(source: str) -> Page:
@@ -127,18 +183,18 @@ def read_page(source: str) -> Page:
             if link:
                 linked += len(piece)
 
+    scanner = _Scanner(source)
     while at < end:
-        m = _TOKEN.search(source, at)
-        if not m:
+        found = scanner.markup(at)
+        if found is None:
             said(source[at:])
             break
-        said(source[at : m.start()])
-        at = m.end()
-        tag = m[2]
+        start, stop, tag, closing, raw = found
+        said(source[at:start])
+        at = stop
         if tag is None:
             continue
-        tag = tag.lower()
-        if m[1]:
+        if closing:
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth][0] == tag:
                     close(depth)
@@ -149,17 +205,26 @@ def read_page(source: str) -> Page:
         if tag in ("html", "body") and any(t == tag for t, _ in stack):
             continue
         if tag in RAW:
-            if not m[3].endswith("/"):
-                stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
-                at = stop.end() if stop else end
+            if not raw.endswith("/"):
+                at = scanner.raw_end(tag, at)
             said(" ")
             continue
+        if tag in CONTROL:
+            at = scanner.control_end(tag, at)
+            said(" ")
+            continue
+        if tag in EMBEDDED and (raw.endswith("/") or not scanner.closed(tag, at)):
+            continue
         if tag in VOID:
             if tag == "hr":
                 flush()
             elif tag in ("br", "img", "wbr") and tag != "wbr":
                 said(" ")
             continue
+        if len(stack) >= DEEPEST:
+            if tag in BLOCK:
+                flush()
+            continue
         if tag in BLOCK:
             flush()
             for depth in range(len(stack) - 1, 0, -1):
@@ -170,7 +235,7 @@ def read_page(source: str) -> Page:
                     break
             parent = stack[-1][1]
             block = Block(tag, parent, blocks[parent].depth + 1)
-            _attributes(block, m[3])
+            _attributes(block, raw)
             blocks[parent].children.append(len(blocks))
             stack.append((tag, len(blocks)))
             blocks.append(block)
@@ -178,22 +243,23 @@ def read_page(source: str) -> Page:
             link += tag == "a"
             stack.append((tag, stack[-1][1]))
             if not begun and blocks[stack[-1][1]].tag in ("html", "body"):
-                names.append((stack[-1], m[3]))
+                names.append((stack[-1], raw))
     flush()
     return Page(blocks, runs)
 
 
 NAMES = (
-    "heading paragraph item list division section article main nav header footer aside form table cell quote figure preformatted depth outside inside hidden above_outside above_inside in_nav in_header in_footer "
+    "heading paragraph item list division section article main nav header footer aside form table cell quote figure preformatted embedded depth hidden token_low token_high above_low above_high in_nav in_header in_footer "
     "in_aside in_form in_article in_list log_chars link_share words_per_run stops_per_word runs blocks chars_per_block children position sibling_index siblings same_siblings sibling_chars parent_chars parent_links loose loose_share article_share".split()
 )
-_KIND = {"p": 1, "li": 2, "ul": 3, "ol": 3, "dl": 3, "menu": 3, "div": 4, "section": 5, "article": 6, "main": 7, "nav": 8, "header": 9, "footer": 10, "aside": 11, "form": 12, "fieldset": 12, "table": 13, "td": 14, "th": 14, "blockquote": 15, "figure": 16, "figcaption": 16, "pre": 17} | {f"h{k}": 0 for k in range(1, 7)}
+AT = {name: i for i, name in enumerate(NAMES)}
+_KIND = {"p": "paragraph", "li": "item", "ul": "list", "ol": "list", "dl": "list", "menu": "list", "div": "division", "section": "section", "article": "article", "main": "main", "nav": "nav", "header": "header", "footer": "footer", "aside": "aside"}
+_KIND |= {"form": "form", "fieldset": "form", "table": "table", "td": "cell", "th": "cell", "blockquote": "quote", "figure": "figure", "figcaption": "figure", "pre": "preformatted"} | {f"h{k}": "heading" for k in range(1, 7)} | dict.fromkeys(EMBEDDED, "embedded")
+_ABOVE = {"nav": "in_nav", "header": "in_header", "footer": "in_footer", "aside": "in_aside", "form": "in_form", "article": "in_article", "main": "in_article", "ul": "in_list", "ol": "in_list", "dl": "in_list", "menu": "in_list"}
 
-_ABOVE = {"nav": 2, "header": 3, "footer": 4, "aside": 5, "form": 6, "article": 7, "main": 7, "ul": 8, "ol": 8, "dl": 8, "menu": 8}
 
-
-def features(page: Page) -> np.ndarray:
-    """A row for each block: what it is, what it is called, where it stands, and the density of its subtree beside its siblings'."""
+def features(page: Page, odds: np.ndarray) -> np.ndarray:
+    """A row for each block: what it is, how its attribute tokens speak (odds: learned, by token), where it stands, and the density of its subtree beside its siblings'."""
     blocks = page.blocks
     n = len(blocks)
     own = np.array([(b.chars, b.links, b.words, b.stops, b.runs, 1) for b in blocks], np.float64)
@@ -203,35 +269,30 @@ def features(page: Page) -> np.ndarray:
     for i in range(n - 1, 0, -1):
         tree[blocks[i].parent] += tree[i]
     out = np.zeros((n, len(NAMES)))
-    out[:, 47] = sum(b.chars for b in blocks if b.tag == LOOSE) / total
-    out[:, 48] = max((tree[i, 0] for i, b in enumerate(blocks) if b.tag in ("article", "main")), default=0) / total
-    above = np.zeros((n, 9))
+    out[:, AT["loose_share"]] = sum(b.chars for b in blocks if b.tag == LOOSE) / total
+    out[:, AT["article_share"]] = max((tree[i, 0] for i, b in enumerate(blocks) if b.tag in ("article", "main")), default=0) / total
+    low, high, above, first_in, dense = AT["token_low"], AT["token_high"], slice(AT["above_low"], AT["in_list"] + 1), AT["above_low"], slice(AT["log_chars"], AT["children"] + 1)
     for i, b in enumerate(blocks):
         f = out[i]
-        kind = _KIND.get(b.tag)
-        if kind is not None:
-            f[kind] = 1
-        if i:
-            a = above[i]
-            a[:] = above[b.parent]
-            mother = blocks[b.parent]
-            a[0] += mother.outside
-            a[1] += mother.inside
-            if (k := _ABOVE.get(mother.tag)) is not None:
-                a[k] = 1
-        brothers = blocks[b.parent].children if i else [0]
+        if (kind := _KIND.get(b.tag)) is not None:
+            f[AT[kind]] = 1
+        if b.tokens:
+            told = odds[b.tokens]
+            f[low], f[high] = min(0.0, told.min()), max(0.0, told.max())
         chars, links, words, stops, runs, count = tree[i]
-        f[18:22] = min(b.depth, 30), b.outside, b.inside, b.hidden
-        f[22:31] = above[i]
-        f[31:39] = np.log1p(chars), links / max(1, chars), words / max(1, runs), stops / max(1, words), runs, count, chars / count, len(b.children)
-        f[39] = before[i] / total
-        f[46] = b.tag == LOOSE
-        f[41] = len(brothers)
+        f[AT["depth"]], f[AT["hidden"]], f[AT["position"]], f[AT["loose"]] = min(b.depth, 30), b.hidden, before[i] / total, b.tag == LOOSE
+        f[dense] = np.log1p(chars), links / max(1, chars), words / max(1, runs), stops / max(1, words), runs, count, chars / count, len(b.children)
+        f[AT["siblings"]] = 1
         if i:
-            m = tree[b.parent]
-            f[43:46] = np.log1p((m[0] - chars) / max(1, len(brothers) - 1)), np.log1p(m[0]), m[1] / max(1, m[0])
+            mother, m, many = out[b.parent], tree[b.parent], len(blocks[b.parent].children)
+            f[above] = mother[above]
+            f[first_in], f[first_in + 1] = min(f[first_in], mother[low]), max(f[first_in + 1], mother[high])
+            if (k := _ABOVE.get(blocks[b.parent].tag)) is not None:
+                f[AT[k]] = 1
+            f[AT["siblings"]] = many
+            f[AT["sibling_chars"]], f[AT["parent_chars"]], f[AT["parent_links"]] = np.log1p((m[0] - chars) / max(1, many - 1)), np.log1p(m[0]), m[1] / max(1, m[0])
     for b in blocks:
         tags = Counter(blocks[c].tag for c in b.children)
         for k, c in enumerate(b.children):
-            out[c, 40], out[c, 42] = k / len(b.children), tags[blocks[c].tag] / len(b.children)
+            out[c, AT["sibling_index"]], out[c, AT["same_siblings"]] = k / len(b.children), tags[blocks[c].tag] / len(b.children)
     return out

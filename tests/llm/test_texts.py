@@ -1,6 +1,7 @@
 import hashlib
 import html
 import re
+import time
 import zlib
 
 import duckdb
@@ -11,10 +12,12 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
+from layouts import PAGES
+
 from sedgewire.llm import byte_bpe, html_extraction, language_id, toxicity, transport_stream
 from sedgewire.llm.common import in_batches
 from sedgewire.llm.page_samples import sample_pages
-from sedgewire.llm.page_tree import features, read_page
+from sedgewire.llm.page_tree import AT, features, read_page
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 TEXTS = ["", None, "a", "Hello   world!!\n\n  it's 2024", "é" * 300, "日本語 text \U0001f600", "x" * 5000, " \t\n ", "<|endoftext|>", "thentlytionor " * 50]
@@ -152,8 +155,8 @@ def test_extraction_on_held_out_pages():
     model, wrong = html_extraction.fitted(), 0
     for source in sample_pages(120, 991):
         page, inside, _ = html_extraction._labels(source)
-        x = features(page)
-        keep = html_extraction.decode(page, model.logits(x), np.expm1(x[:, 31]))
+        x = features(page, model.odds)
+        keep = html_extraction.decode(page, model.logits(x), np.expm1(x[:, AT["log_chars"]]))
         assert all(keep[b.parent] for b, k in zip(page.blocks[1:], keep[1:], strict=True) if k)
         wrong += [t for b, t in page.runs if keep[b]] != [t for b, t in page.runs if inside[b]]
     assert wrong <= 6
@@ -183,6 +186,19 @@ def test_extraction_keeps_loose_articles(spark):
     assert {r.page_id: r.text.split("\n") for r in got} == {k: v[1] for k, v in pages.items()}
 
 
+def test_extraction_on_other_layouts(spark):
+    rows = [(k, name, source) for k, (name, (source, _)) in enumerate(PAGES.items())]
+    got = {r.url: r.text.split("\n") for r in html_extraction.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {name: want for name, (_, want) in PAGES.items()}
+
+
+def test_page_tree_takes_linear_time():
+    for bad in ("<a '", "<a b='", "<a b=\">'", "<button>", "<select><p>", "<noscript>", "<script>", "<!--", "<p>", "<b>", "<div>", "</b>", "<x a=' "):
+        began = time.process_time()
+        read_page(bad * (1_000_000 // len(bad)))
+        assert time.process_time() - began < 8, bad
+
+
 def test_page_tree_closes_what_html_closes():
     page = read_page("<p>a<p>b<ul><li>c<li>d</ul>e<script>x<p></script><!-- <p>no --><td>f")
     assert [t for _, t in page.runs] == ["a", "b", "c", "d", "e", "f"]
