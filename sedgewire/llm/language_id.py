@@ -13,9 +13,10 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sedgewire.llm.common import arrow_bytes, broadcast_if_small, checkpointed, in_batches, lower_ascii
+from sedgewire.llm.common import arrow_bytes, broadcast_if_small, checkpointed, in_batches, lower_ascii, without_columns
 
 DIMENSIONS = 4096
 _LETTER = regex.compile(r"\p{L}")
@@ -132,17 +133,20 @@ def held_out(doc_id, modulus: int, remainder: int):
 
 
 def fit_on(docs: DataFrame, sample: int = 4_000, most_bytes: int = 100_000) -> LanguageModel | None:
-    """Fit on a bounded sample of labelled rows that aren't held out: about `sample` in all, as many of each language
-    (about 20 at least), chosen by a hash of id and text, of texts up to `most_bytes`. Every language is learned. None if there are none."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), 3, 1) & F.octet_length("text").between(1, most_bytes))
-    counts = checkpointed(known.groupBy("lang").agg(F.count("*").alias("n")))
+    """Fit on a bounded sample of labelled rows that aren't held out: `sample` different rows at most, as many of each language
+    (20 at most where there are more than sample / 20 languages, so that every one is learned), with the least hashes of id and text, of texts up to `most_bytes`.
+    Null and empty texts and null languages teach nothing. None if nothing is left."""
+    known = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"), 3, 1) & F.octet_length("text").between(1, most_bytes))
+    known = known.select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    counts = checkpointed(known.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")))
     languages = counts.count()
     if not languages:
         return None
     each = max(20, sample // languages)
-    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003))
-    chosen = draw < F.floor(1_000_003 * F.least(F.lit(1.0), float(each) / F.col("n"))) + 1
-    rows = known.join(broadcast_if_small(counts), "lang").where(chosen).select("text", "lang", F.xxhash64("doc_id", "text").alias("h")).toPandas().sort_values(["h", "text"], kind="stable")
+    share = F.floor(1_000_003 * F.least(F.lit(1.0), 1.5 * each / F.col("n"))) + 1  # a few more than wanted, of which the least are taken
+    drawn = known.join(broadcast_if_small(counts), "lang").where(F.pmod("h", F.lit(1_000_003)) < share).dropDuplicates(["lang", "h"])
+    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.pmod("h", F.lit(1_000_003)), "h"))
+    rows = drawn.withColumn("rank", rank).where(F.col("rank") <= each).select("text", "lang", "h").toPandas().sort_values(["h", "lang", "text"], kind="stable")
     return fit(rows["text"].tolist(), rows["lang"].tolist())
 
 
@@ -152,7 +156,7 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     A null text or one without a letter, or no model (nothing to learn from), gives `und`, 0 and true. Columns of the added names are replaced.
     """
     added = ("lang_pred", "lang_score", "lang_ambiguous")
-    docs = docs.select(*[c for c in docs.columns if c.lower() not in added])
+    docs = without_columns(docs, *added)
     if model is None:
         return docs.withColumns({"lang_pred": F.lit("und"), "lang_score": F.lit(0.0), "lang_ambiguous": F.lit(True)})
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -167,4 +171,4 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
         return batch.append_column("lang_ambiguous", pa.array(doubt | ~letters))
 
     ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["lang_pred string, lang_score double, lang_ambiguous boolean"])
-    return docs.mapInArrow(lambda it: in_batches(run, it, 256), ddl)
+    return docs.mapInArrow(lambda it: in_batches(run, it), ddl)
