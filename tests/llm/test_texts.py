@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from layouts import PAGES
 
-from sedgewire.llm import byte_bpe, html_extraction, language_id, toxicity, transport_stream
+from sedgewire.llm import byte_bpe, html_extraction, language_id, queries, toxicity, transport_stream
 from sedgewire.llm.common import in_batches
 from sedgewire.llm.page_samples import sample_pages
 from sedgewire.llm.page_tree import AT, features, read_page
@@ -102,6 +102,14 @@ def test_every_language_is_learned(spark):
     assert len(known) > 200 and set(language_id.fit_on(docs).languages) == known
 
 
+def test_language_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "fit", lambda texts, langs: (len(texts), len(set(texts)), sorted(set(langs))))
+    docs = spark.range(3000).selectExpr("id % 600 AS doc_id", "concat('text ', id % 600) AS text", "if(id % 600 < 30, 'xx', 'yy') AS lang")
+    n, different, langs = language_id.fit_on(docs, sample=100)
+    assert n == different and 50 < n <= 100 and langs == ["xx", "yy"]
+    assert language_id.fit_on(docs.withColumn("lang", F.lit(None).cast("string"))) is None
+
+
 def test_codewords_differ():
     for n in (1, 2, 4, 30):
         code = language_id.codewords(n)
@@ -109,23 +117,23 @@ def test_codewords_differ():
 
 
 def test_toxicity_gradients():
-    known = {name: np.arange(toxicity._SLOTS + 1) % toxicity.KEPT for name in ("word", *toxicity.PIECES)}
-    net = toxicity.Network(known)
+    net = toxicity.Network(np.arange(toxicity._SLOTS + 1) % toxicity.KEPT)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
     data = np.frombuffer(b"the moron of and\na b c d e f\n", np.uint8)
     starts, ends = toxicity.words_of(data)
     lengths = np.array([4, 6])
     places = np.where(np.arange(toxicity.WORDS) < lengths[:, None], (np.cumsum(lengths) - lengths)[:, None] + np.arange(toxicity.WORDS), -1)
     y = np.array([1.0, 0.0])
+    hashes = toxicity.hash_spans(data, starts, ends)
 
     def loss():
-        x, _ = net.vectors(data, starts, ends, toxicity.hash_spans(data, starts, ends))
-        logits, _ = net.forward(x, places)
+        logits, _ = net.forward(net.vectors(data, starts, ends, hashes)[0], places)
         return (np.logaddexp(0, logits) - y * logits).sum()
 
-    x, words = net.vectors(data, starts, ends, toxicity.hash_spans(data, starts, ends))
+    x, words = net.vectors(data, starts, ends, hashes, keep=True)
     logits, inner = net.forward(x, places, keep=True)
     grads = net.gradients(x, places, inner, toxicity._sigmoid(logits) - y, words)
+    assert {"byte", "byte_wf", "byte_ub", "word_cb"} <= set(grads)
     for name, g in grads.items():
         at, step = np.abs(g).argmax(), 1e-4
         net.p[name].flat[at] += step
@@ -136,6 +144,23 @@ def test_toxicity_gradients():
         assert (up - down) / (2 * step) == pytest.approx(float(g.flat[at]), rel=0.02, abs=1e-4), name
 
 
+def test_toxicity_on_held_out_rows_of_the_table(spark):
+    sf_dir = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic is not null").select("doc_id", "toxic")
+    rows = queries.op7_toxicity(spark, sf_dir).where("held_out").join(labels, "doc_id").groupBy("toxic", "predicted").count().collect()
+    n = {(r.toxic, r.predicted): r["count"] for r in rows}
+    assert n[1, 1] / (n[1, 1] + n.get((1, 0), 0)) >= 0.9 and n[1, 1] / (n[1, 1] + n.get((0, 1), 0)) >= 0.8, n
+
+
+def test_toxicity_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "fit", lambda texts, toxic: (len(texts), int(sum(toxic))))
+    docs = spark.range(400).selectExpr("id % 100 AS doc_id", "concat('text ', id % 100) AS text")
+    labels = spark.range(100).selectExpr("id AS doc_id", "int(id % 2) AS toxic")
+    assert toxicity.fit_on(docs, labels, sample=20) == (20, 8)
+    assert toxicity.fit_on(docs.limit(0), labels) is None and toxicity.fit_on(docs, labels.where("toxic = 1")) is None
+    assert toxicity.fit_on(docs.selectExpr("doc_id", "'' AS text"), labels) is None
+
+
 def test_toxicity_learns_and_handles_edges():
     rng = np.random.default_rng(3)
     word = lambda: "".join(rng.choice(list("abcdefgh"), rng.integers(2, 7)))
@@ -147,7 +172,9 @@ def test_toxicity_learns_and_handles_edges():
     assert ((score >= 0.3) == labels).mean() > 0.95
     long = (" ".join(word() for _ in range(3000)) + " zorklyab " + " ".join(word() for _ in range(3000))).encode()
     edges = toxicity._texts([b"", b" ... ", long, b"glued", b"words"])
-    assert np.allclose(toxicity.score_texts(net, *edges, chunk=2000), toxicity.score_texts(net, *edges), atol=0.2)
+    assert np.allclose(toxicity.score_texts(net, *edges, chunk=4000), toxicity.score_texts(net, *edges), atol=0.2)
+    one_word = toxicity._texts([b"x" * 100_000])
+    assert toxicity.score_texts(net, *one_word, chunk=4000).shape == (1,) and len(list(toxicity._long(one_word[0], 4000))) < 40
     assert toxicity.score_texts(net, *edges)[:2].tolist() == [0, 0]
 
 
