@@ -372,8 +372,7 @@ def _known(values: np.ndarray) -> np.ndarray:
 def _chosen(texts: list[bytes], toxic: np.ndarray, score, rng) -> tuple[list[bytes], list[int]]:
     """Training windows: the worst of each toxic text; of the others the worst and two random ones."""
     windows, labels = [], []
-    for t, y in zip(texts, toxic, strict=True):
-        values, places, spans = score(t)
+    for (values, places, spans), y in zip(score(texts), toxic, strict=True):
         if not len(values):
             continue
         picks = {int(values.argmax())}
@@ -384,24 +383,30 @@ def _chosen(texts: list[bytes], toxic: np.ndarray, score, rng) -> tuple[list[byt
     return windows, labels
 
 
-def fit_windows(texts: list[bytes], toxic: np.ndarray, rounds: tuple[int, ...] = (4, 3), steps: int = 100, batch: int = 192, rate: float = 0.01, seed: int = 5) -> Network:
+def fit_windows(texts: list[bytes], toxic: np.ndarray, rounds: tuple[int, ...] = (2, 2), steps: int = 100, batch: int = 64, rate: float = 0.01, seed: int = 5) -> Network:
     """Fit the network on labelled texts; in each round windows are chosen, then seen `rounds[k]` times, more often if they make few batches (`steps`)."""
     odds = _odds(texts, toxic)
     net, rng = Network(_known(odds[0]), seed), np.random.default_rng(seed)
 
-    def by_odds(t: bytes):
-        data = lower_ascii(np.frombuffer(t, np.uint8))
-        starts, ends = words_of(data)
-        if not len(starts):
-            return np.zeros(0), None, None
-        slots, firsts = _pieces(data, starts, ends)
-        word = np.maximum.reduceat(np.max([odds[k][g] for k, g in zip(PIECES, slots, strict=True)], axis=0), firsts)
-        places, _ = windows_of(np.array([len(starts)]))
-        return np.where(places >= 0, word[np.maximum(places, 0)], -9).max(axis=1), places, (data, starts, ends)
-
-    def by_net(t: bytes):
-        logits, _, places, spans = window_scores(net, *_texts([t]))
-        return logits, places, spans
+    def by_odds(texts: list[bytes]):
+        for t in texts:
+            data = lower_ascii(np.frombuffer(t, np.uint8))
+            starts, ends = words_of(data)
+            if len(starts):
+                slots, firsts = _pieces(data, starts, ends)
+                word = np.maximum.reduceat(np.max([odds[k][g] for k, g in zip(PIECES, slots, strict=True)], axis=0), firsts)
+                places, _ = windows_of(np.array([len(starts)]))
+                yield np.where(places >= 0, word[np.maximum(places, 0)], -9).max(axis=1), places, (data, starts, ends)
+            else:
+                yield np.zeros(0), None, None
+
+    def by_net(texts: list[bytes], together: int = 200):
+        for at in range(0, len(texts), together):
+            part = texts[at : at + together]
+            logits, owner, places, spans = window_scores(net, *_texts(part))
+            bounds = np.searchsorted(owner, np.arange(len(part) + 1))
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                yield logits[a:b], places[a:b], spans
 
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
