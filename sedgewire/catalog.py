@@ -42,6 +42,28 @@ def warning_counts(spark, d):
     return R.code_counts(table(spark, d, "labels").select(codes.alias("warnings")), "warnings")
 
 
+@query("SELECT code, count(*) AS n FROM (SELECT CASE WHEN l_returnflag = 'R' THEN 'returned' ELSE 'late' END AS code FROM lineitem WHERE l_returnflag = 'R' OR l_linestatus = 'O') GROUP BY code")
+def error_counts(spark, d):
+    code = F.when(F.col("l_returnflag") == "R", "returned").when(F.col("l_linestatus") == "O", "late")
+    return R.code_counts(table(spark, d, "lineitem").select(F.array_compact(F.array(code)).alias("errors")), "errors")
+
+
+@query("""WITH s AS (SELECT d.lang, l.toxic, l.quality FROM documents d LEFT JOIN labels l USING (doc_id))
+SELECT 'mime' AS kind, coalesce(lang, '') AS name, count(*) AS n FROM s GROUP BY 2 UNION ALL SELECT 'warning', 'low_quality', count(*) FROM s WHERE quality = 0 HAVING count(*) > 0
+UNION ALL SELECT 'error', 'toxic', count(*) FROM s WHERE toxic = 1 HAVING count(*) > 0 UNION ALL SELECT 'total', '', count(*) FROM s""")
+def build_report(spark, d):
+    marks = table(spark, d, "labels").select("doc_id", F.array_compact(F.array(F.when(F.col("quality") == 0, "low_quality"))).alias("warnings"), F.array_compact(F.array(F.when(F.col("toxic") == 1, "toxic"))).alias("errors"))
+    report = R.build_report(table(spark, d, "documents").select("doc_id", F.col("lang").alias("mime")).join(marks, "doc_id", "left"))
+    counts = {"mime": F.col("mime_counts"), "warning": F.col("warning_counts"), "error": F.col("error_counts"), "total": F.create_map(F.lit(""), F.col("total_files"))}
+    kinds = F.array(*[F.struct(F.lit(kind).alias("kind"), of.alias("counts")) for kind, of in counts.items()])
+    return report.select(F.inline(kinds)).select("kind", F.explode("counts").alias("name", "n"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def json_field(spark, d):
+    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+
+
 @query("SELECT event_type AS value, count(*) AS n FROM events WHERE event_type <> '' GROUP BY 1 ORDER BY n DESC, min(event_id) LIMIT 5")
 def top_n_findings(spark, d):
     top = R.top_findings(table(spark, d, "events").select(F.col("event_type").alias("value"), F.col("event_id").alias("row_no")))
@@ -65,16 +87,15 @@ def duplicate_content(spark, d):
     return R.duplicate_content(documents_as_scan(spark, d))
 
 
-_DIFF = """WITH o AS (SELECT doc_id::VARCHAR AS path, sha256(text) AS rec FROM documents WHERE doc_id % 5 <> 0),
-n AS (SELECT doc_id::VARCHAR AS path, CASE WHEN doc_id % 7 = 0 THEN sha256(text || '!') ELSE sha256(text) END AS rec FROM documents WHERE doc_id % 5 <> 1)
+_DIFF = """WITH o AS (SELECT c_custkey::VARCHAR AS path, (length(c_mktsegment) % 5)::VARCHAR AS rec FROM customer),
+n AS (SELECT user_id::VARCHAR AS path, (max(event_id) % 5)::VARCHAR AS rec FROM events GROUP BY user_id)
 SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'removed' ELSE 'changed' END AS status
 FROM o FULL OUTER JOIN n ON o.path = n.path WHERE o.path IS NULL OR n.path IS NULL OR o.rec <> n.rec"""
 
 
 def _snapshots(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("path"), "text", F.col("doc_id").alias("row_no"))
-    old = docs.where(F.col("doc_id") % 5 != 0).withColumn("record", F.sha2("text", 256))
-    new = docs.where(F.col("doc_id") % 5 != 1).withColumn("record", F.sha2(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256))
+    old = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("path"), (F.length("c_mktsegment") % 5).cast("string").alias("record"), F.col("c_custkey").alias("row_no"))
+    new = table(spark, d, "events").select(F.col("user_id").cast("string").alias("path"), (F.col("event_id") % 5).cast("string").alias("record"), F.col("event_id").alias("row_no"))
     return old, new
 
 
@@ -83,7 +104,7 @@ def diff_snapshots(spark, d):
     return R.diff(*_snapshots(spark, d))
 
 
-@query(f"WITH c AS ({_DIFF}) SELECT list_sort(list(path) FILTER (status = 'added')) AS added, list_sort(list(path) FILTER (status = 'removed')) AS removed, list_sort(list(path) FILTER (status = 'changed')) AS changed FROM c")
+@query(f"WITH c AS ({_DIFF}) SELECT coalesce(list_sort(list(path) FILTER (status = 'added')), []) AS added, coalesce(list_sort(list(path) FILTER (status = 'removed')), []) AS removed, coalesce(list_sort(list(path) FILTER (status = 'changed')), []) AS changed FROM c")
 def diff_summary(spark, d):
     return R.diff_summary(R.diff(*_snapshots(spark, d)))
 

@@ -6,10 +6,14 @@ import argparse
 import contextlib
 import importlib.util
 import os
+import platform
 import shutil
+import socket
 import sys
 
+import pandas as pd
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from sedgewire.operators import case_bundle, records
 from sedgewire.sources.cache import CacheTable
@@ -30,9 +34,7 @@ def _show(lines) -> None:
 
 def scan(a) -> int:
     spark = session()
-    found = spark.read.format("file_tree").option("root", a.path).load()
-    if a.cache == "on":
-        found = CacheTable(spark, a.cache_dir).apply(found)
+    found = CacheTable(spark, a.cache_dir).scan(a.path) if a.cache == "on" else spark.read.format("file_tree").option("root", a.path).load()
     lines = record_json(found)
     write_single_file(lines, a.out) if a.out else _show(lines)
     return 0
@@ -51,21 +53,27 @@ def report(a) -> int:
 def diff(a) -> int:
     spark = session()
     changes = records.diff(read_jsonl(spark, a.old), read_jsonl(spark, a.new)).cache()
-    for k, status in enumerate(("added", "changed", "removed")):
-        print(f'{"," if k else "{"}"{status}":', end="")
-        for piece in case_bundle.json_list(r.path for r in records.diff_rows(changes, status).toLocalIterator()):
-            print(piece, end="")
-    print("}")
+    with open(a.out, "w", encoding="utf-8") if a.out else contextlib.nullcontext(sys.stdout) as f:
+        for k, status in enumerate(("added", "changed", "removed")):
+            f.write(f'{"," if k else "{"}"{status}":')
+            for piece in case_bundle.json_list(r.path for r in records.diff_rows(changes, status).toLocalIterator()):
+                f.write(piece)
+        f.write("}\n")
+    changes.unpersist()
     return 0
 
 
 def verify(a) -> int:
+    """The issues as JSON lines, or OK; with --bundle those of a bundle's hashes."""
     spark = session()
-    found = spark.read.format("file_tree").option("root", a.base).load()
-    issues = records.verify(read_jsonl(spark, a.scan), found).orderBy("path")
+    if a.bundle:
+        issues = case_bundle.verify_bundle(spark, a.scan, a.base)
+    else:
+        found = spark.read.format("file_tree").options(root=a.base, content="hash").load()
+        issues = records.verify(read_jsonl(spark, a.scan), found)
     n = 0
-    for n, r in enumerate(issues.toLocalIterator(), 1):
-        print(f"{r.issue}\t{r.path}")
+    for n, r in enumerate(issues.orderBy("path").select(F.to_json(F.struct("issue", "path"))).toLocalIterator(), 1):
+        print(r[0])
     if not n:
         print("OK")
     return 2 if n else 0
@@ -73,7 +81,7 @@ def verify(a) -> int:
 
 def export_case(a) -> int:
     base = (a.files_base or os.path.dirname(os.path.abspath(a.scan))) if a.include_files else None
-    case_bundle.export_bundle(read_jsonl(session(), a.scan), a.out, notes=a.notes, redact=a.redact, files_base=base)
+    case_bundle.export_bundle(read_jsonl(session(), a.scan), a.out, notes=a.notes, redact=a.redact, files_base=base, case_id=a.case_id)
     return 0
 
 
@@ -82,12 +90,35 @@ def purge(a) -> int:
     return 0
 
 
+def _modules() -> list[tuple[str, bool]]:
+    return [(name, importlib.util.find_spec(name) is not None) for name in ("pyspark", "pyarrow", "pandas", "PIL", "docx", "pypdf")]
+
+
+def _executor_row(batches):
+    for _ in batches:
+        yield pd.DataFrame({"host": [socket.gethostname()], "python": [sys.version.split()[0]], "ffprobe": [bool(shutil.which("ffprobe"))]})
+
+
 def doctor(a) -> int:
+    """Executables, modules and environment of the driver and of executors, then warnings."""
+    warnings = []
+    print(f"system: {platform.system()} {platform.release()} {platform.machine()}")
+    print(f"python: {sys.version.split()[0]} {sys.executable}")
     for name in ("java", "ffprobe", "ffmpeg", "exiftool"):
         print(f"{name}: {shutil.which(name) or 'not found'}")
-    for name in ("pyspark", "pyarrow", "pandas", "PIL", "docx", "pypdf"):
-        print(f"{name}: {'found' if importlib.util.find_spec(name) else 'not found'}")
-    print(f"python: {sys.version.split()[0]}")
+    for name, there in _modules():
+        print(f"{name}: {'found' if there else 'not found'}")
+    spark = session()
+    print(f"spark: {spark.version} {spark.sparkContext.master}")
+    tasks = spark.range(0, 64, 1, spark.sparkContext.defaultParallelism)
+    for r in tasks.mapInPandas(_executor_row, "host string, python string, ffprobe boolean").distinct().orderBy("host").collect():
+        print(f"executor: {r.host} python {r.python} ffprobe {'found' if r.ffprobe else 'not found'}")
+        if not r.ffprobe:
+            warnings.append(f"{r.host} has no ffprobe: videos give little metadata")
+        if r.python != sys.version.split()[0]:
+            warnings.append(f"{r.host} runs another Python than the driver")
+    for w in dict.fromkeys(warnings):
+        print(f"warning: {w}")
     return 0
 
 
@@ -107,10 +138,10 @@ def build_parser() -> argparse.ArgumentParser:
     add("scan", scan, (["path"], {}), out, (["--cache"], {"choices": ["on", "off"], "default": "on"}), cache_dir)
     add("report", report, (["scan"], {}), out, (["--html"], {"action": "store_true"}), (["--format"], {"choices": ["json", "html"]}))
     add("report-html", report, (["scan"], {}), out, (["--format"], {"default": "html"}), (["--html"], {"action": "store_true"}))
-    add("diff", diff, (["old"], {}), (["new"], {}))
-    add("verify", verify, (["scan"], {}), (["--base"], {"default": "."}))
+    add("diff", diff, (["old"], {}), (["new"], {}), out)
+    add("verify", verify, (["scan"], {}), (["--base"], {"default": "."}), (["--bundle"], {"action": "store_true"}))
     for name in ("export-case", "export-bundle"):
-        add(name, export_case, (["scan"], {}), (["--out"], {"required": True}), (["--notes"], {"default": ""}), (["--redact"], {"action": "store_true"}), (["--include-files"], {"action": "store_true"}), (["--files-base"], {}))
+        add(name, export_case, (["scan"], {}), (["--out"], {"required": True}), (["--notes"], {"default": ""}), (["--case-id"], {}), (["--redact"], {"action": "store_true"}), (["--include-files"], {"action": "store_true"}), (["--files-base"], {}))
     add("cache", purge, (["action"], {"choices": ["purge"]}), cache_dir)
     add("doctor", doctor)
     return top

@@ -82,10 +82,10 @@ def inside(base: str, rel: str) -> str | None:
     return full if full.startswith(os.path.realpath(base) + os.sep) else None
 
 
-def export_bundle(scan: DataFrame, path: str, notes: str | None = "", redact: bool = False, files_base: str | None = None) -> str:
+def export_bundle(scan: DataFrame, path: str, notes: str | None = "", redact: bool = False, files_base: str | None = None, case_id: str | None = None) -> str:
     """A ZIP with manifest.json, scan.jsonl, hashes.txt, reports/report.json, a redacted scan if asked for, and files below files_base. Returns the case id."""
     os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-    case = uuid.uuid4().hex
+    case = case_id or uuid.uuid4().hex
     head = {"case_id": case, "created_at": datetime.datetime.now(datetime.UTC).replace(tzinfo=None).isoformat() + "Z", "notes": notes, "record_count": scan.count()}
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         with z.open("manifest.json", "w", force_zip64=True) as member:
@@ -113,3 +113,11 @@ def bundle_hashes(spark, path: str) -> DataFrame:
     with zipfile.ZipFile(path) as z:
         rows = [tuple(x.split("\t", 1)) for x in z.read("hashes.txt").decode().splitlines() if x.strip()]
     return spark.createDataFrame([(r[0], r[1] if len(r) > 1 else "") for r in rows], "sha256 string, path string")
+
+
+def verify_bundle(spark, path: str, files_base: str | None = None) -> DataFrame:
+    """(path, issue) of a bundle's hashes against the files below files_base: missing or hash_mismatch; no base, no issues. The file_tree source must be registered."""
+    expected = bundle_hashes(spark, path)
+    if files_base is None:
+        return expected.select("path", F.lit("").alias("issue")).limit(0)
+    return records.verify(expected, spark.read.format("file_tree").options(root=files_base, content="hash").load())

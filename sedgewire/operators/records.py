@@ -7,7 +7,6 @@ from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sedgewire.functions.columns import cache_key, signed_degrees, stripped, without_keys
@@ -205,7 +204,3 @@ def limited(scan: DataFrame, max_files: int = 5_000, include_hidden: bool = Fals
     seen = scan if include_hidden else scan.where(~F.col("path").rlike(r"(^|/)\."))
     return seen.orderBy("path").limit(max_files)
 
-
-def ranked(scan: DataFrame) -> DataFrame:
-    """row_no by path within each mime, for listings."""
-    return scan.withColumn("row_no", F.row_number().over(W.partitionBy("mime").orderBy("path")))

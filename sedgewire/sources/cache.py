@@ -2,46 +2,74 @@
 
 from __future__ import annotations
 
-import os
-import shutil
+import json
+import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedgewire.operators.records import first_wins
+from sedgewire.sources.files import extracted
+
+_ENTRY = "key string, metadata string, warnings array<string>, run string, row_no long"
+
+
+def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [extracted(p, m) for p, m in zip(batch.column("full").to_pylist(), batch.column("mime").to_pylist(), strict=True)]
+        text = pa.array([json.dumps(f[0], sort_keys=True, ensure_ascii=False) for f in found], pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column("key"), text, pa.array([f[1] for f in found], pa.list_(pa.string())), pa.array([f[2] for f in found], pa.list_(pa.string()))], names=["key", "metadata", "warnings", "errors"])
 
 
 class CacheTable:
-    """Parquet below a folder: key, metadata, warnings, row_no; append only, the first entry of a key counts."""
+    """Parquet below a folder of any file system that Spark reads: entries by key, append only, the first entry of a key counts; and the hashes of each run."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.path = spark, os.path.join(folder, "entries")
-        os.makedirs(folder, exist_ok=True)
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self.path = f"{self.folder}/entries"
 
     def entries(self) -> DataFrame:
-        if not os.path.exists(self.path):
-            return self.spark.createDataFrame([], "key string, metadata string, warnings array<string>, row_no long")
-        return self.spark.read.parquet(self.path)
-
-    def apply(self, scan: DataFrame) -> DataFrame:
-        """Records with cache_hit in the metadata of those whose content was known, or stands earlier in the scan (by path); new results are added."""
-        keyed = scan.withColumn("key", F.when(F.col("sha256") != "", F.concat(F.lit("sha256:"), F.col("sha256")))).persist()
-        known = first_wins(self.entries(), "key", "row_no").select("key", F.lit(True).alias("known")).persist()
-        known.count()
-        first = keyed.where("key is not null").groupBy("key").agg(F.min("path").alias("first_path"))
-        told = keyed.join(first, "key", "left").join(known, "key", "left")
-        hit = F.coalesce("known", F.lit(False)) | (F.col("first_path") < F.col("path"))
-        with_flag = F.regexp_replace(F.col("metadata"), r"^\{", '{"cache_hit":true,')
-        fresh = told.where(F.col("known").isNull() & (F.col("first_path") == F.col("path")) & (F.size("errors") == 0))
-        content = F.to_json(F.map_filter(F.from_json("metadata", "map<string,variant>"), lambda k, _: k != "mtime"))
-        fresh.select("key", content.alias("metadata"), "warnings", F.unix_micros(F.current_timestamp()).alias("row_no")).write.mode("append").parquet(self.path)
-        return told.withColumn("metadata", F.when(hit, with_flag).otherwise(F.col("metadata"))).select(*scan.columns)
+        try:
+            return self.spark.read.schema(_ENTRY).parquet(self.path)
+        except AnalysisException:  # nothing is stored yet
+            return self.spark.createDataFrame([], _ENTRY)
+
+    def scan(self, root: str, **options: str) -> DataFrame:
+        """Scan records of a tree. Files are hashed first; only contents that are neither stored nor met earlier in the scan (by path) are extracted, and then
+        stored unless that failed. cache_hit is in the metadata of the others."""
+        run = uuid.uuid4().hex
+        where = f"{self.folder}/runs/{run}"
+        hashed = self.spark.read.format("file_tree").options(**options, root=root, content="hash").load()
+        hashed.withColumn("key", F.when(F.col("sha256") != "", F.concat(F.lit("sha256:"), F.col("sha256")))).write.parquet(f"{where}/files")
+        files = self.spark.read.parquet(f"{where}/files")
+        first = files.where("key is not null").groupBy("key").agg(F.min(F.struct("path", "mime")).alias("f")).select("key", F.col("f.path").alias("first_path"), "f.mime")
+        full = F.when(F.lit(root).endswith(F.concat(F.lit("/"), F.col("first_path"))), F.lit(root)).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), F.col("first_path")))
+        todo = first.join(self.entries().select("key"), "key", "left_anti").select("key", full.alias("full"), F.coalesce("mime", F.lit("")).alias("mime"))
+        todo.mapInArrow(_extract, "key string, metadata string, warnings array<string>, errors array<string>").write.parquet(f"{where}/extracted")
+        fresh = self.spark.read.parquet(f"{where}/extracted")
+        good = fresh.where(F.size("errors") == 0).select("key", "metadata", "warnings", F.lit(run).alias("run"), F.unix_micros(F.current_timestamp()).alias("row_no"))
+        good.write.mode("append").parquet(self.path)
+        known = first_wins(self.entries(), "key", "row_no").select("key", "run", "metadata", "warnings", F.array().cast("array<string>").alias("failed"))
+        failed = fresh.where(F.size("errors") > 0).select("key", F.lit(run).alias("run"), "metadata", "warnings", F.col("errors").alias("failed"))
+        results = known.union(failed).select("key", "run", F.col("metadata").alias("found"), F.col("warnings").alias("told"), "failed")
+        joined = files.join(first.select("key", "first_path"), "key", "left").join(results, "key", "left")
+        hit = F.col("key").isNotNull() & (F.size("failed") == 0) & ((F.col("run") != run) | (F.col("path") != F.col("first_path")))
+        inner = lambda c: F.regexp_replace(F.coalesce(c, F.lit("{}")), r"^\{\s*|\s*\}$", "")
+        parts = F.array_compact(F.array(F.when(hit, '"cache_hit":true'), F.nullif(inner(F.col("found")), F.lit("")), F.nullif(inner(F.col("metadata")), F.lit(""))))
+        metadata = F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}"))
+        changed = {"metadata": metadata, "warnings": F.coalesce("told", "warnings"), "errors": F.concat("errors", F.coalesce("failed", F.array().cast("array<string>")))}
+        return joined.select(*[changed.get(c, F.col(c)).alias(c) for c in files.columns if c != "key"])
 
     def stats(self) -> tuple[int, int]:
-        """Entries and bytes."""
-        size = sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(self.path) for f in names)
-        return self.entries().count(), size
+        """Entries, and bytes of their results."""
+        r = self.entries().agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("metadata")), F.lit(0)).alias("size")).first()
+        return r.n, r["size"]
 
     def purge(self) -> None:
-        if os.path.exists(self.path):
-            shutil.rmtree(self.path)
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        fs = where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for name in ("entries", "runs"):
+            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}"), True)

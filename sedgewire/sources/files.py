@@ -15,7 +15,10 @@ import os
 from collections.abc import Iterator
 from pathlib import Path
 
+import pandas as pd
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import StructType
 
 from sedgewire.schema import MIME_BY_SUFFIX, OTHER_MIME
 from sedgewire.sources.extractors import extract
@@ -33,6 +36,30 @@ def list_files(root: str) -> Iterator[str]:
             yield os.path.join(folder, name)
 
 
+def path_is_readable_file(path: str) -> tuple[bool, str | None]:
+    """Whether a file can be read, and if not the first reason: missing, not_a_file, not_readable or error:<type>."""
+    try:
+        tests = ((os.path.exists, "missing"), (os.path.isfile, "not_a_file"), (lambda p: os.access(p, os.R_OK), "not_readable"))
+        reason = next((name for test, name in tests if not test(path)), None)
+    except (OSError, ValueError) as e:
+        reason = f"error:{type(e).__name__}"
+    return reason is None, reason
+
+
+@F.pandas_udf(StructType().add("ok", "boolean").add("reason", "string"))
+def readable(paths: pd.Series) -> pd.DataFrame:
+    """path_is_readable_file of a column of paths; null is missing."""
+    return pd.DataFrame([path_is_readable_file(p) if p is not None else (False, "missing") for p in paths], columns=["ok", "reason"])
+
+
+def extracted(path: str, mime: str) -> tuple[dict, list[str], list[str]]:
+    """Metadata, warnings and errors of a file: any bad file gives an error code."""
+    try:
+        return *extract(path, mime), []
+    except Exception as e:  # whatever a reader meets in a broken file
+        return {}, [], [f"extract_failed:{type(e).__name__}"]
+
+
 def sha256_file(path: str) -> str:
     digest = hashlib.sha256()
     with open(path, "rb") as f:
@@ -53,15 +80,18 @@ def _skipped(rel: str, patterns: list[str]) -> bool:
 
 
 class FilePart(InputPartition):
-    def __init__(self, files: list[str]) -> None:
-        self.files = files
+    """Files, and folders that the executor walks."""
+
+    def __init__(self, files: list[str], folders: list[str] | None = None) -> None:
+        self.files, self.folders = files, folders or []
 
 
 class FileTreeReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.root = options["root"]
-        self.content = options.get("content", "true").lower() == "true"
+        self.content = options.get("content", "true").lower()
         self.per_part = max(1, int(options.get("filesPerPartition", "256")))
+        self.least_folders = max(1, int(options.get("folders", "64")))
         split = lambda k: [x.strip().lower() for x in options.get(k, "").split(",") if x.strip()]
         self.include = {x if x.startswith(".") else f".{x}" for x in split("include")}
         self.exclude = [x.replace("\\", "/").removeprefix("./") for x in split("exclude")]
@@ -69,13 +99,32 @@ class FileTreeReader(DataSourceReader):
     def relative(self, path: str) -> str:
         return os.path.basename(path) if path == self.root else os.path.relpath(path, self.root)
 
+    def chosen(self, path: str) -> bool:
+        return (not self.include or Path(path).suffix.lower() in self.include) and not _skipped(self.relative(path), self.exclude)
+
     def partitions(self) -> list[FilePart]:
-        chosen = [p for p in list_files(self.root) if (not self.include or Path(p).suffix.lower() in self.include) and not _skipped(self.relative(p), self.exclude)]
-        return [FilePart(chosen[i : i + self.per_part]) for i in range(0, len(chosen), self.per_part)] or [FilePart([])]
+        """The driver opens folders level by level until it has enough to hand out; executors walk those."""
+        if not os.path.isdir(self.root):
+            return [FilePart([self.root] if os.path.isfile(self.root) and self.chosen(self.root) else [])]
+        files, level = [], [self.root]
+        while level and len(level) < self.least_folders:
+            below = []
+            for folder in level:
+                with os.scandir(folder) as entries:
+                    for e in sorted(entries, key=lambda e: e.name):
+                        (below if e.is_dir(follow_symlinks=False) else files).append(e.path)
+            level = below
+        files = [p for p in files if not os.path.isdir(p) and self.chosen(p)]
+        parts = [FilePart(files[i : i + self.per_part]) for i in range(0, len(files), self.per_part)]
+        return parts + [FilePart([], [folder]) for folder in level] or [FilePart([])]
 
     def read(self, partition: FilePart):
         for path in partition.files:
             yield self.record(path)
+        for folder in partition.folders:
+            for path in list_files(folder):
+                if self.chosen(path):
+                    yield self.record(path)
 
     def record(self, path: str) -> tuple:
         rel, kind = self.relative(path), Path(path).suffix.lower()
@@ -86,21 +135,19 @@ class FileTreeReader(DataSourceReader):
             metadata["mtime"] = int(stat.st_mtime)
         except OSError as e:
             return rel, mime, size, *times, "", "{}", [], [f"stat_failed:{type(e).__name__}"]
-        if self.content:
+        if self.content != "false":
             try:
                 digest = sha256_file(path)
             except OSError as e:
                 errors.append(f"hash_failed:{type(e).__name__}")
-            try:
-                found, warnings = extract(path, mime)
-                metadata = found | metadata
-            except Exception as e:  # any bad file becomes a row with an error code
-                errors.append(f"extract_failed:{type(e).__name__}")
+        if self.content == "true":
+            found, warnings, failed = extracted(path, mime)
+            metadata, errors = found | metadata, errors + failed
         return rel, mime, size, *times, digest, json.dumps(metadata, sort_keys=True, ensure_ascii=False, separators=(",", ":")), warnings, errors
 
 
 class FileTree(DataSource):
-    """Options: root; content (false: stat only, files are not opened); include (extensions); exclude (patterns); filesPerPartition."""
+    """Options: root; content (true; hash: no metadata but mtime; false: stat only, files are not opened); folders (so many are handed out at least); include (extensions); exclude (patterns); filesPerPartition."""
 
     @classmethod
     def name(cls) -> str:

@@ -12,8 +12,10 @@ from sedgewire.functions.columns import canonical_json, stripped
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """(row_no, path, mime, size_bytes, sha256, metadata, warnings, errors, record): blank lines skipped, any invalid line fails the read,
-    missing fields are null. record is the whole line in canonical form. row_no grows with the line."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("row_no"), "value").where(stripped(F.col("value")) != "")
+    missing fields are null. record is the whole line in canonical form. row_no (file, start of its block, number) grows with the line, and over
+    the files of a folder with their names, however Spark packs them into tasks."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("number"))
+    lines = spark.read.text(path).select(place.alias("row_no"), "value").where(stripped(F.col("value")) != "")
     v = F.parse_json("value")
     get = lambda key, kind: F.try_variant_get(v, f"$.{key}", kind)
     return lines.select(

@@ -1,18 +1 @@
-"""Scan records that arrive over time: running counts with Structured Streaming."""
-
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-
-from sedgewire.operators.records import mime_counts
-from sedgewire.schema import SCAN
-
-
-def scan_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """Record files that are added to a folder, as a stream."""
-    return spark.readStream.schema(SCAN).parquet(folder)
-
-
-def running_mime_counts(stream: DataFrame) -> DataFrame:
-    """Counts by type so far; state is one row for each type. Write it in complete or update mode."""
-    return mime_counts(stream)
+"""No streams: the scan model has none; Structured Streaming reads and writes its tables as any others."""

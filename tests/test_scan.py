@@ -9,6 +9,7 @@ import pytest
 from sedgewire import catalog, cli
 from sedgewire.operators import case_bundle, records
 from sedgewire.sources.cache import CacheTable
+from sedgewire.sources import extractors
 from sedgewire.sources.extractors import exif
 from sedgewire.sources.files import FileTree
 from sedgewire.sources.jsonl import read_jsonl, record_json, write_single_file
@@ -125,11 +126,87 @@ def test_paths_outside_the_base(tmp_path):
     assert case_bundle.inside(str(tmp_path), "../x") is None and case_bundle.inside(str(tmp_path), "/etc/passwd") is None
 
 
-def test_cache(spark, tree, tmp_path):
+def test_cache_saves_extraction(spark, tree, tmp_path):
+    spark.dataSource.register(FileTree)
     cache = CacheTable(spark, str(tmp_path / "cache"))
-    hits = lambda: sorted(r.path for r in cache.apply(_scan(spark, tree)).collect() if "cache_hit" in r.metadata)
-    assert hits() == ["_u.txt"]
+    extracted = lambda: [spark.read.parquet(str(p)).count() for p in sorted((tmp_path / "cache" / "runs").glob("*/extracted"), key=lambda p: p.stat().st_mtime)][-1]
+
+    def run():
+        rows = {r.path: r for r in cache.scan(str(tree)).collect()}
+        plain = {r.path: r for r in _scan(spark, tree).collect()}
+        assert sorted(rows) == sorted(plain)
+        for path, r in rows.items():
+            told = json.loads(r.metadata)
+            told.pop("cache_hit", None)
+            assert (told, r.errors, r.sha256, r.size_bytes) == (json.loads(plain[path].metadata), plain[path].errors, plain[path].sha256, plain[path].size_bytes)
+        return sorted(p for p, r in rows.items() if "cache_hit" in r.metadata)
+
+    assert run() == ["_u.txt"] and extracted() == 6
     assert cache.stats()[0] == 5  # the bad file isn't kept
-    assert len(hits()) == 6
+    assert len(run()) == 6 and extracted() == 1
+    assert [r.path for r in cache.scan(str(tree / "a.pdf")).collect()] == ["a.pdf"] and extracted() == 0
     cache.purge()
     assert cache.stats() == (0, 0)
+
+
+def test_last_row_wins_over_a_folder_of_unequal_files(spark, tmp_path):
+    folder = tmp_path / "lines"
+    folder.mkdir()
+    row = lambda path, size: json.dumps({"path": path, "size_bytes": size}) + "\n"
+    (folder / "part-0.txt").write_text(row("a", 1) + row("b", 1))
+    (folder / "part-1.txt").write_text(row("a", 2) + "".join(row(f"x{i}", 0) for i in range(5_000)))
+    (folder / "part-2.txt").write_text(row("a", 3))
+    best = {r.path: r.size_bytes for r in records.last_wins(read_jsonl(spark, str(folder))).where("path in ('a', 'b')").collect()}
+    assert best == {"a": 3, "b": 1}
+
+
+def test_readable_and_limits(spark, tree):
+    from sedgewire.sources.files import readable
+
+    paths = spark.createDataFrame([(str(tree / "a.pdf"),), (str(tree),), (str(tree / "none"),), (None,)], "p string")
+    assert [tuple(r) for r in paths.select(readable("p").alias("r")).select("r.*").collect()] == [(True, None), (False, "not_a_file"), (False, "missing"), (False, "missing")]
+    scan = _scan(spark, tree, folders="1")
+    assert [r.path for r in records.limited(scan, 2).collect()] == ["_u.txt", "a.pdf"]
+    assert [r.path for r in records.limited(scan, 1, include_hidden=True).collect()] == [".hidden.txt"]
+    assert sorted(r.path for r in _scan(spark, tree, folders="100").collect()) == sorted(r.path for r in scan.collect())
+
+
+def test_verify_bundle_diff_out_and_case_id(spark, tree, tmp_path, capsys):
+    scan, bundle, lines = tmp_path / "s.jsonl", tmp_path / "c.zip", tmp_path / "d.json"
+    write_single_file(record_json(_scan(spark, tree)), str(scan))
+    assert cli.main(["export-case", str(scan), "--out", str(bundle), "--case-id", "case-7"]) == 0
+    with zipfile.ZipFile(bundle) as z:
+        assert json.loads(z.read("manifest.json"))["case_id"] == "case-7"
+    (tree / "a.pdf").write_text("changed")
+    (tree / "_u.txt").unlink()
+    assert [tuple(r) for r in case_bundle.verify_bundle(spark, str(bundle), str(tree)).orderBy("path").collect()] == [("_u.txt", "missing"), ("a.pdf", "hash_mismatch")]
+    assert case_bundle.verify_bundle(spark, str(bundle)).count() == 0
+    capsys.readouterr()
+    assert cli.main(["verify", str(scan), "--base", str(tree)]) == 2
+    assert [json.loads(x) for x in capsys.readouterr().out.splitlines()] == [{"issue": "missing", "path": "_u.txt"}, {"issue": "hash_mismatch", "path": "a.pdf"}]
+    assert cli.main(["diff", str(scan), str(scan), "--out", str(lines)]) == 0
+    assert json.loads(lines.read_text()) == {"added": [], "changed": [], "removed": []}
+    assert cli.main(["doctor"]) == 0 and "executor:" in capsys.readouterr().out
+
+
+def test_video_boxes_and_jpeg(tmp_path):
+    box = lambda kind, body: struct.pack(">I4s", len(body) + 8, kind) + body
+    mvhd = box(b"mvhd", b"\0" * 12 + struct.pack(">II", 1000, 2500) + b"\0" * 80)
+    tkhd = box(b"tkhd", b"\0" * 76 + struct.pack(">II", 320 << 16, 240 << 16))
+    (tmp_path / "a.mp4").write_bytes(box(b"ftyp", b"isom") + box(b"mdat", b"x" * 1000) + box(b"moov", mvhd + box(b"trak", tkhd)))
+    assert extractors._boxes(str(tmp_path / "a.mp4")) == {"video_duration": 2.5, "video_width": 320, "video_height": 240}
+    frame = struct.pack(">BHHB", 8, 48, 64, 3) + b"\0" * 9
+    (tmp_path / "a.jpg").write_bytes(b"\xff\xd8\xff\xc0" + struct.pack(">H", len(frame) + 2) + frame)
+    assert extractors.extract(str(tmp_path / "a.jpg"), "image/jpeg")[0] == {"format": "JPEG", "mode": "RGB", "width": 64, "height": 48}
+
+
+def test_normalize_all_sections(spark):
+    raw = spark.sql("""SELECT 'p' AS path, 'n' AS name, '.jpg' AS ext, 5L AS size_bytes, 'sha256' AS hash_algo, 'ab' AS hash_hex,
+      named_struct('Make', ' Canon ', 'Model', 'X', 'Software', 'S') AS exif, named_struct('DateTimeOriginal', 'd1', 'DateTimeDigitized', 'd2') AS exif_times,
+      named_struct('lat', 1.5D, 'lon', 2.5D, 'alt_m', CAST(NULL AS DOUBLE), 'dop', 0.5D) AS gps_norm, named_struct('Author', 'pa', 'Creator', 'c', 'Producer', 'q') AS pdf,
+      named_struct('CreationDate', 'k1', 'ModDate', '') AS pdf_times, named_struct('creator', 'da', 'lastModifiedBy', 'lm', 'title', 't') AS docx, named_struct('created', 'w1', 'modified', 'w2') AS docx_times,
+      named_struct('duration_sec', 3.5D, 'width', 0, 'height', 9, 'codec', 'h', 'container', 'mp4', 'container_created', 'cc') AS video""")
+    r = records.normalize(raw).first()
+    assert tuple(r.file) == ("p", "n", ".jpg", 5) and r.hashes == {"sha256": "ab"} and tuple(r.capture) == ("Canon", "X", "docx", "d1")
+    assert tuple(r.meta_times) == ("d2", "k1", "w2") and tuple(r.geo) == (1.5, 2.5, None, 0.5, "dop") and tuple(r.identity) == ("da", "lm", "t")
+    assert tuple(r.media) == (3.5, None, 9, "h", "mp4", "cc") and r.raw.path == "p"
