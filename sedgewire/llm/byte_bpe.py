@@ -140,7 +140,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Encoder:
     """Encodes texts; keeps the ids of the last pre-tokens met, packed: two generations of up to half of `kept_bytes` each."""
 
-    def __init__(self, vocabulary: Vocabulary, pattern: str, kept_bytes: int = 64 << 20) -> None:
+    def __init__(self, vocabulary: Vocabulary, pattern: str, kept_bytes: int = 128 << 20) -> None:
         self.vocabulary, self.most, self.held = vocabulary, kept_bytes // 2, 0
         self.find = regex.compile(pattern).findall
         self.seen: dict[str, bytes] = {}
