@@ -14,24 +14,37 @@ from sedgewire.llm.common import read_table, remove_folder, shared_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under 0.3; the network learns from the labelled rows of the stage's own input."""
+    """Documents that score under 0.3; the network learns from the labelled rows of the stage's own input.
+
+    Null, empty and wordless texts score 0 and stay; repeated rows share their fate; where no labels can be learned from, all stay. An empty table stays empty.
+    """
     net = toxicity.fit_on(docs, read_table(spark, sf_dir, "labels"))
     return toxicity.score(docs, net, "__toxicity").where(F.col("__toxicity") < 0.3).select(*docs.columns)
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that eight or more sources share (their first place keeps them); n_chars follows. No document goes."""
+    """Texts without the lines that eight or more sources share (their first place keeps them); n_chars follows. No document goes.
+
+    A null source is one of its own; copies of a whole text count as one, so that copied documents stay whole for the next stage. Null texts stay null (n_chars null), repeated rows
+    share a first place. Near copies on eight or more sources do lose what they share but for its first place. An empty table stays empty.
+    """
     cut = line_dedup.remove_boilerplate(docs, min_sites=8)
     return cut.select(*[F.col("text_kept").alias("text") if c == "text" else F.char_length("text_kept").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose sets of 5-word shingles are linked at 0.8 or more."""
+    """One document of each group whose sets of 5-word shingles are linked at 0.8 or more: the one with the least doc_id.
+
+    Null, empty and wordless texts are in no group and stay; rows that repeat id and text count as one. Of a group without ids all stay. An empty table stays empty.
+    """
     return near_duplicates.drop_near_duplicates(docs, k=5, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often (0 to 2 times) as the mix of sources takes it."""
+    """Each document as often (0 to 2 times) as the mix of sources takes it.
+
+    Null is a source; texts without words have size 0 and are taken as often as the whole passes over their source; repeated rows share their fate. An empty table stays empty.
+    """
     return mixing.take_mix(docs)
 
 
@@ -49,7 +62,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("byte_bpe", tokenize),
 ]
 
-#: A trained network decides the first stage, which SQL can't express; tests/llm check each stage's columns, counts and round trip.
+#: A trained network decides the first stage, which SQL can't express; tests/llm compare the others with a plain version, and the first with held-out labels.
 ORACLE_SQL = None
 
 
