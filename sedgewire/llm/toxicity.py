@@ -10,9 +10,11 @@ then by the network's own scores.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedgewire.llm.common import arrow_bytes, checkpointed, hash_spans, in_batches, lower_ascii, without_columns
@@ -444,18 +446,38 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def fit(texts: list[bytes], toxic: np.ndarray, seed: int = 5, **options) -> Network:
-    """Fit on labelled texts: the network on all of them, its head on the scores that networks of one half give to the other half."""
+def _fit_part(texts: list[bytes], toxic: np.ndarray, part: int, seed: int, options: dict):
+    """Parts 0 and 1: the rows of the other half and what a network of this half makes of them (None: one label only). Part 2: the network of all rows."""
+    if part == 2:
+        return fit_windows(texts, toxic, seed=seed, **options)
     rows = np.random.default_rng(seed).permutation(len(texts))
-    x, use = np.zeros((len(texts), WORST + 2)), np.zeros(len(texts), bool)
-    for half in (0, 1):
-        own, other = np.sort(rows[half::2]), np.sort(rows[1 - half :: 2])
-        if len(np.unique(toxic[own])) == 2 and len(other):
-            part = fit_windows([texts[i] for i in own], toxic[own], seed=seed, **options)
-            x[other], use[other] = text_features(part, *_texts([texts[i] for i in other]))
-    net = fit_windows(texts, toxic, seed=seed, **options)
-    if len(np.unique(toxic[use])) == 2:
-        net.head = _logistic(x[use], toxic[use].astype(float))
+    own, other = np.sort(rows[part::2]), np.sort(rows[1 - part :: 2])
+    if len(np.unique(toxic[own])) < 2 or not len(other):
+        return None
+    net = fit_windows([texts[i] for i in own], toxic[own], seed=seed, **options)
+    return other, text_features(net, *_texts([texts[i] for i in other]))[0]
+
+
+def fit(texts: list[bytes], toxic: np.ndarray, seed: int = 5, spark: SparkSession | None = None, **options) -> Network:
+    """Fit on labelled texts: the network on all of them, its head on the scores that networks of one half give to the other half. With `spark` each of the three networks is fitted by a task of its own."""
+    if spark is None:
+        *halves, net = [_fit_part(texts, toxic, part, seed, options) for part in range(3)]
+    else:
+        shared = spark.sparkContext.broadcast((texts, toxic))
+
+        def run(batches):
+            for batch in batches:
+                for part in batch.column(0).to_pylist():
+                    yield pa.RecordBatch.from_pydict({"part": [part], "made": [pickle.dumps(_fit_part(*shared.value, part, seed, options))]})
+
+        made = spark.range(0, 3, 1, 3).mapInArrow(run, "part long, made binary").collect()
+        *halves, net = [pickle.loads(row["made"]) for row in sorted(made)]
+    known = [half for half in halves if half is not None]
+    if known:
+        rows, x = np.concatenate([half[0] for half in known]), np.concatenate([half[1] for half in known])
+        if len(np.unique(toxic[rows])) == 2:
+            order = np.argsort(rows)
+            net.head = _logistic(x[order], toxic[rows[order]].astype(float))
     return net
 
 
@@ -477,7 +499,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, sample: int = 2_400, most_bytes:
     rows = chosen.toPandas().sort_values(["h", "text"], kind="stable")
     if rows["toxic"].nunique() < 2:
         return None
-    return fit([t.encode() for t in rows["text"]], rows["toxic"].to_numpy())
+    return fit([t.encode() for t in rows["text"]], rows["toxic"].to_numpy(), spark=docs.sparkSession)
 
 
 def score(docs: DataFrame, net: Network | None, column: str = "toxicity") -> DataFrame:

@@ -153,7 +153,7 @@ def test_toxicity_on_held_out_rows_of_the_table(spark):
 
 
 def test_toxicity_sample_is_bounded(spark, monkeypatch):
-    monkeypatch.setattr(toxicity, "fit", lambda texts, toxic: (len(texts), int(sum(toxic))))
+    monkeypatch.setattr(toxicity, "fit", lambda texts, toxic, **_: (len(texts), int(sum(toxic))))
     docs = spark.range(400).selectExpr("id % 100 AS doc_id", "concat('text ', id % 100) AS text")
     labels = spark.range(100).selectExpr("id AS doc_id", "int(id % 2) AS toxic")
     assert toxicity.fit_on(docs, labels, sample=20) == (20, 8)
