@@ -100,24 +100,54 @@ class Recurrent:
         """States (steps, rows, both directions); behind the end the last one stays."""
         (n, steps), h = index.shape, self.hidden
         live = (index.T >= 0)[:, :, None]
+        if not keep:
+            return self._states(p, x, index), {}
         out = np.zeros((steps, n, 2 * h), x.dtype)
         saved = {}
         for k, way in enumerate("fb"):
             inputs = np.concatenate([x @ p[f"{self.name}w{way}"] + p[f"{self.name}c{way}"], np.zeros((1, 3 * h), x.dtype)])
             u, state = p[f"{self.name}u{way}"], np.zeros((n, h), x.dtype)
-            trace = [np.zeros((steps, n, m * h), x.dtype) for m in (1, 2, 1, 1)] if keep else None  # state before, gates, new, its recurrent part
+            trace = [np.zeros((steps, n, m * h), x.dtype) for m in (1, 2, 1, 1)]  # state before, gates, new, its recurrent part
             for t in range(steps) if way == "f" else range(steps - 1, -1, -1):
                 a, b = inputs[index[:, t]], state @ u
                 gates = _sigmoid(a[:, : 2 * h] + b[:, : 2 * h])
                 recurrent = b[:, 2 * h :]
                 new = np.tanh(a[:, 2 * h :] + gates[:, h:] * recurrent)
-                if keep:
-                    trace[0][t], trace[1][t], trace[2][t], trace[3][t] = state, gates, new, recurrent
+                trace[0][t], trace[1][t], trace[2][t], trace[3][t] = state, gates, new, recurrent
                 state = np.where(live[t], new + gates[:, :h] * (state - new), state)
                 out[t, :, k * h : (k + 1) * h] = state
             saved[way] = trace
         return out, saved
 
+    def _states(self, p: dict, x: np.ndarray, index: np.ndarray) -> np.ndarray:
+        """The states alone: each gate has arrays of its own, as numpy is slow on parts of rows, and is computed in place."""
+        (n, steps), h = index.shape, self.hidden
+        live = np.ascontiguousarray(index.T >= 0)
+        rows, full = np.where(live, index.T, len(x)), live.all(axis=1)
+        out = np.empty((steps, n, 2 * h), x.dtype)
+        for k, way in enumerate("fb"):
+            w, u, c = (p[f"{self.name}{part}{way}"] for part in "wuc")
+            gates = [(np.concatenate([x @ w[:, m : m + h] + c[m : m + h], np.zeros((1, h), x.dtype)]), np.ascontiguousarray(u[:, m : m + h])) for m in (0, h, 2 * h)]
+            state = np.zeros((n, h), x.dtype)
+            for t in range(steps) if way == "f" else range(steps - 1, -1, -1):
+                (z, r, new), (zu, ru, nu) = [i.take(rows[t], axis=0) for i, _ in gates], [state @ u for _, u in gates]
+                for gate, recurrent in ((z, zu), (r, ru)):
+                    gate += recurrent
+                    np.negative(gate, out=gate)
+                    with np.errstate(over="ignore"):
+                        np.exp(gate, out=gate)
+                    gate += 1
+                    np.reciprocal(gate, out=gate)
+                nu *= r
+                new += nu
+                np.tanh(new, out=new)
+                after = state - new
+                after *= z
+                after += new
+                state = after if full[t] else np.where(live[t][:, None], after, state)
+                out[t, :, k * h : (k + 1) * h] = state
+        return out
+
     def gradients(self, p: dict, g: dict, x: np.ndarray, index: np.ndarray, saved: dict, dout: np.ndarray) -> np.ndarray:
         """Adds the parameters' gradients to g; returns that of x."""
         (n, steps), h, dx = index.shape, self.hidden, np.zeros_like(x)
@@ -284,7 +314,7 @@ def worst_windows(logits: np.ndarray) -> np.ndarray:
 _NONE = -8.0
 
 
-def text_features(net: Network, data: np.ndarray, offsets: np.ndarray, chunk: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def text_features(net: Network, data: np.ndarray, offsets: np.ndarray, chunk: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
     """A row for each text: its worst windows, the logarithm of its number of windows, and 1; and whether it has a word. Long texts go through in several chunks that overlap by a window."""
     n = len(offsets) - 1
     out, has = np.zeros((n, WORST + 2)), np.zeros(n, bool)
@@ -310,7 +340,7 @@ def text_features(net: Network, data: np.ndarray, offsets: np.ndarray, chunk: in
     return out, has
 
 
-def score_texts(net: Network, data: np.ndarray, offsets: np.ndarray, chunk: int = 1 << 20) -> np.ndarray:
+def score_texts(net: Network, data: np.ndarray, offsets: np.ndarray, chunk: int = 1 << 22) -> np.ndarray:
     """The score of each text from 0 to 1; 0 without a word."""
     x, has = text_features(net, data, offsets, chunk)
     return np.where(has, _sigmoid(x @ net.head), 0.0)
