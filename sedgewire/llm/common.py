@@ -21,6 +21,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt_out(table: DataFrame) -> DataFrame:
+    """A scanned table with at least as many partitions as there are cores: one small file is dealt out, a large table stays as it is split."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names. Where nobody set one, a folder of its own on one machine (tests); on a cluster that is an error, as executors don't share local folders."""
     context = spark.sparkContext

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedgewire.llm import byte_bpe, html_extraction, language_id, line_dedup, mixing, toxicity
-from sedgewire.llm.common import read_table
+from sedgewire.llm import byte_bpe, html_extraction, language_id, lexical_search, line_dedup, mixing, pii, resampling, toxicity
+from sedgewire.llm.common import dealt_out, read_table
 from sedgewire.llm.embedding_groups import embedding_groups
 from sedgewire.llm.near_duplicates import near_duplicate_groups
 from sedgewire.llm.repeated_spans import remove_repeats
@@ -66,6 +66,20 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", language_id.held_out(F.col("doc_id"), 3, 1).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_ambiguous").alias("ambiguous"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(dealt_out(read_table(spark, sf_dir, "documents")), read_table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_digests(dealt_out(read_table(spark, sf_dir, "documents")))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = dealt_out(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    drawn = resampling.resample(docs, read_table(spark, sf_dir, "benchmark"), percent=5)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_mixing": op2_mixing,
@@ -77,9 +91,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_language_id": op10_language_id,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_pii": op12_pii,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE,
     "op2_mixing": mixing.ORACLE,
+    "op11_lexical_search": lexical_search.ORACLE,
 }
