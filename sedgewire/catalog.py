@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedgewire.functions import columns as C
+from sedgewire.operators import hash_tree
 from sedgewire.operators import records as R
 from sedgewire.plans import documents_as_scan, table
 
@@ -104,7 +105,15 @@ def diff_snapshots(spark, d):
     return R.diff(*_snapshots(spark, d))
 
 
-@query(f"WITH c AS ({_DIFF}) SELECT coalesce(list_sort(list(path) FILTER (status = 'added')), []) AS added, coalesce(list_sort(list(path) FILTER (status = 'removed')), []) AS removed, coalesce(list_sort(list(path) FILTER (status = 'changed')), []) AS changed FROM c")
+def _levels(source: str, value: str, by: str = "") -> str:
+    """The levels l0 to l3 of a Merkle tree over source's row_no, as a WITH list."""
+    key, group = (f"{by}, ", f"{by}, ") if by else ("", "")
+    out = [f"l0 AS (SELECT {key}row_no // 1024 AS node, count(*) AS n, 1 AS leaves, sha256(string_agg(coalesce({value}, ''), ',' ORDER BY row_no)) AS digest FROM {source} GROUP BY {group}row_no // 1024)"]
+    out += [f"l{k} AS (SELECT {key}node // 1024 AS node, sum(n)::BIGINT AS n, sum(leaves)::BIGINT AS leaves, sha256(string_agg(digest, ',' ORDER BY node)) AS digest FROM l{k - 1} GROUP BY {group}node // 1024)" for k in (1, 2, 3)]
+    return ", ".join(out)
+
+
+@query(f"WITH c AS ({_DIFF}), r AS (SELECT *, row_number() OVER (PARTITION BY status ORDER BY path) - 1 AS row_no FROM c), {_levels('r', 'path', 'status')} SELECT status, n, digest FROM l3")
 def diff_summary(spark, d):
     return R.diff_summary(R.diff(*_snapshots(spark, d)))
 
@@ -137,11 +146,57 @@ def hash_md5(spark, d):
     return table(spark, d, "documents").select("doc_id", C.content_hash(F.col("text"), " MD5 ").alias("hash_hex"))
 
 
-@query("SELECT count(*) AS record_count, sha256(string_agg(coalesce(sha256, ''), ',' ORDER BY row_no)) AS digest FROM SCAN")
+@query(f"WITH s AS (SELECT * FROM SCAN), {_levels('s', 'sha256')} SELECT n AS record_count, leaves, digest AS root FROM l3")
 def manifest_digest(spark, d):
     return R.manifest_digest(documents_as_scan(spark, d))
 
 
+_LATER = """SELECT s.row_no, CASE WHEN l.toxic = 1 THEN md5(s.path) ELSE s.sha256 END AS sha256 FROM SCAN s LEFT JOIN labels l ON s.row_no = l.doc_id WHERE l.quality IS NULL OR l.quality <> 0
+UNION ALL SELECT max(row_no) + 5000, 'new' FROM SCAN HAVING count(*) > 0"""
+
+
+def _later(spark, d):
+    """documents_as_scan with other hashes of toxic records, without those of low quality, and with a record far behind."""
+    scan = documents_as_scan(spark, d)
+    joined = scan.join(table(spark, d, "labels").select(F.col("doc_id").alias("row_no"), "toxic", "quality"), "row_no", "left").where("quality is null or quality <> 0")
+    rows = joined.select("row_no", F.when(F.col("toxic") == 1, F.md5("path")).otherwise(F.col("sha256")).alias("sha256"))
+    return rows.union(scan.agg((F.max("row_no") + 5000).alias("row_no"), F.lit("new").alias("sha256")).where("row_no is not null"))
+
+
+@query(f"""WITH a AS (SELECT row_no // 1024 AS node, count(*) AS n, string_agg(coalesce(sha256, ''), ',' ORDER BY row_no) AS v FROM SCAN GROUP BY 1),
+b AS (SELECT row_no // 1024 AS node, count(*) AS n, string_agg(coalesce(sha256, ''), ',' ORDER BY row_no) AS v FROM ({_LATER}) GROUP BY 1)
+SELECT coalesce(a.node, b.node) * 1024 AS first_row, coalesce(a.node, b.node) * 1024 + 1023 AS last_row, coalesce(a.n, 0) AS old_rows, coalesce(b.n, 0) AS new_rows
+FROM a FULL OUTER JOIN b ON a.node = b.node WHERE a.v IS DISTINCT FROM b.v""")
+def manifest_changes(spark, d):
+    return hash_tree.changed_ranges(hash_tree.build(documents_as_scan(spark, d)), hash_tree.build(_later(spark, d)))
+
+
+@query(f"""SELECT coalesce(o.row_no, n.row_no) AS row_no, CASE WHEN o.row_no IS NOT NULL THEN coalesce(o.sha256, '') END AS old, CASE WHEN n.row_no IS NOT NULL THEN coalesce(n.sha256, '') END AS new
+FROM SCAN o FULL OUTER JOIN ({_LATER}) n ON o.row_no = n.row_no WHERE o.row_no IS NULL OR n.row_no IS NULL OR coalesce(o.sha256, '') <> coalesce(n.sha256, '')""")
+def manifest_changed_rows(spark, d):
+    old, new = documents_as_scan(spark, d), _later(spark, d)
+    return hash_tree.changed_rows(old, new, hash_tree.changed_ranges(hash_tree.build(old), hash_tree.build(new)))
+
+
+@query("""WITH s AS (
+  SELECT event_id AS row_no, event_type, 'u' || user_id AS author, coalesce(json_extract_string(props, '$.k'), '') AS producer, CASE WHEN value < 5 THEN 'low' WHEN value < 10 THEN '' ELSE NULL END AS model, value > 50 AS gps FROM events),
+c AS (
+  SELECT 'mime' AS kind, coalesce(event_type, '') AS value, count(*) AS n, min(row_no) AS first_row FROM s GROUP BY 2 UNION ALL
+  SELECT 'warning', w, count(*), min(row_no) FROM (SELECT row_no, unnest(CASE WHEN gps THEN ['far', author] ELSE ['near'] END) AS w FROM s) GROUP BY 2 UNION ALL
+  SELECT 'error', 'x', count(*), min(row_no) FROM s WHERE event_type = 'error' HAVING count(*) > 0 UNION ALL SELECT 'gps', '', count(*), min(row_no) FROM s WHERE gps HAVING count(*) > 0 UNION ALL
+  SELECT 'author', author, count(*), min(row_no) FROM s WHERE author <> '' GROUP BY 2 UNION ALL SELECT 'producer', producer, count(*), min(row_no) FROM s WHERE producer <> '' GROUP BY 2 UNION ALL
+  SELECT 'model', model, count(*), min(row_no) FROM s WHERE model <> '' GROUP BY 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY CASE WHEN kind = 'mime' THEN value END, n DESC, first_row, value)::INTEGER AS rank FROM c)
+SELECT kind, value, n, rank FROM r WHERE rank <= 5 OR kind NOT IN ('author', 'producer', 'model') UNION ALL SELECT 'distinct', kind, count(*), NULL FROM c WHERE kind IN ('author', 'producer', 'model') GROUP BY 2""")
+def findings(spark, d):
+    author, far = F.concat(F.lit("u"), F.col("user_id").cast("string")), F.col("value") > 50
+    model = F.when(F.col("value") < 5, "low").when(F.col("value") < 10, "")
+    meta = F.to_json(F.struct(author.alias("pdf_author"), F.get_json_object("props", "$.k").alias("producer"), model.alias("exif_model"), F.when(far, F.struct(F.lit(1).alias("lat"))).alias("gps")))
+    warnings = F.when(far, F.array(F.lit("far"), author)).otherwise(F.array(F.lit("near")))
+    errors = F.when(F.col("event_type") == "error", F.array(F.lit("x")))
+    return R.findings(table(spark, d, "events").select(F.col("event_id").alias("row_no"), F.col("event_type").alias("mime"), warnings.alias("warnings"), errors.alias("errors"), meta.alias("metadata")))
+
+
 @query("SELECT page_id, lower(regexp_extract(url, '[^/](\\.[^./]+)$', 1)) AS suffix FROM pages")
 def suffix(spark, d):
     return table(spark, d, "pages").select("page_id", C.suffix(F.col("url")).alias("suffix"))

@@ -15,42 +15,35 @@ from pyspark.sql import functions as F
 
 from sedgewire.operators import records
 from sedgewire.sources.jsonl import record_json
-
-
-def _key(metadata, *names):
-    v = F.parse_json(F.coalesce(metadata, F.lit("{}")))
-    return F.coalesce(*[F.nullif(F.try_variant_get(v, f"$.{n}", "string"), F.lit("")) for n in names])
-
-
-#: Findings by the short metadata key, or else by those that the extractors give.
-FINDINGS = {"author": ("author", "pdf_author", "docx_author"), "producer": ("producer", "pdf_producer"), "model": ("model", "exif_model")}
+from sedgewire.sources.staging import checkpointed
 
 
 def html_lines(scan: DataFrame, strict: bool = False) -> Iterator[str]:
-    """The report line by line, files as they come: summary, types, findings, warnings, errors and the table of files; every value is escaped. strict: short metadata keys only."""
-    keys = {k: v[:1] if strict else v for k, v in FINDINGS.items()}
-    v = F.parse_json(F.coalesce("metadata", F.lit("{}")))
-    gps = F.greatest(F.variant_get(v, "$.gps", "variant").isNotNull(), F.lit(False) if strict else F.variant_get(v, "$.gps_latitude", "variant").isNotNull())
-    total = scan.agg(F.count("*").alias("n"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("size"), F.count_if(gps).alias("gps")).first()
+    """The report line by line, files as they come: summary, types, findings, warnings, errors and the table of files; every value is escaped. strict: short metadata keys only.
+
+    The scan is read twice: once for all counts, once for the table of files.
+    """
+    counts = checkpointed(records.value_counts(scan, strict))
+    total = counts.where("kind = 'total'").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
     e = html.escape
     item = lambda k, n: f"<li>{e(str(k))}: <b>{n}</b></li>"
-    out = ["<!doctype html><html><head><meta charset='utf-8'><title>Scan report</title></head><body><h1>Scan report</h1><h2>Summary</h2>"]
-    out.append(f"<ul><li>Files: <b>{total.n}</b></li><li>Total size: <b>{total['size']:,} bytes</b></li></ul><h3>Types</h3><ul>")
-    out += [item(r.mime, r.n) for r in records.mime_counts(scan).orderBy("mime").toLocalIterator()]
-    out.append("</ul><h2>Findings</h2><ul>")
-    found = [item("Files with GPS", total.gps)] if total.gps else []
-    tops = []
-    for name, own in keys.items():
-        values = scan.select(_key(F.col("metadata"), *own).alias("value"), "row_no")
-        if count := values.where("value is not null").select("value").distinct().count():
-            found.append(item(f"Distinct {name}s", count))
-            tops.append(f"<h3>Top {name}s</h3><ul>" + "".join(item(r.value, r.n) for r in records.top_findings(values).collect()) + "</ul>")
-    out += [*(found or ["<li>none</li>"]), "</ul>", *tops]
-    for name in ("warnings", "errors"):
-        codes = scan.select(F.explode(name).alias("value"), "row_no").groupBy("value").agg(F.count("*").alias("n"), F.min("row_no").alias("first")).orderBy(F.desc("n"), "first")
-        out += [f"<h2>{name.capitalize()}</h2><ul>", *[item(r.value, r.n) for r in codes.toLocalIterator()], "</ul>"]
-    out.append("<h2>Files</h2><table><tr><th>path</th><th>mime</th><th>size</th><th>warnings</th><th>errors</th></tr>")
-    yield from out
+    ranked = checkpointed(records.ranked_findings(counts))
+    lists = {kind: ranked.where(F.col("kind") == kind).orderBy("rank") for kind in ("mime", "warning", "error", "author", "producer", "model")}
+    yield "<!doctype html><html><head><meta charset='utf-8'><title>Scan report</title></head><body><h1>Scan report</h1><h2>Summary</h2>"
+    yield f"<ul><li>Files: <b>{total.n}</b></li><li>Total size: <b>{total['size']:,} bytes</b></li></ul><h3>Types</h3><ul>"
+    yield from (item(r.value, r.n) for r in lists["mime"].toLocalIterator())
+    gps = counts.where("kind = 'gps'").select("n").first()
+    distinct = {r.kind: r.n for r in counts.where(F.col("kind").isin(*records.FINDINGS)).groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    found = ([item("Files with GPS", gps.n)] if gps else []) + [item(f"Distinct {kind}s", distinct[kind]) for kind in records.FINDINGS if kind in distinct]
+    yield "".join(["</ul><h2>Findings</h2><ul>", *(found or ["<li>none</li>"]), "</ul>"])
+    for kind in records.FINDINGS:
+        if kind in distinct:
+            yield f"<h3>Top {kind}s</h3><ul>" + "".join(item(r.value, r.n) for r in lists[kind].collect()) + "</ul>"
+    for kind in ("warning", "error"):
+        yield f"<h2>{kind.capitalize()}s</h2><ul>"
+        yield from (item(r.value, r.n) for r in lists[kind].toLocalIterator())
+        yield "</ul>"
+    yield "<h2>Files</h2><table><tr><th>path</th><th>mime</th><th>size</th><th>warnings</th><th>errors</th></tr>"
     cells = scan.orderBy("row_no").select("path", "mime", "size_bytes", F.array_join("warnings", "|"), F.array_join("errors", "|"))
     for row in cells.toLocalIterator():
         yield "<tr>" + "".join(f"<td>{e('' if c is None else str(c))}</td>" for c in row) + "</tr>"

