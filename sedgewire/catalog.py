@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sedgewire.functions import columns as C
 from sedgewire.operators import hash_tree
 from sedgewire.operators import records as R
+from sedgewire.operators.normalize import normalize, normalize_json
 from sedgewire.plans import documents_as_scan, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -325,4 +326,56 @@ def normalize_identity(spark, d):
         F.when(~even, F.struct(F.concat(F.col("c_name"), F.lit(" ")).alias("creator"))).alias("docx"),
         F.struct(F.col("c_acctbal").alias("lat")).alias("gps_norm"),
     )
-    return R.normalize(raw).select("raw.c_custkey", "identity.author", "capture.software", "geo.precision_flag")
+    return normalize(raw).select("raw.c_custkey", "identity.author", "capture.software", "geo.precision_flag")
+
+
+# A raw record for each order, in words that both dialects read: every field of every section, in turn as it should be, blank, of another kind, null and absent.
+_KINDS = lambda good, k: f"""CASE (o_orderkey + {k}) % 7 WHEN 0 THEN '" A' || o_orderkey || ' "' WHEN 1 THEN '"  "' WHEN 2 THEN '' || o_orderkey WHEN 3 THEN 'null' WHEN 4 THEN '{{"a":1}}' WHEN 5 THEN 'true' ELSE {good} END"""
+_NUMBERS = lambda k: f"""CASE (o_orderkey + {k}) % 7 WHEN 0 THEN '-' || o_orderkey WHEN 1 THEN '"7"' WHEN 2 THEN '12.25' WHEN 3 THEN 'null' WHEN 4 THEN '1.5e3' WHEN 5 THEN 'false' ELSE '' || (o_orderkey + 1) END"""
+_FIELDS = {
+    "exif": {"Make": 0, "Model": 1, "Software": 2}, "exif_times": {"DateTimeOriginal": 3, "DateTimeDigitized": 4}, "pdf": {"Author": 5, "Creator": 6, "Producer": 6}, "pdf_times": {"CreationDate": 8, "ModDate": 9},
+    "docx": {"creator": 10, "lastModifiedBy": 11, "title": 12}, "docx_times": {"created": 13, "modified": 14}, "video": {"codec": 15, "container": 16, "container_created": 17},
+}
+_MEASURES = {"gps_norm": {"lat": 0, "lon": 1, "alt_m": 2, "dop": 3}, "video": {"duration_sec": 4, "width": 5, "height": 6}, "os_times": {"atime": 1, "mtime": 2, "ctime": 3}}
+
+
+def _raw_record() -> str:
+    sections = {}
+    for fields, made in ((_FIELDS, lambda k: _KINDS("'\"docx z\"'", k)), (_MEASURES, _NUMBERS)):
+        for section, own in fields.items():
+            sections.setdefault(section, []).extend(f"""'"{name}":' || {made(k)}""" for name, k in own.items())
+    parts = [f"""'"path":"p/' || o_orderkey || '","name":"' || o_orderstatus || '","size_bytes":' || o_custkey""", f"""'"hash_algo":' || {_KINDS("'\"sha256\"'", 3)} || ',"hash_hex":' || {_KINDS("'\"ab\"'", 4)}"""]
+    for k, (section, own) in enumerate(sections.items()):
+        whole = "'{' || " + " || ',' || ".join(own) + " || '}'"
+        parts.append(f"""'"{section}":' || CASE (o_orderkey // 7 + {k}) % 5 WHEN 0 THEN '"text"' WHEN 1 THEN 'null' ELSE {whole} END""")
+    return "CASE WHEN o_orderkey % 50 = 49 THEN 'no json' WHEN o_orderkey % 50 = 48 THEN '[1]' ELSE '{' || " + " || ',' || ".join(parts) + " || '}' END"
+
+
+def _plain_sections() -> str:
+    part = lambda s: f"json_type(j, '$.{s}') = 'OBJECT'"
+    text = lambda *p: f"CASE WHEN json_type(j, '$.{'.'.join(p)}') = 'VARCHAR' THEN nullif(json_extract_string(j, '$.{'.'.join(p)}'), '') END"
+    trimmed = lambda *p: f"nullif(trim({text(*p)}), '')"
+    number = lambda *p: f"CASE WHEN json_type(j, '$.{'.'.join(p)}') IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN json_extract_string(j, '$.{'.'.join(p)}')::DOUBLE END"
+    whole = lambda *p: f"CASE WHEN json_type(j, '$.{'.'.join(p)}') IN ('BIGINT', 'UBIGINT') AND json_extract_string(j, '$.{'.'.join(p)}')::BIGINT > 0 THEN json_extract_string(j, '$.{'.'.join(p)}')::BIGINT END"
+    times = lambda s, t, name: f"CASE WHEN {part(s)} THEN {text(t, name)} END"
+    creator, producer = trimmed("pdf", "Creator"), trimmed("pdf", "Producer")
+    soft = f"coalesce(CASE WHEN {creator} = {producer} THEN {creator} ELSE nullif(concat_ws('; ', {creator}, {producer}), '') END, {trimmed('exif', 'Software')})"
+    lat, lon, alt, dop = (number("gps_norm", k) for k in ("lat", "lon", "alt_m", "dop"))
+    columns = {
+        "path": "json_extract_string(j, '$.path')", "name": "json_extract_string(j, '$.name')", "ext": "json_extract_string(j, '$.ext')", "size_bytes": "json_extract_string(j, '$.size_bytes')::BIGINT",
+        "atime": number("os_times", "atime"), "mtime": number("os_times", "mtime"), "ctime": number("os_times", "ctime"), "hash_algo": f"CASE WHEN json_type(j, '$.hash_hex') = 'VARCHAR' THEN {text('hash_algo')} END", "hash_hex": f"CASE WHEN {text('hash_algo')} IS NOT NULL AND json_type(j, '$.hash_hex') = 'VARCHAR' THEN json_extract_string(j, '$.hash_hex') END",
+        "make": trimmed("exif", "Make"), "model": trimmed("exif", "Model"), "software": f"CASE WHEN {part('docx')} AND NOT contains(lower(coalesce({soft}, '')), 'docx') THEN 'docx' ELSE {soft} END", "datetime_original": times("exif", "exif_times", "DateTimeOriginal"), "digitized": times("exif", "exif_times", "DateTimeDigitized"),
+        "created": f"coalesce({times('pdf', 'pdf_times', 'CreationDate')}, {times('docx', 'docx_times', 'created')})", "modified": f"coalesce({times('pdf', 'pdf_times', 'ModDate')}, {times('docx', 'docx_times', 'modified')})",
+        "lat": lat, "lon": lon, "alt_m": alt, "gps_dop": dop, "precision_flag": f"CASE WHEN {dop} IS NOT NULL THEN 'dop' WHEN coalesce({lat}, {lon}, {alt}) IS NOT NULL THEN 'unknown' END",
+        "author": f"coalesce({trimmed('docx', 'creator')}, {trimmed('pdf', 'Author')})", "last_modified_by": trimmed("docx", "lastModifiedBy"), "title": trimmed("docx", "title"),
+        "duration_sec": number("video", "duration_sec"), "width": whole("video", "width"), "height": whole("video", "height"), "codec": trimmed("video", "codec"), "container": trimmed("video", "container"), "container_created": text("video", "container_created"),
+    }
+    return ", ".join(f"{c} AS {name}" for name, c in columns.items())
+
+
+@query(f"WITH r AS (SELECT o_orderkey, {_raw_record()} AS raw FROM orders), t AS (SELECT o_orderkey, raw, CASE WHEN json_valid(raw) THEN raw::JSON END AS j FROM r) SELECT o_orderkey, raw, {_plain_sections()} FROM t")
+def normalize_records(spark, d):
+    raw = table(spark, d, "orders").select("o_orderkey", F.expr(_raw_record().replace("o_orderkey // 7", "(o_orderkey div 7)")).alias("raw"))
+    sections = {"file": "path name ext size_bytes", "os_times": "atime mtime ctime", "capture": "make model software datetime_original", "meta_times": "digitized created modified", "geo": "lat lon alt_m gps_dop precision_flag", "identity": "author last_modified_by title", "media": "duration_sec width height codec container container_created"}
+    fields = [f"{s}.{f}" for s, names in sections.items() for f in names.split()]
+    return normalize_json(raw).select("o_orderkey", "raw", *fields, F.map_keys("hashes")[0].alias("hash_algo"), F.map_values("hashes")[0].alias("hash_hex"))

@@ -1,19 +1,22 @@
-"""Reports in HTML and case bundles: Spark computes the parts, the driver writes one file."""
+"""Reports in HTML and case bundles."""
 
 from __future__ import annotations
 
 import datetime
 import html
+import itertools
 import json
 import os
 import uuid
-import zipfile
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sedgewire.functions.columns import stripped
 from sedgewire.operators import records
+from sedgewire.operators.ordering import numbered
+from sedgewire.sources.deflate_runs import Member, inside, member_lines, pack_files, pack_lines, staging_folder, text_run, write_zip
 from sedgewire.sources.jsonl import record_json
 from sedgewire.sources.staging import checkpointed
 
@@ -69,43 +72,38 @@ def json_list(values: Iterable[str], indent: str = "") -> Iterator[str]:
     yield "[]" if first else (f"\n{indent}]" if indent else "]")
 
 
-def inside(base: str, rel: str) -> str | None:
-    """The path below base, or None if rel leaves it."""
-    full = os.path.realpath(os.path.join(base, rel))
-    return full if full.startswith(os.path.realpath(base) + os.sep) else None
+def _json_text(c):
+    return F.substr(F.to_json(F.array(c)), F.lit(2), F.char_length(F.to_json(F.array(c))) - 2)
 
 
 def export_bundle(scan: DataFrame, path: str, notes: str | None = "", redact: bool = False, files_base: str | None = None, case_id: str | None = None) -> str:
-    """A ZIP with manifest.json, scan.jsonl, hashes.txt, reports/report.json, a redacted scan if asked for, and files below files_base. Returns the case id."""
+    """A ZIP with manifest.json, scan.jsonl, hashes.txt, reports/report.json, a redacted scan if asked for, and files below files_base. Returns the case id.
+
+    Executors pack all members in runs (deflate_runs); the driver packs the manifest's few lines and the report, and copies the rest. The file appears when it is whole.
+    """
     os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
     case = case_id or uuid.uuid4().hex
     head = {"case_id": case, "created_at": datetime.datetime.now(datetime.UTC).replace(tzinfo=None).isoformat() + "Z", "notes": notes, "record_count": scan.count()}
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        with z.open("manifest.json", "w", force_zip64=True) as member:
-            member.write((json.dumps(head, ensure_ascii=False, indent=2).removesuffix("\n}") + ',\n  "hashes": ').encode())
-            for piece in json_list((r.h for r in records.hash_rows(scan).toLocalIterator()), "  "):
-                member.write(piece.encode())
-            member.write(f',\n  "redacted": {json.dumps(redact)}\n}}\n'.encode())
-        members = {"scan.jsonl": record_json(scan), "hashes.txt": records.hash_lines(scan)}
+    with staging_folder(scan.sparkSession) as folder:
+        hashes = numbered(scan.select("row_no", F.coalesce("sha256", F.lit("")).alias("h")), "row_no", "h", name="place")
+        listed = pack_lines(hashes.select(F.concat(F.when(F.col("place") == 0, "\n    ").otherwise(",\n    "), _json_text("h"))), "", folder).runs
+        opened = json.dumps(head, ensure_ascii=False, indent=2).removesuffix("\n}") + ',\n  "hashes": ['
+        manifest = Member("manifest.json", [text_run(opened), *listed, text_run("\n  " * bool(listed) + f'],\n  "redacted": {json.dumps(redact)}\n}}\n')])
+        texts = {"scan.jsonl": record_json(scan), "hashes.txt": records.hash_lines(scan)}
         if redact:
-            members["scan.redacted.jsonl"] = record_json(records.sanitize(scan))
-        for name, lines in members.items():
-            with z.open(name, "w", force_zip64=True) as member:
-                for row in lines.toLocalIterator():
-                    member.write((row[0] + "\n").encode())
-        z.writestr("reports/report.json", report_json(scan) + "\n")
-        if files_base:
-            for (rel,) in scan.where("path <> ''").select("path").toLocalIterator():
-                if (full := inside(files_base, rel)) and os.path.isfile(full):
-                    z.write(full, f"files/{rel}")
+            texts["scan.redacted.jsonl"] = record_json(records.sanitize(scan))
+        packed = [pack_lines(lines.select(F.concat(F.col(lines.columns[0]), F.lit("\n"))), name, folder) for name, lines in texts.items()]
+        report = Member("reports/report.json", [text_run(report_json(scan) + "\n")])
+        files = pack_files(scan.where("path <> ''"), files_base, folder) if files_base else ()
+        write_zip(path, itertools.chain([manifest, *packed, report], files))
     return case
 
 
 def bundle_hashes(spark, path: str) -> DataFrame:
-    """(sha256, path) of a bundle's hashes.txt."""
-    with zipfile.ZipFile(path) as z:
-        rows = [tuple(x.split("\t", 1)) for x in z.read("hashes.txt").decode().splitlines() if x.strip()]
-    return spark.createDataFrame([(r[0], r[1] if len(r) > 1 else "") for r in rows], "sha256 string, path string")
+    """(sha256, path) of a bundle's hashes.txt, read in parts where the bundle lists them; blank lines don't count, a line without a tab has an empty path."""
+    lines = member_lines(spark, path, "hashes.txt").where(stripped(F.col("value")) != "")
+    parts = F.split("value", "\t", 2)
+    return lines.select(parts[0].alias("sha256"), F.coalesce(F.get(parts, F.lit(1)), F.lit("")).alias("path"))
 
 
 def verify_bundle(spark, path: str, files_base: str | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sedgewire.functions.columns import cache_key, signed_degrees, stripped, without_keys
+from sedgewire.functions.columns import cache_key, signed_degrees, without_keys
 from sedgewire.operators import hash_tree
 from sedgewire.operators.ordering import numbered
 from sedgewire.schema import PRIVACY_KEYS, TIMELINE_KEYS
@@ -192,48 +192,6 @@ def cache_stats(cache: DataFrame) -> DataFrame:
     return cache.agg(F.count("*").alias("entries"), F.coalesce(F.sum(F.octet_length("result")), F.lit(0)).cast("long").alias("size"))
 
 
-def _text(c: Column) -> Column:
-    t = stripped(c)
-    return F.when(t != "", t)
-
-
-def normalize(raw: DataFrame) -> DataFrame:
-    """Raw records (columns as in FIXTURES: exif, exif_times, gps_norm, pdf, pdf_times, docx, docx_times, video; absent ones are null) as nine sections.
-
-    Of two sources of a field the later one wins (author: docx over pdf; software: docx over pdf over exif), but for created
-    and modified the earlier. A part that is null leaves its section's fields null.
-    """
-    have = {c.lower(): t for c, t in raw.dtypes}
-
-    def get(section: str, field: str, kind: str = "string") -> Column:
-        inside = have.get(section, "")
-        return F.col(section)[field].cast(kind) if f"{field.lower()}:" in inside.lower() else F.lit(None).cast(kind)
-
-    there = lambda section: F.col(section).isNotNull() if section in have else F.lit(False)
-    only = lambda cond, c: F.when(cond, c)
-    filled = lambda c: F.when(c != "", c)
-    software = F.array_join(F.array_distinct(F.filter(F.array(_text(get("pdf", "Creator")), _text(get("pdf", "Producer"))), lambda x: x.isNotNull())), "; ")
-    software = F.coalesce(F.when(there("pdf"), filled(software)), _text(get("exif", "Software")))
-    software = F.when(there("docx") & ~F.lower(F.coalesce(software, F.lit(""))).contains("docx"), "docx").otherwise(software)
-    lat, lon, alt, dop = (get("gps_norm", k, "double") for k in ("lat", "lon", "alt_m", "dop"))
-    flag = F.when(dop.isNotNull(), "dop").when(lat.isNotNull() | lon.isNotNull() | alt.isNotNull(), "unknown")
-    first = lambda a, b: F.coalesce(only(there("pdf"), filled(get("pdf_times", a))), only(there("docx"), filled(get("docx_times", b))))
-    positive = lambda k: F.when(get("video", k, "int") > 0, get("video", k, "int"))
-    col = lambda name: F.col(name) if name in have else F.lit(None)
-    algo = filled(col("hash_algo").cast("string"))
-    return raw.select(
-        F.struct(*[col(c).alias(c) for c in ("path", "name", "ext", "size_bytes")]).alias("file"),
-        col("os_times").alias("os_times"),
-        F.when(algo.isNotNull() & col("hash_hex").isNotNull(), F.create_map(F.coalesce(algo, F.lit("")), col("hash_hex").cast("string"))).alias("hashes"),
-        F.struct(_text(get("exif", "Make")).alias("make"), _text(get("exif", "Model")).alias("model"), software.alias("software"), only(there("exif"), filled(get("exif_times", "DateTimeOriginal"))).alias("datetime_original")).alias("capture"),
-        F.struct(only(there("exif"), filled(get("exif_times", "DateTimeDigitized"))).alias("digitized"), first("CreationDate", "created").alias("created"), first("ModDate", "modified").alias("modified")).alias("meta_times"),
-        F.struct(lat.alias("lat"), lon.alias("lon"), alt.alias("alt_m"), dop.alias("gps_dop"), flag.alias("precision_flag")).alias("geo"),
-        F.struct(F.coalesce(_text(get("docx", "creator")), _text(get("pdf", "Author"))).alias("author"), _text(get("docx", "lastModifiedBy")).alias("last_modified_by"), _text(get("docx", "title")).alias("title")).alias("identity"),
-        F.struct(get("video", "duration_sec", "double").alias("duration_sec"), positive("width").alias("width"), positive("height").alias("height"), _text(get("video", "codec")).alias("codec"), _text(get("video", "container")).alias("container"), filled(get("video", "container_created")).alias("container_created")).alias("media"),
-        F.struct(*[F.col(c) for c in raw.columns]).alias("raw"),
-    )
-
-
 def position(lat: Column, lat_ref: Column, lon: Column, lon_ref: Column) -> Column:
     """Both signed coordinates of two arrays of degrees, minutes and seconds; null unless both have three parts."""
     deg = lambda a: a[0] + a[1] / 60 + a[2] / 3600

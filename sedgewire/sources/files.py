@@ -36,6 +36,15 @@ def list_files(root: str) -> Iterator[str]:
             yield os.path.join(folder, name)
 
 
+def _entries(folder: str) -> list[os.DirEntry]:
+    """What a folder holds by name; one that can't be read, or is gone, holds nothing."""
+    try:
+        with os.scandir(folder) as found:
+            return sorted(found, key=lambda e: e.name)
+    except OSError:
+        return []
+
+
 def path_is_readable_file(path: str) -> tuple[bool, str | None]:
     """Whether a file can be read, and if not the first reason: missing, not_a_file, not_readable or error:<type>."""
     try:
@@ -60,8 +69,14 @@ def extracted(path: str, mime: str) -> tuple[dict, list[str], list[str]]:
         return {}, [], [f"extract_failed:{type(e).__name__}"]
 
 
-def sha256_file(path: str) -> str:
-    digest = hashlib.sha256()
+def content_digest(path: str, algorithm: str) -> str | None:
+    """Lower-case hex by sha256 or md5, read in chunks; None for none or blank. Another algorithm is an error."""
+    name = algorithm.strip().lower()
+    if name in ("", "none"):
+        return None
+    if name not in ("sha256", "md5"):
+        raise ValueError(f"unsupported hash algorithm: {algorithm}")
+    digest = hashlib.new(name)
     with open(path, "rb") as f:
         while chunk := f.read(_CHUNK):
             digest.update(chunk)
@@ -110,9 +125,8 @@ class FileTreeReader(DataSourceReader):
         while level and len(level) < self.least_folders:
             below = []
             for folder in level:
-                with os.scandir(folder) as entries:
-                    for e in sorted(entries, key=lambda e: e.name):
-                        (below if e.is_dir(follow_symlinks=False) else files).append(e.path)
+                for e in _entries(folder):
+                    (below if e.is_dir(follow_symlinks=False) else files).append(e.path)
             level = below
         files = [p for p in files if not os.path.isdir(p) and self.chosen(p)]
         parts = [FilePart(files[i : i + self.per_part]) for i in range(0, len(files), self.per_part)]
@@ -137,7 +151,7 @@ class FileTreeReader(DataSourceReader):
             return rel, mime, size, *times, "", "{}", [], [f"stat_failed:{type(e).__name__}"]
         if self.content != "false":
             try:
-                digest = sha256_file(path)
+                digest = content_digest(path, "sha256")
             except OSError as e:
                 errors.append(f"hash_failed:{type(e).__name__}")
         if self.content == "true":
@@ -158,3 +172,39 @@ class FileTree(DataSource):
 
     def reader(self, schema) -> FileTreeReader:
         return FileTreeReader(dict(self.options))
+
+
+class RawRecordReader(FileTreeReader):
+    def __init__(self, options: dict[str, str]) -> None:
+        super().__init__(options)
+        self.algorithm = options.get("hashalgo", options.get("hashAlgo", "none"))
+        if self.algorithm.strip().lower() not in ("", "none", "sha256", "md5"):
+            raise ValueError(f"unsupported hash algorithm: {self.algorithm}")
+
+    def record(self, path: str) -> tuple[str]:
+        """A file's raw record as JSON: path, name, ext, size and times, the hash if one is asked for, and errors."""
+        out: dict = {"path": path, "name": os.path.basename(path), "ext": Path(path).suffix.lower(), "errors": []}
+        try:
+            stage = "stat"
+            stat = os.stat(path)
+            out |= {"size_bytes": stat.st_size, "os_times": {"atime": stat.st_atime, "mtime": stat.st_mtime, "ctime": stat.st_ctime}}
+            stage = "hash"
+            if (digest := content_digest(path, self.algorithm)) is not None:
+                out |= {"hash_algo": self.algorithm, "hash_hex": digest}
+        except OSError as e:
+            out["errors"].append({"error_code": type(e).__name__, "stage": stage, "message_short": e.strerror or ""})
+        return (json.dumps(out, sort_keys=True, ensure_ascii=False, separators=(",", ":")),)
+
+
+class RawRecords(DataSource):
+    """Raw records of a tree's files, a JSON text each, for normalize_json. Options: root, hashAlgo (none, sha256 or md5), include, exclude, folders, filesPerPartition."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "raw_records"
+
+    def schema(self) -> str:
+        return "raw string"
+
+    def reader(self, schema) -> RawRecordReader:
+        return RawRecordReader(dict(self.options))

@@ -8,6 +8,7 @@ import pytest
 
 from sedgewire import catalog, cli
 from sedgewire.operators import case_bundle, records
+from sedgewire.operators.normalize import normalize
 from sedgewire.sources.cache import CacheTable
 from sedgewire.sources import extractors
 from sedgewire.sources.extractors import exif
@@ -199,7 +200,7 @@ def test_normalize_all_sections(spark):
       named_struct('lat', 1.5D, 'lon', 2.5D, 'alt_m', CAST(NULL AS DOUBLE), 'dop', 0.5D) AS gps_norm, named_struct('Author', 'pa', 'Creator', 'c', 'Producer', 'q') AS pdf,
       named_struct('CreationDate', 'k1', 'ModDate', '') AS pdf_times, named_struct('creator', 'da', 'lastModifiedBy', 'lm', 'title', 't') AS docx, named_struct('created', 'w1', 'modified', 'w2') AS docx_times,
       named_struct('duration_sec', 3.5D, 'width', 0, 'height', 9, 'codec', 'h', 'container', 'mp4', 'container_created', 'cc') AS video""")
-    r = records.normalize(raw).first()
+    r = normalize(raw).first()
     assert tuple(r.file) == ("p", "n", ".jpg", 5) and r.hashes == {"sha256": "ab"} and tuple(r.capture) == ("Canon", "X", "docx", "d1")
     assert tuple(r.meta_times) == ("d2", "k1", "w2") and tuple(r.geo) == (1.5, 2.5, None, 0.5, "dop") and tuple(r.identity) == ("da", "lm", "t")
     assert tuple(r.media) == (3.5, None, 9, "h", "mp4", "cc") and r.raw.path == "p"
