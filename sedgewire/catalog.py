@@ -261,11 +261,11 @@ def mtime_cache_key(spark, d):
     return table(spark, d, "events").select("event_id", C.cache_key("mtime", F.lit(""), seconds, F.length("props")).alias("key"))
 
 
-@query("SELECT e.event_id, c.row_no IS NOT NULL AS cache_hit, c.result AS cached FROM events e LEFT JOIN (SELECT user_id, min(event_id) AS row_no, arg_min(event_type, event_id) AS result FROM events WHERE user_id % 3 = 0 GROUP BY 1) c ON e.user_id = c.user_id")
+@query("SELECT e.event_id, c.o_custkey IS NOT NULL AS cache_hit, c.result AS cached FROM events e LEFT JOIN (SELECT o_custkey, arg_min(nullif(o_orderstatus, 'P'), o_orderkey) FILTER (o_orderkey = first) AS result FROM (SELECT *, min(o_orderkey) OVER (PARTITION BY o_custkey) AS first FROM orders) GROUP BY 1) c ON e.user_id = c.o_custkey")
 def cache_lookup(spark, d):
-    events = table(spark, d, "events")
-    files = events.select("event_id", F.col("user_id").cast("string").alias("sha256"), F.lit(0).alias("mtime"), F.lit(0).alias("size_bytes"))
-    cache = events.where(F.col("user_id") % 3 == 0).select(F.concat(F.lit("sha256:"), F.col("user_id").cast("string")).alias("key"), F.col("event_type").alias("result"), F.col("event_id").alias("row_no"))
+    """All events against a cache of all orders by customer; some stored results are null."""
+    files = table(spark, d, "events").select("event_id", F.col("user_id").cast("string").alias("sha256"), F.lit(0).alias("mtime"), F.lit(0).alias("size_bytes"))
+    cache = table(spark, d, "orders").select(F.concat(F.lit("sha256:"), F.col("o_custkey").cast("string")).alias("key"), F.nullif("o_orderstatus", F.lit("P")).alias("result"), F.col("o_orderkey").alias("row_no"))
     return R.with_cache(files, cache).select("event_id", "cache_hit", "cached")
 
 

@@ -34,9 +34,12 @@ def _show(lines) -> None:
 
 def scan(a) -> int:
     spark = session()
-    found = CacheTable(spark, a.cache_dir).scan(a.path) if a.cache == "on" else spark.read.format("file_tree").option("root", a.path).load()
-    lines = record_json(found)
-    write_single_file(lines, a.out) if a.out else _show(lines)
+    with CacheTable(spark, a.cache_dir) as cache:
+        found = cache.scan(a.path) if a.cache == "on" else spark.read.format("file_tree").option("root", a.path).load()
+        lines = record_json(found)
+        write_single_file(lines, a.out) if a.out else _show(lines)
+        if a.cache == "on":
+            cache.compact()
     return 0
 
 

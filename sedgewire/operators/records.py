@@ -182,10 +182,10 @@ def hash_lines(scan: DataFrame) -> DataFrame:
 
 
 def with_cache(files: DataFrame, cache: DataFrame, mode: str = "sha256") -> DataFrame:
-    """files (path, sha256, mtime, size_bytes) with their key, and cache_hit and cached: the first cached result of that key by row_no. Only content-derived results may be kept so."""
+    """files (path, sha256, mtime, size_bytes) with their key, and cache_hit and cached: the first stored result of that key by row_no; a stored null is a hit. Only content-derived results may be kept so."""
     keyed = files.withColumn("key", cache_key(mode, F.col("sha256"), F.col("mtime"), F.col("size_bytes")))
-    first = first_wins(cache.select("key", "result", "row_no"), "key", "row_no").select("key", F.col("result").alias("cached"))
-    return keyed.join(first, "key", "left").withColumn("cache_hit", F.col("cached").isNotNull())
+    first = first_wins(cache.select("key", "result", "row_no"), "key", "row_no").select("key", F.col("result").alias("cached"), F.lit(True).alias("cache_hit"))
+    return keyed.join(first, "key", "left").withColumn("cache_hit", F.coalesce("cache_hit", F.lit(False)))
 
 
 def cache_stats(cache: DataFrame) -> DataFrame:

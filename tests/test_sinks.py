@@ -127,3 +127,33 @@ def test_bundle_with_files(spark, tmp_path):
     with zipfile.ZipFile(out) as z:
         assert json.loads(z.read("manifest.json"))["hashes"] == [] and z.read("hashes.txt") == b""
     assert case_bundle.bundle_hashes(spark, out).count() == 0
+
+
+def test_keyed_cache_prunes_merges_and_cleans_up(spark, tmp_path):
+    from sedgewire.sources.cache import CacheTable
+
+    cache = CacheTable(spark, str(tmp_path / "c"))
+    assert cache.compact() == 0 and cache.probe(spark.createDataFrame([("x",)], "key string")).count() == 0
+    made = lambda k: spark.range(20_000).select(F.concat(F.lit("sha256:"), F.sha2(F.col("id").cast("string"), 256)).alias("key"), F.lit(f"v{k}").alias("metadata"), F.array(F.lit("w")).alias("warnings"), F.lit("r").alias("run"), F.lit(k).cast("long").alias("row_no"))
+    cache.add(made(2))
+    cache.add(made(1).limit(10_000))
+    cache.add(spark.createDataFrame([("mtime:1:2", None, None, "r", 0)], "key string, metadata string, warnings array<string>, run string, row_no long"))
+    keys = made(0).select("key").orderBy("key").limit(200)  # a hundredth, by key
+    found = cache.probe(keys).collect()
+    assert len(found) == 200 and {r.metadata for r in found} == {"v1", "v2"}
+    ranges = [r.prefix for r in keys.selectExpr("substring(key, 8, 2) AS prefix").distinct().collect()]
+    all_files = len(list((tmp_path / "c" / "entries").rglob("*.parquet")))
+    read = cache.entries(ranges).inputFiles()
+    assert all_files > 250 and 0 < len([f for f in read if any(f"prefix={p}/" in f for p in ranges)]) < all_files / 10
+    plan = cache.probe(keys)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(prefix" in plan or "prefix" in plan.split("PartitionFilters: [", 1)[1].split("]")[0]
+    assert cache.probe(spark.createDataFrame([("mtime:1:2",)], "key string")).first().metadata is None
+    before = {r.key: r.metadata for r in cache.probe(made(0)).collect()}
+    assert cache.compact(files=1) > 200 and cache.stats()[0] == 20_001
+    assert {r.key: r.metadata for r in cache.probe(made(0)).collect()} == before and cache.compact(files=1) == 0
+    (tmp_path / "root").mkdir()
+    (tmp_path / "root" / "a.txt").write_text("a")
+    spark.dataSource.register(FileTree)
+    with cache:
+        assert cache.scan(str(tmp_path / "root")).count() == 1
+    assert list((tmp_path / "c" / "runs").iterdir()) == []
