@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedgewire.functions import columns as C
+from sedgewire.functions.patterns import excluded_by
 from sedgewire.operators import hash_tree
 from sedgewire.operators import records as R
 from sedgewire.operators.normalize import normalize, normalize_json
@@ -230,6 +231,16 @@ def exclude_filter(spark, d):
     return table(spark, d, "pages").where(~C.excluded(F.col("url"), ["UTM_", "/fr/", "https://m.*"])).select("page_id")
 
 
+_PATTERNS = """CASE p_partkey % 6 WHEN 0 THEN '/' || p_partkey || '#' WHEN 1 THEN ' */' || p_partkey WHEN 2 THEN 'HTTP*://*/' || p_partkey || '[?#]*' WHEN 3 THEN 'en/' || p_partkey || '?PAGE=*' WHEN 4 THEN '*[!0-9]' || p_partkey || '?*[x-z]' ELSE '  ' END"""
+
+
+@query(f"""WITH p AS (SELECT DISTINCT regexp_replace(lower(trim({_PATTERNS})), '^[.]/', '') AS p FROM part), t AS (SELECT p, regexp_matches(p, '[*?[]') AS wild FROM p WHERE p <> '')
+SELECT page_id, EXISTS (SELECT 1 FROM t WHERE CASE WHEN wild THEN lower(url) GLOB p OR (starts_with(p, '*/') AND lower(url) GLOB p[3:]) ELSE contains(lower(url), p) END) AS excluded FROM pages""")
+def excluded_by_table(spark, d):
+    patterns = table(spark, d, "part").select(F.expr(_PATTERNS).alias("p"))
+    return excluded_by(table(spark, d, "pages").select("page_id", "url"), "url", patterns).select("page_id", "excluded")
+
+
 @query("SELECT page_id, regexp_replace(lower(replace(trim('  .\\' || url || ' '), '\\', '/')), '^\\./', '') AS pattern, regexp_matches(url, '[*?\\[]') AS is_glob FROM pages")
 def normalize_pattern(spark, d):
     raw = F.concat(F.lit("  .\\"), F.col("url"), F.lit(" "))

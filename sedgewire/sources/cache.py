@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedgewire.operators.records import first_wins
+from sedgewire.sources.extractors import parse_readers
 from sedgewire.sources.files import extracted
 from sedgewire.sources.staging import remove_folder
 
@@ -20,9 +21,9 @@ _ENTRY = "key string, metadata string, warnings array<string>, run string, row_n
 _DIGITS = 2
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _extract(batches: Iterator[pa.RecordBatch], readers: dict[str, str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [extracted(p, m) for p, m in zip(batch.column("full").to_pylist(), batch.column("mime").to_pylist(), strict=True)]
+        found = [extracted(p, m, readers) for p, m in zip(batch.column("full").to_pylist(), batch.column("mime").to_pylist(), strict=True)]
         text = pa.array([json.dumps(f[0], sort_keys=True, ensure_ascii=False) for f in found], pa.string())
         yield pa.RecordBatch.from_arrays([batch.column("key"), text, pa.array([f[1] for f in found], pa.list_(pa.string())), pa.array([f[2] for f in found], pa.list_(pa.string()))], names=["key", "metadata", "warnings", "errors"])
 
@@ -112,7 +113,8 @@ class CacheTable:
         known = self.spark.read.parquet(f"{where}/known")
         full = F.when(F.lit(root).endswith(F.concat(F.lit("/"), F.col("first_path"))), F.lit(root)).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), F.col("first_path")))
         todo = first.join(known.select("key"), "key", "left_anti").select("key", full.alias("full"), F.coalesce("mime", F.lit("")).alias("mime"))
-        todo.mapInArrow(_extract, "key string, metadata string, warnings array<string>, errors array<string>").write.parquet(f"{where}/extracted")
+        readers = parse_readers(options.get("readers", ""))
+        todo.mapInArrow(lambda it: _extract(it, readers), "key string, metadata string, warnings array<string>, errors array<string>").write.parquet(f"{where}/extracted")
         fresh = self.spark.read.parquet(f"{where}/extracted")
         good = fresh.where(F.size("errors") == 0).select("key", "metadata", "warnings", F.lit(run).alias("run"), F.unix_micros(F.current_timestamp()).alias("row_no"))
         if not good.isEmpty():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 import json
 import shutil
 import struct
@@ -17,19 +18,31 @@ from sedgewire.sources.pdf import metadata
 Found = tuple[dict, list[str]]
 
 
-#: Readers of one's own by lower-case suffix, asked before the others: registered(".ext", function of a path).
-_OWN: dict[str, Callable[[str], Found]] = {}
+def resolved(name: str) -> Callable[[str], Found]:
+    """The function that module:function names, imported where this is called."""
+    module, _, function = name.partition(":")
+    if not module or not function:
+        raise ValueError(f"a reader is named module:function, not {name!r}")
+    return getattr(importlib.import_module(module), function)
 
 
-def registered(suffix: str, reader: Callable[[str], Found]) -> None:
-    """Adds a reader where it is called; call it in a module that executors import too."""
-    _OWN[suffix.lower()] = reader
+def parse_readers(text: str) -> dict[str, str]:
+    """Readers of one's own as an option spells them: .suffix=module:function or type/subtype=module:function, by commas."""
+    out = {}
+    for part in filter(None, (x.strip() for x in text.split(","))):
+        key, _, name = part.partition("=")
+        if ":" not in name:
+            raise ValueError(f"a reader is given as .suffix=module:function, not {part!r}")
+        out[key.strip().lower()] = name.strip()
+    return out
 
 
-def extract(path: str, mime: str) -> Found:
+def extract(path: str, mime: str, readers: dict[str, str] | None = None) -> Found:
+    """Metadata and warnings of a file by the reader for its suffix or type: one's own first, then those here; nothing if there is none."""
     kind = Path(path).suffix.lower()
-    if kind in _OWN:
-        return _OWN[kind](path)
+    for key in (kind, mime, mime.partition("/")[0] + "/*"):
+        if key and key in (readers or {}):
+            return resolved(readers[key])(path)
     if mime.startswith("image/"):
         return image(path)
     if mime == "application/pdf":

@@ -21,7 +21,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from sedgewire.schema import MIME_BY_SUFFIX, OTHER_MIME
-from sedgewire.sources.extractors import extract
+from sedgewire.sources.extractors import extract, parse_readers, resolved
 
 _CHUNK = 1 << 20
 
@@ -61,10 +61,10 @@ def readable(paths: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([path_is_readable_file(p) if p is not None else (False, "missing") for p in paths], columns=["ok", "reason"])
 
 
-def extracted(path: str, mime: str) -> tuple[dict, list[str], list[str]]:
-    """Metadata, warnings and errors of a file: any bad file gives an error code."""
+def extracted(path: str, mime: str, readers: dict[str, str] | None = None) -> tuple[dict, list[str], list[str]]:
+    """Metadata, warnings and errors of a file: any bad file gives an error code. readers: those of one's own (extractors.parse_readers)."""
     try:
-        return *extract(path, mime), []
+        return *extract(path, mime, readers), []
     except Exception as e:  # whatever a reader meets in a broken file
         return {}, [], [f"extract_failed:{type(e).__name__}"]
 
@@ -107,6 +107,9 @@ class FileTreeReader(DataSourceReader):
         self.content = options.get("content", "true").lower()
         self.per_part = max(1, int(options.get("filesPerPartition", "256")))
         self.least_folders = max(1, int(options.get("folders", "64")))
+        self.readers = parse_readers(options.get("readers", ""))  # names travel to the executors, which import them there
+        for name in self.readers.values():
+            resolved(name)
         split = lambda k: [x.strip().lower() for x in options.get(k, "").split(",") if x.strip()]
         self.include = {x if x.startswith(".") else f".{x}" for x in split("include")}
         self.exclude = [x.replace("\\", "/").removeprefix("./") for x in split("exclude")]
@@ -155,13 +158,14 @@ class FileTreeReader(DataSourceReader):
             except OSError as e:
                 errors.append(f"hash_failed:{type(e).__name__}")
         if self.content == "true":
-            found, warnings, failed = extracted(path, mime)
+            found, warnings, failed = extracted(path, mime, self.readers)
             metadata, errors = found | metadata, errors + failed
         return rel, mime, size, *times, digest, json.dumps(metadata, sort_keys=True, ensure_ascii=False, separators=(",", ":")), warnings, errors
 
 
 class FileTree(DataSource):
-    """Options: root; content (true; hash: no metadata but mtime; false: stat only, files are not opened); folders (so many are handed out at least); include (extensions); exclude (patterns); filesPerPartition."""
+    """Options: root; content (true; hash: no metadata but mtime; false: stat only, files are not opened); folders (so many are handed out at least); include (extensions); exclude (patterns); filesPerPartition;
+    readers (.suffix=module:function, type/subtype=module:function or type/*=module:function, by commas: functions of a path that give metadata and warnings, in modules that executors can import)."""
 
     @classmethod
     def name(cls) -> str:

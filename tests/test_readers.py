@@ -168,3 +168,30 @@ def test_records_have_the_keys_of_committed_samples(spark, tmp_path):
     assert {k: v for k, v in told["sample_noexif.jpg"].items() if k != "mtime"} == {"format": "JPEG", "height": 64, "mode": "RGB", "width": 64}
     assert {k: v for k, v in told["sample.pdf"].items() if k != "mtime"} == {"pages": 1, "pdf_author": "A", "pdf_creator": "C", "pdf_producer": "P", "pdf_subject": "unspecified", "pdf_title": "T"}
     assert rows["locked.pdf"].errors == ["extract_failed:EncryptedPdf"] and all(not r.errors and not r.warnings for p, r in rows.items() if p != "locked.pdf")
+
+
+def test_readers_of_ones_own_reach_fresh_workers(spark, tmp_path, monkeypatch):
+    """The option names a module; workers that start later import it there."""
+    from sedgewire.sources.cache import CacheTable
+
+    (tmp_path / "code").mkdir()
+    (tmp_path / "code" / "own_readers.py").write_text("import os\ndef size(path):\n    return {'own': os.path.getsize(path), 'worker': os.getpid()}, ['told']\ndef fails(path):\n    raise KeyError(path)\n")
+    root = tmp_path / "root"
+    root.mkdir()
+    for name in ("a.xyz", "b.BAD", "c.txt", "d.jpg"):
+        (root / name).write_bytes(b"1234")
+    monkeypatch.syspath_prepend(str(tmp_path / "code"))
+    spark.sparkContext.addPyFile(str(tmp_path / "code" / "own_readers.py"))
+    spark.dataSource.register(FileTree)
+    options = {"root": str(root), "readers": ".xyz=own_readers:size, .bad=own_readers:fails, image/*=own_readers:size"}
+    import os
+
+    rows = {r.path: r for r in spark.read.format("file_tree").options(**options).load().collect()}
+    told = json.loads(rows["a.xyz"].metadata)
+    assert told["own"] == 4 and told["worker"] != os.getpid() and rows["a.xyz"].warnings == ["told"] and json.loads(rows["d.jpg"].metadata)["own"] == 4
+    assert rows["b.BAD"].errors == ["extract_failed:KeyError"] and "own" not in json.loads(rows["c.txt"].metadata)
+    with CacheTable(spark, str(tmp_path / "cache")) as cache:
+        assert json.loads({r.path: r for r in cache.scan(**options).collect()}["a.xyz"].metadata)["own"] == 4
+    for bad in (".xyz=nothing", ".xyz=own_readers:none", ".xyz=no_such_module:f"):
+        with pytest.raises(Exception):  # noqa: B017 whatever Spark wraps it in
+            spark.read.format("file_tree").options(root=str(root), readers=bad).load().collect()
