@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedgewire.llm.common import in_batches, without_columns
+from sedgewire.llm.common import in_batches, map_arrow, with_fields, without_columns
 
 _MASK = (1 << 64) - 1
 #: About what a kept pre-token takes beside its characters and ids: two objects and its place in a dictionary.
@@ -204,10 +204,6 @@ def _transcode_batch(batch: pa.RecordBatch, shared, pattern: str) -> pa.RecordBa
     return both.drop_columns(["text"]).append_column("exact", exact)
 
 
-def _with(frame: DataFrame, added: str) -> str:
-    return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema] + [added])
-
-
 def _shared(frame: DataFrame, path: str):
     """The rank file, read on the driver and broadcast: its size is the vocabulary's, not the data's."""
     return frame.sparkSession.sparkContext.broadcast(_vocabulary(path))
@@ -216,13 +212,13 @@ def _shared(frame: DataFrame, path: str):
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """docs with ids, the token ids of the whole text. A null or empty text has none. A column of docs named ids is replaced; repeated rows give repeated results."""
     docs, shared = without_columns(docs, "ids"), _shared(docs, path)
-    return docs.mapInArrow(lambda it: in_batches(lambda b: _encode_batch(b, shared, pattern), it), _with(docs, "ids array<int>"))
+    return map_arrow(docs, lambda it: in_batches(lambda b: _encode_batch(b, shared, pattern), it), with_fields(docs.schema, "ids array<int>"))
 
 
 def decode(frame: DataFrame, path: str) -> DataFrame:
     """A frame with ids, plus decoded: the bytes they stand for (null ids, null in ids and numbers outside the vocabulary: none). A column named decoded is replaced."""
     frame, shared = without_columns(frame, "decoded"), _shared(frame, path)
-    return frame.mapInArrow(lambda it: in_batches(lambda b: _decode_batch(b, shared), it), _with(frame, "decoded binary"))
+    return map_arrow(frame, lambda it: in_batches(lambda b: _decode_batch(b, shared), it), with_fields(frame.schema, "decoded binary"))
 
 
 def transcode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -231,8 +227,8 @@ def transcode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     A null text is empty and decodes to no bytes. Columns of the added names are replaced; an empty table gives an empty result.
     """
     docs, shared = without_columns(docs, "ids", "decoded", "exact"), _shared(docs, path)
-    ddl = _with(docs.drop("text"), "ids array<int>, decoded binary, exact boolean")
-    return docs.mapInArrow(lambda it: in_batches(lambda b: _transcode_batch(b, shared, pattern), it), ddl)
+    ddl = with_fields([f for f in docs.schema if f.name != "text"], "ids array<int>, decoded binary, exact boolean")
+    return map_arrow(docs, lambda it: in_batches(lambda b: _transcode_batch(b, shared, pattern), it), ddl)
 
 
 def token_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words are runs of anything but ASCII white space, in every operator here.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -68,6 +69,20 @@ def without_columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in low])
 
 
+def with_fields(fields: Iterable[T.StructField], added: str) -> T.StructType:
+    """The schema of these fields and then of those that a DDL text adds; fields may have any names and types."""
+    return T.StructType([*fields, *T.StructType.fromDDL(added)])
+
+
+def map_arrow(df: DataFrame, function, schema: T.StructType) -> DataFrame:
+    """mapInArrow of a frame whose columns may have any names: Spark's own can't resolve those with a dot. The function sees such columns under other names."""
+    other = {c: f"__column_{i}" for i, c in enumerate(df.columns) if "." in c}
+    if not other:
+        return df.mapInArrow(function, schema)
+    inner = T.StructType([T.StructField(other.get(f.name, f.name), f.dataType, f.nullable) for f in schema])
+    return df.toDF(*[other.get(c, c) for c in df.columns]).mapInArrow(function, inner).toDF(*schema.names)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finalizer of splitmix64: a bijection of 64-bit words that spreads every bit."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)

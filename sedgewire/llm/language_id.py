@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sedgewire.llm.common import arrow_bytes, broadcast_if_small, checkpointed, in_batches, lower_ascii, without_columns
+from sedgewire.llm.common import arrow_bytes, broadcast_if_small, checkpointed, in_batches, lower_ascii, map_arrow, with_fields, without_columns
 
 DIMENSIONS = 4096
 _LETTER = regex.compile(r"\p{L}")
@@ -170,5 +170,5 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
         batch = batch.append_column("lang_score", pa.array(np.where(letters, score, 0.0).astype(np.float64)))
         return batch.append_column("lang_ambiguous", pa.array(doubt | ~letters))
 
-    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["lang_pred string, lang_score double, lang_ambiguous boolean"])
-    return docs.mapInArrow(lambda it: in_batches(run, it), ddl)
+    ddl = with_fields(docs.schema, "lang_pred string, lang_score double, lang_ambiguous boolean")
+    return map_arrow(docs, lambda it: in_batches(run, it), ddl)

@@ -105,14 +105,14 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5,
     plan = broadcast_if_small(checkpointed(thresholds(slim, source_targets(slim, weights, share, most)).withColumnRenamed("source", "__source")))
     joined = sized.join(plan, sized.source.eqNullSafe(plan["__source"]))
     copies = F.col("passes") + F.when(F.col("h") < F.col("threshold"), 1).otherwise(0)
-    return joined.select(*[sized[c] for c in docs.columns], "size", "source_size", "target", copies.cast("int").alias("copies"))
+    return joined.select(*[sized[f"`{c}`"] for c in docs.columns], "size", "source_size", "target", copies.cast("int").alias("copies"))
 
 
 def take_mix(docs: DataFrame, **options) -> DataFrame:
     """The mix itself, columns as in docs: each document as often as the mix takes it."""
     mixed = mix(docs, **options)
     repeated = mixed.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return repeated.select(*docs.columns)
+    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE = r"""

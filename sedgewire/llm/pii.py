@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sedgewire.llm.boosting import BoostedTrees
-from sedgewire.llm.common import in_batches, without_columns
+from sedgewire.llm.common import in_batches, map_arrow, without_columns
 from sedgewire.llm.pii_samples import luhn_digit, sample_texts
 
 KINDS = ("email", "ip", "card", "phone")
@@ -318,7 +318,7 @@ def find(docs: DataFrame, redact: bool = False) -> DataFrame:
     docs = without_columns(docs, "spans")
     shared = docs.sparkSession.sparkContext.broadcast(fitted())
     shape = T.StructType([*docs.schema.fields, T.StructField("spans", _SPANS)])
-    return docs.mapInArrow(lambda it: in_batches(lambda b: _find_batch(b, shared.value, redact), it), shape)
+    return map_arrow(docs, lambda it: in_batches(lambda b: _find_batch(b, shared.value, redact), it), shape)
 
 
 def _listed(spans: Column) -> Column:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedgewire.llm.common import arrow_bytes, checkpointed, in_batches, without_columns, written
+from sedgewire.llm.common import arrow_bytes, checkpointed, in_batches, with_fields, without_columns, written
 from sedgewire.llm.repeat_anchors import PIECE, anchors, halves
 from sedgewire.llm.run_length_index import build
 
@@ -156,7 +156,7 @@ def _text_hashes(text) -> tuple:
 def repeated_marks(docs: DataFrame, window: int = 200, group: int = 2_000, share: int = 2_500) -> DataFrame:
     """(text_key, text_check, start, n, by): n repeated window starts from start on; by: copy (whole text), segment (counted by aggregation) or index.
 
-    Texts go by two xxhash64 of the text (null as empty), segments by hashes of anchor and segment, 128 bits each.
+    Texts go by two xxhash64 of the text (null as empty), 128 bits; a segment by its 64-bit hash among those of its 64-bit anchor.
     """
     text = F.coalesce("text", F.lit(""))
     texts = docs.select(text.alias("text"), *_text_hashes(text), F.octet_length(text).alias("n_bytes")).where(F.col("n_bytes") >= window)
@@ -231,6 +231,6 @@ def remove_repeats(docs: DataFrame, window: int = 200, **options) -> DataFrame:
     joined = keyed.join(ranges, (F.col("k.text_key") == F.col("r.text_key")) & (F.col("k.text_check") == F.col("r.text_check")), "left")
     inner = [f"c{i}" for i in range(len(docs.columns))]
     flat = joined.select(*[F.col("k.row")[c].alias("text" if c == "text" else n) for c, n in zip(docs.columns, inner, strict=True)], "ranges")
-    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in flat.schema if f.name != "ranges"] + [_ADDED])
+    ddl = with_fields([f for f in flat.schema if f.name != "ranges"], _ADDED)
     cut = flat.mapInArrow(lambda it: in_batches(lambda b: _cut(b, window), it), ddl)
     return cut.select(*[F.col("text" if c == "text" else n).alias(c) for c, n in zip(docs.columns, inner, strict=True)], *names)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedgewire.llm.common import arrow_bytes, checkpointed, hash_spans, in_batches, lower_ascii, without_columns
+from sedgewire.llm.common import arrow_bytes, checkpointed, hash_spans, in_batches, lower_ascii, map_arrow, with_fields, without_columns
 
 WORDS, STRIDE = 24, 12
 #: Longer words are read as several of so many bytes.
@@ -542,5 +542,5 @@ def score(docs: DataFrame, net: Network | None, column: str = "toxicity") -> Dat
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         return batch.append_column(column, pa.array(score_texts(shared.value, *arrow_bytes(batch.column("text"))).astype(np.float64)))
 
-    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"{column} double"])
-    return docs.mapInArrow(lambda it: in_batches(run, it), ddl)
+    ddl = with_fields(docs.schema, f"`{column}` double")
+    return map_arrow(docs, lambda it: in_batches(run, it), ddl)

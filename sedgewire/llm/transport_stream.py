@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedgewire.llm.common import in_batches
+from sedgewire.llm.common import in_batches, map_arrow, with_fields
 
 PACKET, SYNC = 188, 0x47
 MAP_PID, STREAM_PID, PROGRAM, PRIVATE_DATA = 0x1000, 0x0100, 1, 0x06
@@ -233,9 +233,9 @@ def _read(batch: pa.RecordBatch, column: str) -> pa.RecordBatch:
 def read_streams(frame: DataFrame, column: str = "media") -> DataFrame:
     """A frame with a binary column of streams (null: empty), plus what reading them finds; columns of the added names are replaced."""
     added = {x.split()[0] for x in _READ.split(", ")}
-    frame = frame.select(*[c for c in frame.columns if c.lower() not in added])
-    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema] + [_READ])
-    return frame.mapInArrow(lambda it: in_batches(lambda b: _read(b, column), it, 256), ddl)
+    frame = frame.select(*[F.col(f"`{c}`") for c in frame.columns if c.lower() not in added])
+    ddl = with_fields(frame.schema, _READ)
+    return map_arrow(frame, lambda it: in_batches(lambda b: _read(b, column), it, 256), ddl)
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
