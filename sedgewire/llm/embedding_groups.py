@@ -9,6 +9,8 @@ each pair meets once: in the lower of its two cells. Cells join on their own; la
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,12 +27,18 @@ def _units(vectors: pd.Series) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _distances(own: pd.DataFrame, pivots: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Pivots' vectors in order of their cells, squared distances to them, the nearest one and its distance."""
-    p = _units(pivots["embedding"])
-    d2 = np.maximum(2 - 2 * (_units(own["embedding"]) @ p.T), 0)
-    home = d2.argmin(axis=1)
-    return p, d2, home, np.sqrt(d2[np.arange(len(own)), home])
+#: Distances from vectors to pivots that a task holds at once; and those that a part of a label has in all, so that its boundary copies are bounded too.
+_AT_ONCE, _IN_PART = 1 << 20, 16_000_000
+
+
+def _distances(own: pd.DataFrame, p: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+    """For some vectors at a time: which, squared distances to the pivots p, the nearest one and its distance."""
+    step = max(1, _AT_ONCE // len(p))
+    for at in range(0, len(own), step):
+        rows = slice(at, min(at + step, len(own)))
+        d2 = np.maximum(2 - 2 * (_units(own["embedding"].iloc[rows]) @ p.T), 0)
+        home = d2.argmin(axis=1)
+        yield rows, d2, home, np.sqrt(d2[np.arange(len(home)), home])
 
 
 def _radii(key: tuple, own: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
@@ -38,9 +46,9 @@ def _radii(key: tuple, own: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
     if not len(own):
         return pd.DataFrame({"label": [], "dim": [], "cell": [], "radius": []})
     pivots = pivots.sort_values("cell")
-    _, _, home, near = _distances(own, pivots)
     radius = np.full(len(pivots), -1.0)
-    np.maximum.at(radius, home, near)
+    for _, _, home, near in _distances(own, _units(pivots["embedding"])):
+        np.maximum.at(radius, home, near)
     used = np.flatnonzero(radius >= 0)
     return pd.DataFrame({"label": key[0], "dim": key[1], "cell": pivots["cell"].to_numpy()[used], "radius": radius[used]})
 
@@ -51,16 +59,20 @@ def _place(key: tuple, own: pd.DataFrame, pivots: pd.DataFrame, eps: float) -> p
     if not len(own):
         return pd.DataFrame({n: [] for n in names})
     pivots = pivots.sort_values("cell")
-    p, d2, home, near = _distances(own, pivots)
-    radius = pivots["radius"].to_numpy()
-    between = np.sqrt(np.maximum(2 - 2 * (p @ p.T), 0))[home]
-    d = np.sqrt(d2)
-    reach = (d <= near[:, None] + 2 * eps + 1e-9) & (d <= radius[None, :] + eps + 1e-9)
-    reach &= d2 - near[:, None] ** 2 <= 2 * eps * between + 1e-9  # distance to the bisector
-    reach &= np.arange(len(p))[None, :] < home[:, None]
-    at, cell = np.nonzero(reach)
-    index = np.concatenate([np.arange(len(own)), at])
-    number = pivots["cell"].to_numpy()[np.concatenate([home, cell])]
+    p, radius = _units(pivots["embedding"]), pivots["radius"].to_numpy()
+    homes, ats, cells = [], [], []
+    for rows, d2, home, near in _distances(own, p):
+        between = np.sqrt(np.maximum(2 - 2 * (p[home] @ p.T), 0))
+        d = np.sqrt(d2)
+        reach = (d <= near[:, None] + 2 * eps + 1e-9) & (d <= radius[None, :] + eps + 1e-9)
+        reach &= d2 - near[:, None] ** 2 <= 2 * eps * between + 1e-9  # distance to the bisector
+        reach &= np.arange(len(p))[None, :] < home[:, None]
+        at, cell = np.nonzero(reach)
+        homes.append(home)
+        ats.append((at + rows.start).astype(np.int32))
+        cells.append(cell.astype(np.int32))
+    index = np.concatenate([np.arange(len(own), dtype=np.int32), *ats])
+    number = pivots["cell"].to_numpy()[np.concatenate([*homes, *cells])]
     rest = {c: own[f].to_numpy()[index] for c, f in (("node", "node"), ("copies", "copies"), ("vector", "embedding"))}
     return pd.DataFrame({"label": key[0], "dim": key[1], "cell": number, "home": np.arange(len(index)) < len(own), **rest})
 
@@ -104,7 +116,8 @@ def embedding_groups(vectors: DataFrame, cosine: float = 0.93, cell_rows: int =
     component_id. Other columns are ignored; an empty table gives an empty result.
 
     A label has a pivot for each cell_rows vectors, but not more than the root of their number, so placing a label's vectors
-    and joining its cells grow alike. part_rows: vectors of a label that a task places at once.
+    and joining its cells grow alike. part_rows: vectors of a label that a task places, fewer where it has so many pivots that
+    vectors times pivots would be over 16 million; distances are made for a million pairs at a time.
     """
     kinds = dict(vectors.dtypes)
     value = "float" if kinds["embedding"] == "array<float>" else "double"
@@ -118,7 +131,7 @@ def embedding_groups(vectors: DataFrame, cosine: float = 0.93, cell_rows: int =
 
     sizes = nodes.groupBy("label", "dim").agg(F.count("*").alias("rows"), F.min("node").alias("least"))
     wanted = F.least(F.ceil(F.col("rows") / cell_rows), F.ceil(F.sqrt("rows")))
-    sizes = checkpointed(sizes.withColumn("wanted", wanted).withColumn("parts", F.ceil(F.col("rows") / part_rows).cast("int")))
+    sizes = checkpointed(sizes.withColumn("wanted", wanted).withColumn("parts", F.ceil(F.col("rows") / F.least(F.lit(part_rows), F.greatest(F.lit(1), F.floor(_IN_PART / F.col("wanted"))))).cast("int")))
     sized = nodes.join(broadcast_if_small(sizes), ["label", "dim"])
     drawn = sized.where((F.col("wanted") > 1) & ((F.col("node") == F.col("least")) | (F.pmod(F.xxhash64("node"), F.col("rows")) < F.col("wanted") - 1)))
     cell = F.row_number().over(W.partitionBy("label", "dim").orderBy("node")) - 1  # pivots only: at most the root of a label's rows

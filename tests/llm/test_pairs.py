@@ -238,3 +238,19 @@ def test_nulls_in_arrow_columns():
 
     data, offsets = arrow_bytes(pa.array(["é", None, "b"])[1:])
     assert [bytes(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == [b"", b"b"]
+
+
+def test_placing_many_vectors_among_many_pivots_takes_bounded_memory():
+    import subprocess
+    import sys
+
+    code = (
+        "import resource, numpy as np, pandas as pd; from sedgewire.llm import embedding_groups as E; r = np.random.default_rng(1)\n"
+        "own = pd.DataFrame({'node': [b'n'] * 20_000, 'copies': 1, 'embedding': list(r.normal(size=(20_000, 16)))})\n"
+        "pivots = pd.DataFrame({'cell': range(3_000), 'embedding': list(r.normal(size=(3_000, 16))), 'radius': 0.3})\n"
+        "before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss\n"
+        "E._radii(('l', 16), own, pivots); out = E._place(('l', 16), own, pivots, 0.37)\n"
+        "print(len(out), (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)"
+    )
+    rows, mb = map(int, subprocess.run([sys.executable, "-c", code], check=True, capture_output=True, text=True, timeout=300).stdout.split())
+    assert rows >= 20_000 and mb < 400, (rows, mb)
