@@ -16,22 +16,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedgewire.llm.boosting import BoostedTrees
-from sedgewire.llm.common import in_batches, without_columns
+from sedgewire.llm.common import in_batches, map_arrow, with_fields, without_columns
 from sedgewire.llm.page_samples import sample_pages
 from sedgewire.llm.page_tree import AT, LOOSE, TOKENS, Page, features, read_page
 
 
+_MARK_END = re.compile(r" data-(?:in|out)>")
 _MARK = re.compile(r"<(\w+)([^>]*) data-(in|out)>")
 
 
 def _labels(source: str) -> tuple[Page, np.ndarray, np.ndarray]:
     """A made-up page with, for each block, whether it belongs to the main text, and whether that is known (not so above the main part)."""
-    page = read_page(source)
+    page = read_page(_MARK_END.sub(" hidden>", source))  # the mark is read as a flag that no made-up page has otherwise
     marks = [("x" if m[3] == "in" else "o") for m in _MARK.finditer(source)]
     tags = [m[1] for m in _MARK.finditer(source)]
     # the marks come in page order, as blocks do; every marked element is a block or starts a loose run
     state = np.zeros(len(page.blocks), np.int8)
-    positions = _marked(source)
+    positions = [i for i, b in enumerate(page.blocks) if b.hidden]
+    for i in positions:
+        page.blocks[i].hidden = False
     for number, mark in zip(positions, marks, strict=True):
         state[number] = 1 if mark == "x" else -1
     assert all(page.blocks[k].tag in (t, LOOSE) for k, t in zip(positions, tags, strict=True))
@@ -41,12 +44,6 @@ def _labels(source: str) -> tuple[Page, np.ndarray, np.ndarray]:
     return page, state == 1, state != 0
 
 
-def _marked(source: str) -> list[int]:
-    """Numbers of the blocks whose start tags carry a mark: the mark is renamed to a hidden flag for one reading."""
-    plain = read_page(re.sub(r" data-(in|out)>", " hidden>", source))
-    return [i for i, b in enumerate(plain.blocks) if b.hidden]
-
-
 def token_odds(pages: list[tuple[Page, np.ndarray, np.ndarray]]) -> np.ndarray:
     """For each token the smoothed log odds that a block that carries it belongs to the main text; each page counts a token once in and once out."""
     seen = np.zeros((2, TOKENS))
@@ -60,7 +57,7 @@ def token_odds(pages: list[tuple[Page, np.ndarray, np.ndarray]]) -> np.ndarray:
 @functools.lru_cache(maxsize=2)
 def fitted(pages: int = 1200, seed: int = 3) -> BoostedTrees:
     """The model; made anew in each driver, the same each time. Tokens are learned from every third page, trees from the others, so that they meet the odds as those of unseen pages."""
-    made = [_labels(source) for source in sample_pages(pages, seed)]
+    made = [_labels(source) for source in sample_pages(pages, seed, mute=0.12)]
     odds = token_odds(made[::3])
     xs, ys, ws = [], [], []
     for page, inside, known in (m for k, m in enumerate(made) if k % 3):
@@ -100,8 +97,10 @@ def _extract_batch(batch: pa.RecordBatch, model: BoostedTrees) -> pa.RecordBatch
         own = logits[at : at + len(table)]
         at += len(table)
         keep = decode(page, own, np.expm1(table[:, AT["log_chars"]]))
-        bare = all(b.tag in ("html", "body", LOOSE) for b in page.blocks if b.chars)
-        out.append("\n".join(text for block, text in page.runs if bare or keep[block]))
+        kept = [text for block, text in page.runs if keep[block]]
+        if not kept and all(b.tag in ("html", "body", LOOSE) for b in page.blocks if b.chars):  # nothing but runs in the body, and none of them chosen
+            kept = [text for _, text in page.runs]
+        out.append("\n".join(kept))
     return batch.drop_columns(["html"]).append_column("main_text", pa.array(out, pa.string()))
 
 
@@ -109,13 +108,13 @@ def extract(pages: DataFrame) -> DataFrame:
     """pages without html but with main_text: the kept text runs in page order, joined by line ends; empty if there are none.
 
     White space in a run is one space; line breaks within a block are white space. A null page is empty. A run of text directly in the body is a block of its own, kept or
-    dropped as others are; if a page has no other text, all of it is kept.
+    dropped as others are; a page that has no other text and would lose all of it keeps it.
     A column named main_text is replaced.
     """
     pages = without_columns(pages, "main_text")
     shared = pages.sparkSession.sparkContext.broadcast(fitted())
-    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name != "html"] + ["main_text string"])
-    return pages.mapInArrow(lambda it: in_batches(lambda b: _extract_batch(b, shared.value), it, 256, 2 << 20), ddl)
+    ddl = with_fields([f for f in pages.schema if f.name != "html"], "main_text string")
+    return map_arrow(pages, lambda it: in_batches(lambda b: _extract_batch(b, shared.value), it, 256, 2 << 20), ddl)
 
 
 def main_texts(pages: DataFrame) -> DataFrame:

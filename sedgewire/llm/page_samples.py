@@ -22,19 +22,24 @@ _BEFORE, _BEHIND = ["", "", "", "", "site-", "main-", "page-", "js-", "c-", "top
 
 
 class _Maker:
-    def __init__(self, seed: int) -> None:
+    def __init__(self, seed: int, mute: float) -> None:
         self.r = random.Random(seed)
+        self.share = mute
+        self.known = ["".join(self.r.choices(_SYLLABLES, k=self.r.randint(1, 4))) for _ in range(6000)]
+        self.mute = False  # whether the names of this page say nothing
 
     def words(self, low: int, high: int) -> str:
         r = self.r
-        out = ["".join(r.choices(_SYLLABLES, k=r.randint(1, 4))) + ("," if r.random() < 0.08 else "") for _ in range(r.randint(low, high))]
-        return " ".join(out).capitalize()
+        chance = r.random
+        return " ".join([w + "," if chance() < 0.08 else w for w in r.choices(self.known, k=r.randint(low, high))]).capitalize()
 
     def sentences(self, low: int, high: int) -> str:
         return " ".join(self.words(2, 16).rstrip(",") + "." for _ in range(self.r.randint(low, high)))
 
     def name(self, words: list[str]) -> str:
         r = self.r
+        if self.mute:
+            return r.choice(["x", "c", "css-", "sc-", "v", "jsx-", "b"]) + str(r.randint(1, 99999))
         return r.choice(_BEFORE) + r.choice(words) + r.choice(_BEHIND)
 
     def named(self, tag: str, words: list[str], body: str, mark: str = "", bare: float = 0.2) -> str:
@@ -70,6 +75,9 @@ class _Maker:
             body = body if tag == "form" else f"<form>{body}</form>"
         elif kind == "comments":
             body = f"<h3>{self.words(1, 3)}</h3>" + "".join(r.choice(["<div class='comment'><p>{}</p></div>", "<li class='comment'>{}</li>", "<div><b>{}</b></div>", "<p class='reply'>{}</p>"]).format(self.sentences(1, 5)) for _ in range(r.randint(1, 6)))
+            if self.mute:
+                said = lambda: r.choice(["<div><b>{0}</b> <p>{1}</p></div>", "<div><span>{0}</span><div>{1}</div></div>", "<li>{0}: {1}</li>", "<div><p>{0}</p><p>{1}</p></div>"]).format(self.words(1, 2), self.sentences(1, 4))
+                body = r.choice([f"<h3>{r.randint(1, 90)} {self.words(1, 1)}</h3>", f"<h2>{self.words(1, 2)} ({r.randint(1, 90)})</h2>", f"<h3>{self.words(1, 1)}</h3>"]) + "".join(said() for _ in range(r.randint(2, 7)))
             tag = r.choice(["div", "section", "aside"])
         else:
             body = self.links(2, 6)
@@ -152,6 +160,7 @@ class _Maker:
 
     def page(self) -> str:
         r = self.r
+        self.mute = self.share > 0 and r.random() < self.share
         above = [k for k, p in (("header", 0.5), ("nav", 0.75), ("notice", 0.3), ("advert", 0.5), ("share", 0.2), ("form", 0.2)) if r.random() < p]
         below = [k for k, p in (("comments", 0.35), ("advert", 0.3), ("aside", 0.4), ("form", 0.25), ("nav", 0.2), ("footer", 0.8), ("notice", 0.15)) if r.random() < p]
         if r.random() < 0.3:
@@ -176,7 +185,7 @@ class _Maker:
         return f"<!DOCTYPE html><html><head><title>{self.words(2, 6)}</title><style>p{{}}</style></head><body>{body}</body></html>"
 
 
-def sample_pages(n: int, seed: int) -> list[str]:
-    """Pages whose main part is marked data-in and whose other parts are marked data-out; the marks are no input of the model."""
-    maker = _Maker(seed)
+def sample_pages(n: int, seed: int, mute: float = 0.0) -> list[str]:
+    """Pages whose main part is marked data-in and whose other parts are marked data-out; the marks are no input of the model. mute: the share of pages whose names say nothing."""
+    maker = _Maker(seed, mute)
     return [maker.page() for _ in range(n)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 import zlib
@@ -28,8 +29,6 @@ CLOSES = {
 #: The tag of the anonymous block that a run of text directly in html or body makes.
 LOOSE = ""
 SCOPE = frozenset("table ul ol dl td th article section div body html form aside nav header footer main".split())
-#: Elements nested deeper than this belong to the one at this depth, so that no page takes more than its length times a constant.
-DEEPEST = 512
 #: Words of class, id, role, aria-label and itemprop are told apart by so many hash values.
 TOKENS = 4096
 
@@ -72,6 +71,59 @@ def _attributes(block: Block, raw: str) -> None:
         block.tokens += [zlib.crc32(w.encode()) % TOKENS for w in set(_WORD.findall(_HUMP.sub(r"\1 \2", value).lower()))]
 
 
+class _Open:
+    """The open elements. Where each tag is open is kept by tag, so that finding what an end tag or a new block closes takes no walk down the stack."""
+
+    def __init__(self) -> None:
+        self.elements: list[tuple[str, int]] = []  # tag, and the block that text in it belongs to
+        self.places: dict[str, list[int]] = {}
+        self.scopes: list[int] = []
+        self.blocks: list[int] = []
+
+    def push(self, tag: str, block: int) -> None:
+        at = len(self.elements)
+        self.places.setdefault(tag, []).append(at)
+        if tag in SCOPE:
+            self.scopes.append(at)
+        if tag in BLOCK:
+            self.blocks.append(at)
+        self.elements.append((tag, block))
+
+    def pop(self) -> str:
+        tag, _ = self.elements.pop()
+        self.places[tag].pop()
+        for kept in (self.scopes, self.blocks):
+            if kept and kept[-1] == len(self.elements):
+                kept.pop()
+        return tag
+
+    def last(self, tag: str) -> int:
+        """Where the innermost element of this tag is open, 0 if none is above the root."""
+        places = self.places.get(tag)
+        return places[-1] if places else 0
+
+    def ended_by(self, tag: str) -> int:
+        """Where an end tag closes, 0 if nowhere: a block's end doesn't reach out of a scope."""
+        at = self.last(tag)
+        return 0 if tag in BLOCK and tag not in SCOPE and self.scopes and at < self.scopes[-1] else at
+
+    def closed_by(self, tag: str) -> int:
+        """The lowest element that a new block closes within its scope, 0 if none."""
+        closes = CLOSES.get(tag, ())
+        bound = 0
+        for at in reversed(self.scopes):
+            if self.elements[at][0] not in closes:
+                bound = at
+                break
+        found = 0
+        for other in ("p", *closes):
+            places = self.places.get(other, ())
+            k = bisect.bisect_right(places, bound)
+            if k < len(places):
+                found = min(found or places[k], places[k])
+        return found
+
+
 class _Scanner:
     """Finds markup in a page, in time that grows with its length: a search that ran to the end in vain isn't made again."""
 
@@ -133,10 +185,12 @@ def read_page(source: str) -> Page:
     A run directly in html or body is an anonymous block, named by the inline elements that were open at its first character.
     """
     blocks = [Block("html", -1, 0)]
-    stack: list[tuple[str, int]] = [("html", 0)]  # open elements and the block that text in them belongs to
+    open_ = _Open()
+    open_.push("html", 0)
+    stack = open_.elements
     runs: list[tuple[int, str]] = []
     text: list[str] = []
-    names: list[tuple[tuple[str, int], str]] = []  # inline elements directly in html or body that a loose run may start in, with their attributes
+    names: list[tuple[tuple[str, int], int, Block]] = []  # inline elements directly in html or body that a loose run may start in, their places, and what they and those around them are named
     begun = False
     link = linked = 0
     at, end = 0, len(source)
@@ -150,8 +204,8 @@ def read_page(source: str) -> Page:
                 k = stack[-1][1]
                 if blocks[k].tag in ("html", "body"):
                     b = Block(LOOSE, k, blocks[k].depth + 1)
-                    for _, raw in names:
-                        _attributes(b, raw)
+                    if names:
+                        b.tokens, b.hidden = names[-1][2].tokens, names[-1][2].hidden
                     blocks[k].children.append(len(blocks))
                     k = len(blocks)
                     blocks.append(b)
@@ -163,17 +217,20 @@ def read_page(source: str) -> Page:
                 b.stops += run.count(".") + run.count(",") + run.count("?") + run.count("!")
                 b.runs += 1
         linked, begun = 0, False
-        names[:] = [x for x in names if any(x[0] is e for e in stack)]
+        forget()
+
+    def forget() -> None:
+        while names and (names[-1][1] >= len(stack) or stack[names[-1][1]] is not names[-1][0]):
+            names.pop()
 
     def close(depth: int) -> None:
         nonlocal link
-        if any(t in BLOCK for t, _ in stack[depth:]):
+        if open_.blocks and open_.blocks[-1] >= depth:
             flush()
-        for t, _ in stack[depth:]:
-            link -= t == "a"
-        del stack[depth:]
-        if names and not begun:
-            names[:] = [x for x in names if any(x[0] is e for e in stack)]
+        while len(stack) > depth:
+            link -= open_.pop() == "a"
+        if not begun:
+            forget()
 
     def said(piece: str) -> None:
         nonlocal linked, begun
@@ -195,14 +252,10 @@ def read_page(source: str) -> Page:
         if tag is None:
             continue
         if closing:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == tag:
-                    close(depth)
-                    break
-                if tag not in SCOPE and stack[depth][0] in SCOPE and tag in BLOCK:
-                    break
+            if depth := open_.ended_by(tag):
+                close(depth)
             continue
-        if tag in ("html", "body") and any(t == tag for t, _ in stack):
+        if tag in ("html", "body") and open_.places.get(tag):
             continue
         if tag in RAW:
             if not raw.endswith("/"):
@@ -221,29 +274,26 @@ def read_page(source: str) -> Page:
             elif tag in ("br", "img", "wbr") and tag != "wbr":
                 said(" ")
             continue
-        if len(stack) >= DEEPEST:
-            if tag in BLOCK:
-                flush()
-            continue
         if tag in BLOCK:
             flush()
-            for depth in range(len(stack) - 1, 0, -1):
-                open_ = stack[depth][0]
-                if open_ == "p" or open_ in CLOSES.get(tag, ()):
-                    close(depth)
-                if open_ in SCOPE and open_ not in CLOSES.get(tag, ()):
-                    break
+            if depth := open_.closed_by(tag):
+                close(depth)
             parent = stack[-1][1]
             block = Block(tag, parent, blocks[parent].depth + 1)
             _attributes(block, raw)
             blocks[parent].children.append(len(blocks))
-            stack.append((tag, len(blocks)))
+            open_.push(tag, len(blocks))
             blocks.append(block)
         else:
             link += tag == "a"
-            stack.append((tag, stack[-1][1]))
+            open_.push(tag, stack[-1][1])
             if not begun and blocks[stack[-1][1]].tag in ("html", "body"):
-                names.append((stack[-1], raw))
+                named = Block(tag, -1, 0)
+                _attributes(named, raw)
+                if names:
+                    around = names[-1][2]
+                    named.tokens, named.hidden = list({*around.tokens, *named.tokens}) if named.tokens else around.tokens, named.hidden or around.hidden
+                names.append((stack[-1], len(stack) - 1, named))
     flush()
     return Page(blocks, runs)
 

@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 
 from layouts import PAGES
 
-from sedgewire.llm import byte_bpe, html_extraction, language_id, queries, toxicity, transport_stream
+from sedgewire.llm import byte_bpe, html_extraction, language_id, mixing, pii, queries, resampling, toxicity, transport_stream
 from sedgewire.llm.common import in_batches
+from sedgewire.llm.near_duplicates import drop_near_duplicates
 from sedgewire.llm.page_samples import sample_pages
 from sedgewire.llm.page_tree import AT, features, read_page
+from sedgewire.llm.repeated_spans import remove_repeats
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 TEXTS = ["", None, "a", "Hello   world!!\n\n  it's 2024", "é" * 300, "日本語 text \U0001f600", "x" * 5000, " \t\n ", "<|endoftext|>", "thentlytionor " * 50]
@@ -229,3 +231,53 @@ def test_page_tree_takes_linear_time():
 def test_page_tree_closes_what_html_closes():
     page = read_page("<p>a<p>b<ul><li>c<li>d</ul>e<script>x<p></script><!-- <p>no --><td>f")
     assert [t for _, t in page.runs] == ["a", "b", "c", "d", "e", "f"]
+
+
+def test_extraction_of_loose_deep_and_unnamed_pages(spark):
+    told = "For many years the old lighthouse stood empty above the bay, and nobody in the village could say who owned it. Last spring the council sold it, for a single coin, to a teacher from the city."
+    german = "Viele Jahre lang stand der alte Leuchtturm leer über der Bucht, und niemand im Dorf wusste, wem er gehörte. Im Frühling verkaufte ihn der Rat für eine Münze an eine Lehrerin aus der Stadt."
+    comments = "<div class='x3'><h3>3 comments</h3><div><b>Ann</b> <p>I love this place, thanks for the story!</p></div><div><b>Bob</b><p>Me too. When does it open?</p></div></div>"
+    deep = "<div class='ad'>" + "<div>" * 600 + "Buy our boats now." + "</div>" * 601
+    pages = {
+        1: (f"<body><a href='/'>Home</a> | <a href='/n'>News</a> | <a href='/s'>Sport</a> <hr> {told}<br>{told} {told} <hr> &copy; 2024 Bay Press. <a href='/p'>Privacy</a></body>", [f"{told} {told} {told}"]),
+        2: (f"<body><article><h1>Sold</h1><p>{told}</p><p>{told}</p></article>{deep}</body>", ["Sold", told, told]),
+        3: (f"<body><div class='x1'><a href='/'>Home</a> <a href='/n'>News</a></div><div class='x2'><h1>The lighthouse is sold</h1><p>{told}</p><p>{told}</p></div>{comments}<div class='x4'>&copy; 2024</div></body>", ["The lighthouse is sold", told, told]),
+        4: (f"<body><div class='kopf'><a href='/'>Start</a> <a href='/a'>Über uns</a></div><main><h1>Der Leuchtturm ist verkauft</h1><p>{german}</p><p>{german}</p></main><footer>&copy; 2024 Buchtbote. Alle Rechte vorbehalten.</footer></body>", ["Der Leuchtturm ist verkauft", german, german]),
+        5: ("<body>just text", ["just text"]),
+    }
+    frame = spark.createDataFrame([(k, "", v[0]) for k, v in pages.items()] * 2, "page_id long, url string, html string").selectExpr("*", "1 AS `Main_Text`", "named_struct('a b', 2) AS `odd.one`")
+    rows = html_extraction.extract(frame).collect()
+    assert len(rows) == 10 and all(r.main_text.split("\n") == pages[r.page_id][1] and r["odd.one"]["a b"] == 2 for r in rows)
+    assert html_extraction.main_texts(frame.limit(0)).collect() == []
+
+
+def test_deeply_nested_pages_take_linear_time():
+    for one, many in (("<div>", 60_000), ("<td>", 40_000), ("<table><td>", 20_000), ("</x>", 50_000), ("<li><div><b>", 20_000), ("<b class=q><hr>", 20_000)):
+        began = time.process_time()
+        read_page(one * many + "</li></tr>" * 5_000 + "text")
+        assert time.process_time() - began < 12, one
+    page = read_page("<div>" * 3000 + "deep" + "</div>" * 3000 + "<p>next</p>")
+    assert page.runs[0] == (3000, "deep") and page.blocks[page.runs[1][0]].depth == 1
+
+
+def test_odd_columns_repeats_and_empty_tables(spark):
+    """Dotted names, nested fields with blanks, clashes, repeated rows and no rows, for the operators on texts."""
+    sf_dir = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    odd = docs.limit(40).selectExpr("*", "1 AS `a.b`", "named_struct('x y', doc_id) AS nested")
+    odd = odd.union(odd)
+    net = toxicity.fit_on(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    known = language_id.fit_on(docs)
+    applied = {
+        "toxicity": lambda d: toxicity.score(d, net), "language": lambda d: language_id.identify(d, known), "bpe": lambda d: byte_bpe.encode(d, PATH, public_tokenizers.PATTERN),
+        "repeats": lambda d: remove_repeats(d), "near": lambda d: drop_near_duplicates(d, k=3, percent=85), "mix": lambda d: mixing.mix(d), "pii": lambda d: pii.find(d), "weights": lambda d: resampling.weighed(d, docs.limit(5)),
+    }
+    for name, apply in applied.items():
+        rows = apply(odd).collect()
+        assert all(r["a.b"] == 1 and r["nested"]["x y"] == r.doc_id for r in rows), name
+        assert len(rows) == 80 or name == "near" and len(rows) <= 40, name
+        if name not in ("near", "mix", "repeats"):
+            by_id = {}
+            assert all(by_id.setdefault(r.doc_id, r) == r for r in rows), name
+        assert apply(odd.limit(0)).collect() == [], name
+    assert transport_stream.media_digests(odd).count() == 80 and transport_stream.media_digests(odd.limit(0)).collect() == []
