@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,10 +10,15 @@ from pyspark.sql import functions as F
 
 from sedgewire.functions import columns as C
 from sedgewire.functions.patterns import excluded_by
-from sedgewire.operators import hash_tree
+from sedgewire.operators import case_bundle, hash_tree
 from sedgewire.operators import records as R
 from sedgewire.operators.normalize import normalize, normalize_json
 from sedgewire.plans import documents_as_scan, table
+from sedgewire.sources.cache import CacheTable
+from sedgewire.sources.deflate_runs import member_lines
+from sedgewire.sources.jsonl import read_jsonl, record_json, write_jsonl
+from sedgewire.sources.line_table import local_path
+from sedgewire.sources.staging import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -390,3 +396,93 @@ def normalize_records(spark, d):
     sections = {"file": "path name ext size_bytes", "os_times": "atime mtime ctime", "capture": "make model software datetime_original", "meta_times": "digitized created modified", "geo": "lat lon alt_m gps_dop precision_flag", "identity": "author last_modified_by title", "media": "duration_sec width height codec container container_created"}
     fields = [f"{s}.{f}" for s, names in sections.items() for f in names.split()]
     return normalize_json(raw).select("o_orderkey", "raw", *fields, F.map_keys("hashes")[0].alias("hash_algo"), F.map_values("hashes")[0].alias("hash_hex"))
+
+
+@query("SELECT page_id, CASE WHEN starts_with(url, 'https://m.') THEN substr(url, 9) ELSE url END AS in_base, url AS without_base FROM pages WHERE NOT starts_with(url, 'https://') OR starts_with(url, 'https://m.')")
+def relative_paths(spark, d):
+    """Paths below a base, which has or hasn't a slash at its end; others stay as they are."""
+    pages = table(spark, d, "pages").where(~F.col("url").startswith("https://") | F.col("url").startswith("https://m."))
+    return pages.select("page_id", C.relative_path(F.col("url"), "https:/").alias("in_base"), C.relative_path(F.col("url"), None).alias("without_base")).withColumn("in_base", F.regexp_replace("in_base", "^/", ""))
+
+
+@query("""WITH p AS (SELECT *, (l_quantity + l_linenumber / 60.0::DOUBLE + l_tax / 3600.0::DOUBLE) * CASE WHEN l_returnflag = 'A' THEN -1 ELSE 1 END AS lat, (l_linenumber + l_quantity / 60.0::DOUBLE + l_discount / 3600.0::DOUBLE) * CASE WHEN l_linestatus = 'O' THEN -1 ELSE 1 END AS lon FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag <> 'R' THEN lat END AS gps_latitude, CASE WHEN l_returnflag <> 'R' THEN lon END AS gps_longitude FROM p""")
+def positions(spark, d):
+    """Degrees, minutes and seconds with their references; two parts instead of three are no position."""
+    lat = F.array("l_quantity", F.col("l_linenumber").cast("double"), "l_tax")
+    lat = F.when(F.col("l_returnflag") == "R", F.slice(lat, 1, 2)).otherwise(lat)
+    lon = F.array(F.col("l_linenumber").cast("double"), "l_quantity", "l_discount")
+    place = R.position(lat, F.when(F.col("l_returnflag") == "A", "south").otherwise("N"), lon, F.when(F.col("l_linestatus") == "O", "w"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", place.alias("p")).select("l_orderkey", "l_linenumber", "p.gps_latitude", "p.gps_longitude")
+
+
+_MARKED = "SELECT s.*, l.toxic, l.quality FROM SCAN s LEFT JOIN labels l ON s.row_no = l.doc_id"
+
+
+def _marked(spark, d):
+    """documents_as_scan as whole records: warnings and errors by label (null without one), metadata of the size."""
+    marks = table(spark, d, "labels").select(F.col("doc_id").alias("row_no"), "toxic", "quality")
+    warnings = F.when(F.col("quality").isNotNull(), F.array_compact(F.array(F.when(F.col("quality") == 0, "low"), F.when(F.col("toxic") == 1, "toxic"))))
+    errors = F.array_compact(F.array(F.when(F.col("size_bytes") % 7 == 0, "e\\"))).cast("array<string>")
+    metadata = F.concat(F.lit('{ "z": 1, "a": {"size": '), F.col("size_bytes").cast("string"), F.lit("} }"))
+    return documents_as_scan(spark, d).join(marks, "row_no", "left").select("row_no", "path", "mime", "size_bytes", "sha256", metadata.alias("metadata"), warnings.alias("warnings"), errors.alias("errors"))
+
+
+_QUOTED = lambda c: f"coalesce('\"' || {c} || '\"', 'null')"
+_LINE = f"""'{{"errors":' || CASE WHEN size_bytes % 7 = 0 THEN '["e\\\\"]' ELSE '[]' END || ',"metadata":' || coalesce('{{"a":{{"size":' || size_bytes || '}},"z":1}}', '{{}}') || ',"mime":' || {_QUOTED("mime")} || ',"path":' || {_QUOTED("path")} || ',"sha256":' || {_QUOTED("sha256")}
+|| ',"size_bytes":' || coalesce(size_bytes || '', 'null') || ',"warnings":' || CASE WHEN quality IS NULL THEN 'null' ELSE '[' || concat_ws(',', CASE WHEN quality = 0 THEN '"low"' END, CASE WHEN toxic = 1 THEN '"toxic"' END) || ']' END || '}}'"""
+
+
+@query(f"WITH m AS ({_MARKED}) SELECT {_LINE} AS value FROM m WHERE path IS NOT NULL")
+def record_lines(spark, d):
+    return record_json(_marked(spark, d).where("path is not null"))
+
+
+@query(f"WITH m AS ({_MARKED}) SELECT row_number() OVER (ORDER BY path) - 1 AS row_no, path, mime, size_bytes, sha256, coalesce('{{\"a\":{{\"size\":' || size_bytes || '}},\"z\":1}}', '{{}}') AS metadata, {_LINE} AS record FROM m WHERE path IS NOT NULL AND size_bytes IS NOT NULL")
+def jsonl_round_trip(spark, d):
+    """Records written as a folder of lines, in path order, and read with the numbers of their lines."""
+    path = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    write_jsonl(_marked(spark, d).where("path is not null and size_bytes is not null"), path)
+    return read_jsonl(spark, path).select("row_no", "path", "mime", "size_bytes", "sha256", "metadata", "record")
+
+
+@query("SELECT row_number() OVER (ORDER BY row_no) - 1 AS line, coalesce(sha256, '') AS sha256, coalesce(path, '') AS path FROM SCAN")
+def bundle_round_trip(spark, d):
+    """A case bundle of all documents, packed by tasks, and its hashes read back in parts."""
+    path = f"{local_path(shared_folder(spark))}/case-{uuid.uuid4().hex}.zip"
+    case_bundle.export_bundle(_marked(spark, d), path, notes="n")
+    parts = F.split("value", "\\t", 2)
+    return member_lines(spark, path, "hashes.txt").select(F.col("row_no").alias("line"), parts[0].alias("sha256"), parts[1].alias("path"))
+
+
+@query("""WITH c AS (SELECT 'k' || o_custkey AS key, o_orderkey AS row_no, o_orderstatus AS metadata, min(o_orderkey) OVER (PARTITION BY o_custkey) AS first FROM orders)
+SELECT DISTINCT e.user_id, c.row_no, c.metadata FROM events e JOIN c ON c.key = 'k' || e.user_id AND c.row_no = c.first""")
+def cache_round_trip(spark, d):
+    """A keyed cache with all orders' states by customer, added in two turns and merged, probed with all users of events."""
+    cache = CacheTable(spark, f"{shared_folder(spark)}/cache-{uuid.uuid4().hex}")
+    orders = table(spark, d, "orders").select(F.concat(F.lit("k"), F.col("o_custkey").cast("string")).alias("key"), F.col("o_orderstatus").alias("metadata"), F.array().cast("array<string>").alias("warnings"), F.lit("r").alias("run"), F.col("o_orderkey").alias("row_no"))
+    cache.add(orders.where("row_no % 2 = 1"))
+    cache.add(orders.where("row_no % 2 = 0"))
+    cache.compact(files=1)
+    found = cache.probe(table(spark, d, "events").select(F.concat(F.lit("k"), F.col("user_id").cast("string")).alias("key")))
+    return found.select(F.expr("substring(key, 2)").cast("long").alias("user_id"), "row_no", "metadata")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN '{"kept":' || o_custkey || '}' WHEN o_orderstatus = 'O' THEN '{"a":"' || o_orderpriority || '","kept":' || o_custkey || '}' ELSE '{}' END AS metadata FROM orders""")
+def sanitize_orders(spark, d):
+    """Metadata of several shapes without the private keys."""
+    author, gps = F.col("o_orderpriority").alias("pdf_author"), F.col("o_totalprice").alias("gps_latitude")
+    kept = F.col("o_custkey").alias("kept")
+    meta = F.when(F.col("o_orderstatus") == "F", F.to_json(F.struct(kept, author, gps))).when(F.col("o_orderstatus") == "O", F.to_json(F.struct(kept, gps, F.col("o_orderpriority").alias("a")))).otherwise(F.to_json(F.struct(author)))
+    return R.sanitize(table(spark, d, "orders").select("o_orderkey", meta.alias("metadata"))).select("o_orderkey", "metadata")
+
+
+@query("""WITH s AS (SELECT o_orderkey, o_orderstatus IN ('F', 'O') AND o_orderkey % 11 <> 0 AS gps, o_orderstatus <> 'O' AND o_orderkey % 11 <> 0 AS author FROM orders)
+SELECT o_orderkey, list_filter([CASE WHEN gps THEN 'has_gps' END, CASE WHEN author THEN 'has_author' END], lambda x: x IS NOT NULL) AS privacy_flags, CASE WHEN gps THEN 40 ELSE 0 END + CASE WHEN author THEN 10 ELSE 0 END AS risk_score,
+list_filter([CASE WHEN gps THEN 'GPS_PRESENT' END, CASE WHEN author THEN 'AUTHOR_PRESENT' END], lambda x: x IS NOT NULL) AS reason_codes FROM s""")
+def signals_of_orders(spark, d):
+    """Signals of metadata of several shapes; what isn't JSON signals nothing."""
+    author, gps = F.col("o_orderpriority"), F.col("o_totalprice")
+    status = F.col("o_orderstatus")
+    meta = F.when(F.col("o_orderkey") % 11 == 0, "no json").when(status == "F", F.to_json(F.struct(author.alias("docx_author"), gps.alias("gps_latitude")))).when(status == "O", F.to_json(F.struct(F.struct(gps.alias("lat")).alias("gps")))).otherwise(F.to_json(F.struct(author.alias("author"))))
+    return R.privacy_signals(table(spark, d, "orders").select(F.col("o_orderkey").alias("path"), meta.alias("metadata"))).withColumnRenamed("path", "o_orderkey")

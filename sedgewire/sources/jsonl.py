@@ -62,5 +62,7 @@ def write_single_file(lines: DataFrame, path: str) -> None:
 
 
 def load_index(spark: SparkSession, path: str) -> DataFrame | None:
-    """read_jsonl, or None where there is no such file."""
-    return read_jsonl(spark, path) if os.path.exists(path) else None
+    """read_jsonl, or None where there is no such file or folder, on whichever file system."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    return read_jsonl(spark, path) if there else None
