@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedgewire.llm.common import U64, arrow_bytes, checkpointed, in_batches, mix64, slices
+from sedgewire.llm.common import U64, arrow_bytes, checkpointed, in_batches, mix64, slices, written
 from sedgewire.llm.components import connected_components
 from sedgewire.llm.superminhash import shingle_sets, signatures
 
@@ -134,12 +134,12 @@ def near_duplicate_groups(docs: DataFrame, k: int = 5, percent: int = 80, bands:
     if their signatures agree on at least percent/100 - margin of the slots (seven standard
     deviations of the estimate at 96 slots).
     """
-    base = checkpointed(sketches(docs, k, bands, rows))
+    base = written(sketches(docs, k, bands, rows))
     nodes = base.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("id"), F.min(F.struct("doc_id", "text_key")).alias("source"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
-    nodes = checkpointed(nodes)
+    nodes = written(nodes)
     members = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     buckets = members.groupBy("band", "bucket").agg(F.min("node").alias("center"), F.count("*").alias("n")).where("n > 1")
-    shared = checkpointed(members.join(buckets, ["band", "bucket"]))
+    shared = written(members.join(buckets, ["band", "bucket"]))
     pairs = shared.where("node <> center").select("node", "center").distinct()
 
     needed = shared.select("node").distinct().join(nodes, "node").select("node", "bands", "signature", "source.doc_id", "source.text_key")
@@ -148,7 +148,7 @@ def near_duplicate_groups(docs: DataFrame, k: int = 5, percent: int = 80, bands:
     chosen = chosen.select("n.node", "n.bands", "n.signature", "t.text")
     run = partial(_set_batch, k=k)
     sets = chosen.mapInArrow(lambda it: in_batches(run, it), "node binary, bands array<long>, signature binary, shingles array<long>")
-    sets = checkpointed(sets.dropDuplicates(["node"]))
+    sets = written(sets.dropDuplicates(["node"]))
 
     links = checkpointed(verified(pairs, sets, percent))
     roots = connected_components(links)
@@ -204,4 +204,4 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     decided = near_duplicate_groups(docs, **options).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
     keyed = docs.withColumn("__key2", F.xxhash64("text"))
     joined = keyed.join(decided, keyed.doc_id.cast("long").eqNullSafe(decided["__id"]) & (keyed["__key2"] == decided["__key"]))
-    return joined.dropDuplicates(["__id", "__key"]).select(*[keyed[c] for c in docs.columns])
+    return joined.dropDuplicates(["__id", "__key"]).select(*[keyed[f"`{c}`"] for c in docs.columns])
