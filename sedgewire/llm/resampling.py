@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sedgewire.llm.common import checkpointed, hash_spans, in_batches, without_columns
+from sedgewire.llm.common import checkpointed, hash_spans, in_batches, map_arrow, without_columns, written
 from sedgewire.llm.terms import Terms, terms_of
 
 DEPTH = 3
@@ -142,7 +142,7 @@ def weighed(docs: DataFrame, target: DataFrame, buckets: int = 10_000) -> DataFr
             total[r.bucket] = r.n
     gain = docs.sparkSession.sparkContext.broadcast(gains(*totals))
     shape = T.StructType([f for f in docs.schema if f.name.lower() != "text"] + [T.StructField(c, T.LongType()) for c in ("n_words", "n_features", "weight")])
-    return docs.mapInArrow(lambda it: in_batches(lambda b: _weigh(b, gain.value), it), shape)
+    return map_arrow(docs, lambda it: in_batches(lambda b: _weigh(b, gain.value), it), shape)
 
 
 def gumbel(doc_id: Column, seed: int = 42) -> Column:
@@ -155,11 +155,11 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = 5, min_words: in
     """weighed(), with score and rank: of the documents with at least `min_words` words `percent` of a hundred (rounded down) are drawn, the highest scores first, ties to the
     smaller doc_id (null first); rank counts them from 1 and is null for the others.
 
-    The rows are sorted by range, those that can be drawn first; a row's rank is its place in its range and the lengths of the ranges before. Columns named score and rank are replaced.
+    The weighed rows are written, as sorting reads them twice, and sorted by range, those that can be drawn first; a row's rank is its place in its range and the lengths of the ranges before. Columns named score and rank are replaced.
     """
     out = without_columns(weighed(docs, target, buckets), "score", "rank")
     out = out.withColumn("score", F.col("weight") + gumbel(F.col("doc_id"), seed)).withColumn("__can", F.col("n_words") >= min_words)
-    placed = checkpointed(out.orderBy(F.desc("__can"), F.desc("score"), F.asc("doc_id")).withColumn("__place", F.monotonically_increasing_id()))
+    placed = checkpointed(written(out).orderBy(F.desc("__can"), F.desc("score"), F.asc("doc_id")).withColumn("__place", F.monotonically_increasing_id()))
     in_range = F.shiftright("__place", 33)
     sizes = {r.part: (r.rows, r.can) for r in placed.groupBy(in_range.alias("part")).agg(F.count("*").alias("rows"), F.count_if("__can").alias("can")).collect()}  # a row a partition
     before, starts = 0, []
