@@ -17,7 +17,7 @@ from sedgewire.llm.transport_stream import media_digests
 
 
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_digests(read_table(spark, sf_dir, "documents"))
+    return media_digests(dealt_out(read_table(spark, sf_dir, "documents")))
 
 
 def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +25,7 @@ def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_extraction.main_texts(read_table(spark, sf_dir, "pages"))
+    return html_extraction.main_texts(dealt_out(read_table(spark, sf_dir, "pages")))
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return byte_bpe.token_digests(read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    return byte_bpe.token_digests(dealt_out(read_table(spark, sf_dir, "documents")), path, public_tokenizers.PATTERN)
 
 
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
