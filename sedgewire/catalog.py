@@ -121,7 +121,9 @@ def _levels(source: str, value: str, by: str = "") -> str:
     return ", ".join(out)
 
 
-@query(f"WITH c AS ({_DIFF}), r AS (SELECT *, row_number() OVER (PARTITION BY status ORDER BY path) - 1 AS row_no FROM c), {_levels('r', 'path', 'status')} SELECT status, n, digest FROM l3")
+@query(f"""WITH c AS ({_DIFF}), r AS (SELECT *, row_number() OVER (PARTITION BY status ORDER BY path) - 1 AS row_no FROM c), {_levels('r', 'path', 'status')},
+k AS (SELECT unnest(['added', 'removed', 'changed']) AS status)
+SELECT k.status, coalesce(l3.n, 0) AS n, l3.digest, r.row_no + 1 AS place, r.path FROM k LEFT JOIN l3 ON k.status = l3.status LEFT JOIN r ON k.status = r.status""")
 def diff_summary(spark, d):
     return R.diff_summary(R.diff(*_snapshots(spark, d)))
 

@@ -12,6 +12,7 @@ from sedgewire.functions.columns import cache_key, signed_degrees, without_keys
 from sedgewire.operators import hash_tree
 from sedgewire.operators.ordering import numbered
 from sedgewire.schema import PRIVACY_KEYS, TIMELINE_KEYS
+from sedgewire.sources.staging import checkpointed
 
 
 def mime_counts(scan: DataFrame) -> DataFrame:
@@ -120,12 +121,24 @@ def diff_rows(changes: DataFrame, status: str) -> DataFrame:
     return changes.where(F.col("status") == status).select("path").orderBy("path")
 
 
+#: The kinds of changes that a diff tells. Fixed values.
+STATUSES = ("added", "removed", "changed")
+
+
 def diff_summary(changes: DataFrame) -> DataFrame:
-    """(status, n, digest): how many paths each status has, and the root of the Merkle tree over them in order; diff_rows gives the paths."""
+    """(status, n, digest, place, path): the sorted list of each status, a row a path with its place in the list (from 1), how many paths the status has, and the root of the Merkle tree over them in order.
+
+    A status without changes has one row: n is 0, the rest null. No row or task holds a list, however many changes there are.
+    """
     rows = numbered(changes.select("status", "path"), "status", "path")
     first = F.broadcast(rows.groupBy("status").agg(F.min("row_no").alias("first")))  # a row a status
     rows = rows.join(first, "status").withColumn("row_no", F.col("row_no") - F.col("first"))
-    return hash_tree.root(rows, "path", by=["status"]).select("status", F.col("record_count").alias("n"), F.col("root").alias("digest"))
+    roots = hash_tree.root(rows, "path", by=["status"]).select("status", F.col("record_count").alias("n"), F.col("root").alias("digest"))
+    kinds = changes.sparkSession.createDataFrame([(s,) for s in STATUSES], "status string")
+    counts = checkpointed(kinds.join(roots, "status", "left").select("status", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "digest"))  # three rows
+    listed = rows.join(F.broadcast(counts), "status").select("status", "n", "digest", (F.col("row_no") + 1).alias("place"), "path")
+    none = counts.where("n = 0").select("status", "n", "digest", F.lit(None).cast("long").alias("place"), F.lit(None).cast("string").alias("path"))
+    return listed.union(none)
 
 
 def verify(expected: DataFrame, found: DataFrame) -> DataFrame:
