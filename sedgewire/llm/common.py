@@ -63,6 +63,17 @@ def broadcast_if_small(df: DataFrame, rows: int = 20_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def bitmap_of(keys: DataFrame, column: str, width: int) -> np.ndarray:
+    """A bitmap of 2 ** width bits (15 or more) with those set that the leading `width` bits of the keys name. Executors set the bits; the driver puts the pieces together."""
+    bit, piece = F.shiftrightunsigned(column, 64 - width), 1 << 15
+    parts = keys.select(bit.alias("bit")).groupBy(F.shiftright("bit", 15).alias("at")).agg(F.bitmap_construct_agg(F.pmod("bit", F.lit(piece))).alias("bits"))
+    out = np.zeros((1 << width) // 8, np.uint8)
+    for r in parts.toLocalIterator():
+        own = np.frombuffer(bytes(r.bits), np.uint8)
+        out[r["at"] * (piece // 8) :][: len(own)] = own
+    return out
+
+
 def without_columns(df: DataFrame, *names: str) -> DataFrame:
     """Drop columns whose names would clash with those an operator adds (names match without case, as Spark resolves them)."""
     low = {n.lower() for n in names}

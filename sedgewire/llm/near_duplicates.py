@@ -3,7 +3,8 @@
 1. A pass over the texts gives each one's set fingerprint (128 bits of its distinct shingles),
    size, signature and band hashes. Texts with one fingerprint are one node from here on.
 2. Nodes that share a band's bucket are candidates. Each is first compared with the bucket's
-   least node; the full shingle sets decide (array_intersect in the JVM).
+   least node; the full shingle sets decide (array_intersect in the JVM). A second pass over the
+   texts makes the sets, of the candidates alone.
 3. In a bucket that still holds several components, the members outside its center's component are
    compared with all members, inside tasks, in blocks, each pair in the first band it shares, on full sets
    again. So no pairs are written and nothing is capped, and the work of a bucket is its size times those outside, not its square.
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedgewire.llm.common import U64, arrow_bytes, checkpointed, in_batches, mix64, slices
+from sedgewire.llm.common import U64, arrow_bytes, bitmap_of, checkpointed, in_batches, mix64, slices
 from sedgewire.llm.components import connected_components
 from sedgewire.llm.superminhash import shingle_sets, signatures
 
@@ -79,15 +80,35 @@ def sketches(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
 
 def _set_batch(batch: pa.RecordBatch, k: int) -> pa.RecordBatch:
     data, offsets = arrow_bytes(batch.column("text"))
-    parts, ends, at = [], [0], 0
+    nodes, parts, ends, at = [], [], [0], 0
     for a, b in slices(offsets):
         elements, firsts = shingle_sets(data, offsets[a : b + 1], k)
+        nodes.extend(x.tobytes() for x in _fingerprints(elements, firsts))
         parts.append(elements)
         ends.extend((firsts[1:] + at).tolist())
         at = ends[-1]
     values = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
     sets = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values.view(np.int64)))
-    return pa.RecordBatch.from_arrays([batch.column("node"), batch.column("bands"), batch.column("signature"), sets], names=["node", "bands", "signature", "shingles"])
+    return pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), sets], names=["node", "shingles"])
+
+
+def full_sets(docs: DataFrame, needed: DataFrame, k: int) -> DataFrame:
+    """(node, bands, signature, shingles) of the needed nodes (node, bands, signature, source: a document's id and text key).
+
+    Texts don't cross the shuffle. A bitmap of the sources, 32 bits or more for each, tells which texts make their sets where they are read; nodes follow from the sets,
+    and a join on them drops the few that only share a bit. From 2^24 sources on the bitmap stays at 64 MB: more texts pass that the join drops, the result is the same.
+    """
+    key = lambda doc_id, text_key: F.xxhash64(doc_id, text_key).alias("key")
+    width = min(29, max(20, needed.count().bit_length() + 5))
+    bitmap = docs.sparkSession.sparkContext.broadcast(bitmap_of(needed.select(key("source.doc_id", "source.text_key")), "key", width))
+
+    def wanted(batch: pa.RecordBatch) -> pa.RecordBatch:
+        bit = (batch.column("key").to_numpy().view(np.uint64) >> U64(64 - width)).astype(np.int64)
+        return batch.filter(pa.array((bitmap.value[bit >> 3] >> (bit & 7) & 1).astype(bool)))
+
+    texts = docs.select(key(F.col("doc_id").cast("long"), F.xxhash64("text")), "text")
+    made = texts.mapInArrow(lambda it: in_batches(partial(_set_batch, k=k), map(wanted, it)), "node binary, shingles array<long>")
+    return made.dropDuplicates(["node"]).join(needed.select("node", "bands", "signature"), "node").select("node", "bands", "signature", "shingles")
 
 
 def _block_links(pdf: pd.DataFrame, percent: int, margin: float) -> pd.DataFrame:
@@ -142,13 +163,8 @@ def near_duplicate_groups(docs: DataFrame, k: int = 5, percent: int = 80, bands:
     shared = checkpointed(members.join(buckets, ["band", "bucket"]))
     pairs = shared.where("node <> center").select("node", "center").distinct()
 
-    needed = shared.select("node").distinct().join(nodes, "node").select("node", "bands", "signature", "source.doc_id", "source.text_key")
-    texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
-    chosen = texts.alias("t").join(broadcast_nodes(needed).alias("n"), F.col("t.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("t.text_key") == F.col("n.text_key")))
-    chosen = chosen.select("n.node", "n.bands", "n.signature", "t.text")
-    run = partial(_set_batch, k=k)
-    sets = chosen.mapInArrow(lambda it: in_batches(run, it), "node binary, bands array<long>, signature binary, shingles array<long>")
-    sets = checkpointed(sets.dropDuplicates(["node"]))
+    needed = checkpointed(shared.select("node").distinct().join(nodes, "node").select("node", "bands", "signature", "source"))
+    sets = checkpointed(full_sets(docs, needed, k))
 
     links = checkpointed(verified(pairs, sets, percent))
     roots = connected_components(links)
@@ -183,19 +199,13 @@ def near_duplicate_groups(docs: DataFrame, k: int = 5, percent: int = 80, bands:
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def broadcast_nodes(needed: DataFrame, rows: int = 5_000) -> DataFrame:
-    """Rows of under 1 KB each: a broadcast while they are few, else a shuffle join."""
-    needed = checkpointed(needed)
-    return F.broadcast(needed) if needed.limit(rows + 1).count() <= rows else needed
-
-
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (node, center) whose full sets are similar enough, as links (a, b)."""
     slim = sets.select("node", "shingles")
-    left = pairs.join(slim, "node").withColumnRenamed("shingles", "x")
-    right = slim.select(F.col("node").alias("center"), F.col("shingles").alias("y"))
-    both = left.join(right, "center").where(100 * F.least(F.size("x"), F.size("y")) >= percent * F.greatest(F.size("x"), F.size("y")))
-    both = both.select(F.col("node").alias("a"), F.col("center").alias("b"), F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("s"))
+    x, y = F.col("x.shingles"), F.col("y.shingles")  # by aliases, not renamed: both joins read one exchange of the sets
+    both = pairs.alias("p").join(slim.alias("x"), F.col("p.node") == F.col("x.node")).select("p.node", "p.center", x).alias("x").join(slim.alias("y"), F.col("x.center") == F.col("y.node"))
+    both = both.where(100 * F.least(F.size(x), F.size(y)) >= percent * F.greatest(F.size(x), F.size(y)))
+    both = both.select(F.col("x.node").alias("a"), F.col("x.center").alias("b"), F.size(F.array_intersect(x, y)).alias("i"), (F.size(x) + F.size(y)).alias("s"))
     return both.where(100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).select("a", "b")
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from sedgewire.llm import superminhash
-from sedgewire.llm.common import arrow_bytes
+from sedgewire.llm.common import arrow_bytes, bitmap_of
 from sedgewire.llm.components import connected_components
 from sedgewire.llm.embedding_groups import _cell_links, embedding_groups
 from sedgewire.llm.near_duplicates import drop_near_duplicates, near_duplicate_groups
@@ -254,3 +254,31 @@ def test_placing_many_vectors_among_many_pivots_takes_bounded_memory():
     )
     rows, mb = map(int, subprocess.run([sys.executable, "-c", code], check=True, capture_output=True, text=True, timeout=300).stdout.split())
     assert rows >= 20_000 and mb < 400, (rows, mb)
+
+
+def _shuffled(spark):
+    """Bytes that this session's stages have written to shuffles."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_texts_of_near_duplicates_are_not_shuffled(spark):
+    near = [f"a{k} b{k} c{k} d{k} {end}" for k in range(2_600) for end in ("x", "y")]  # 5,200 candidates: 2 of 4 shingles are shared
+    rng = random.Random(8)
+    lone = [" ".join(rng.randbytes(250).hex() for _ in range(200)) for _ in range(300)]  # 30 MB
+    docs = spark.createDataFrame(list(enumerate(near + lone)), DOC).repartition(6).localCheckpoint()
+    before = _shuffled(spark)
+    got = near_duplicate_groups(docs, k=3, percent=50, bands=24, rows=1)
+    assert {r.doc_id: r.component_id for r in got.collect()} == {k: k - k % 2 if k < 5_200 else k for k in range(5_500)}
+    assert _shuffled(spark) - before < 25e6
+
+
+@pytest.mark.parametrize("width", [15, 20])
+def test_bitmap_has_the_leading_bits_of_keys(spark, width):
+    rng = np.random.default_rng(3)
+    keys = np.concatenate([rng.integers(-(2**63), 2**63 - 1, 300), [0, -1, 2**63 - 1, -(2**63)]])
+    got = bitmap_of(spark.createDataFrame([(int(x),) for x in keys], "k long").repartition(5), "k", width)
+    want = np.zeros(1 << width, bool)
+    want[(keys.view(np.uint64) >> np.uint64(64 - width)).astype(int)] = True
+    assert (np.unpackbits(got, bitorder="little").astype(bool) == want).all()
