@@ -68,7 +68,7 @@ def bitmap_of(keys: DataFrame, column: str, width: int) -> np.ndarray:
     bit, piece = F.shiftrightunsigned(column, 64 - width), 1 << 15
     parts = keys.select(bit.alias("bit")).groupBy(F.shiftright("bit", 15).alias("at")).agg(F.bitmap_construct_agg(F.pmod("bit", F.lit(piece))).alias("bits"))
     out = np.zeros((1 << width) // 8, np.uint8)
-    for r in parts.toLocalIterator():
+    for r in parts.collect():
         own = np.frombuffer(bytes(r.bits), np.uint8)
         out[r["at"] * (piece // 8) :][: len(own)] = own
     return out
