@@ -39,10 +39,25 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder."""
+def files_for(docs: DataFrame, rows: int = 20_000, most: int = 16 << 20) -> tuple[int, int]:
+    """How many partitions a table made of these texts needs: one as wide as they are (so many rows and bytes of text each), and one of short rows (so many each). The cores at least."""
+    n, size = docs.select(F.octet_length("text").cast("long").alias("size")).agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    short = max(docs.sparkSession.sparkContext.defaultParallelism, -(-n // rows))
+    return max(short, -(-size // most)), short
+
+
+def gathered(df: DataFrame, files: int | None) -> DataFrame:
+    """At most so many partitions, if the shuffles make at least twice as many; otherwise df as it is, as gathering forgets how rows are dealt out.
+
+    Each partition that is written costs two files (one of checksums) and, where Hadoop has no native library, a process for the mode of each: for a moment that counts an executor's memory twice.
+    """
+    return df.coalesce(files) if files and 2 * files <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
+def checkpointed(df: DataFrame, files: int | None = None) -> DataFrame:
+    """Cut the lineage in the shared folder, in at most so many files where that are far fewer than df's partitions."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return gathered(df, files).checkpoint(eager=True)
 
 
 def written(df: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sedgewire.llm.common import broadcast_if_small, checkpointed, without_columns
+from sedgewire.llm.common import broadcast_if_small, checkpointed, files_for, without_columns
 
 #: Relative standard error of a sketch with 2^12 registers.
 _LG_K, _ERROR = 12, 1.04 / 64
@@ -27,14 +27,14 @@ def line_table(docs: DataFrame) -> DataFrame:
     return texts.where(trimmed != "").select("doc_id", "text_key", "site", "pos", F.xxhash64(trimmed).alias("line"), F.xxhash64(F.lit("line"), trimmed).alias("check"))
 
 
-def boilerplate_lines(lines: DataFrame, min_sites: int) -> DataFrame:
+def boilerplate_lines(lines: DataFrame, min_sites: int, files: int | None = None) -> DataFrame:
     """(line, check, first): lines on at least min_sites distinct sites, and their first place by doc_id.
 
     Copies of one text count as one, on the least of their sites: a document that is copied everywhere is no boilerplate.
     Sketches merge by aggregation, on the map side first, so a line that a third of all rows
     hold arrives as one row per task. A line in fewer than min_sites texts can't be on so many
     sites. Estimates within five standard errors (one site at least) of the threshold are
-    replaced by exact distinct counts; the others are beyond doubt.
+    replaced by exact distinct counts; the others are beyond doubt. files: as checkpointed() takes it.
     """
     per_text = lines.groupBy("line", "check", "text_key").agg(F.min("site").alias("site"), F.min(F.struct("doc_id", "text_key", "pos")).alias("first"))
     spread = per_text.groupBy("line", "check").agg(
@@ -43,7 +43,7 @@ def boilerplate_lines(lines: DataFrame, min_sites: int) -> DataFrame:
         F.min("first").alias("first"),
     )
     margin = max(1.0, 5 * _ERROR * min_sites)
-    spread = checkpointed(spread.where((F.col("n") >= min_sites) & (F.col("sites") >= min_sites - margin)))
+    spread = checkpointed(spread.where((F.col("n") >= min_sites) & (F.col("sites") >= min_sites - margin)), files)
     sure = spread.where(F.col("sites") > min_sites + margin).select("line", "check", "first")
     near = spread.where(F.col("sites") <= min_sites + margin).select("line", "check", "first")
     seen = lines.join(broadcast_if_small(near.select("line", "check")), ["line", "check"])
@@ -61,9 +61,10 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = 8) -> DataFrame:
     without a removed line stays as it is. Order of lines is kept; an empty table gives an empty result. Columns of the added names are replaced.
     """
     docs = without_columns(docs, "n_lines", "n_removed", "text_kept")
-    lines = checkpointed(line_table(docs))
-    found = boilerplate_lines(lines, min_sites)
-    places = lines.join(broadcast_if_small(checkpointed(found)), ["line", "check"]).where(~F.struct("doc_id", "text_key", "pos").eqNullSafe(F.col("first")))
+    files, _ = files_for(docs)
+    lines = checkpointed(line_table(docs), files)
+    found = boilerplate_lines(lines, min_sites, files)
+    places = lines.join(broadcast_if_small(checkpointed(found, files)), ["line", "check"]).where(~F.struct("doc_id", "text_key", "pos").eqNullSafe(F.col("first")))
     removed = places.groupBy("doc_id", "text_key").agg(F.collect_set("pos").alias("removed")).alias("r")
     keyed = docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("text_key")).alias("k")  # in one column no name can clash
     joined = keyed.join(removed, F.col("k.row.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("k.text_key") == F.col("r.text_key")), "left")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sedgewire.llm.common import WORD, broadcast_if_small, checkpointed, without_columns
+from sedgewire.llm.common import WORD, broadcast_if_small, checkpointed, files_for, without_columns
 
 _BITS, _LEVELS = 12, 5
 
@@ -58,14 +58,15 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], share: float, most:
     return per.select("source", "source_size", target.alias("target"))
 
 
-def thresholds(sizes: DataFrame, targets: DataFrame) -> DataFrame:
+def thresholds(sizes: DataFrame, targets: DataFrame, files: int | None = None) -> DataFrame:
     """(source, source_size, target, passes, threshold) from (source, size, h): every document is taken `passes` times, and once more if h < threshold.
 
     Where whole passes meet the target the threshold is 0, so texts without words aren't taken more often than the others; a source without words is taken once.
+    files: as checkpointed() takes it.
     """
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     plan = targets.withColumn("passes", passes).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
-    plan = checkpointed(plan.select("source", "source_size", "target", "passes", "rest"))
+    plan = checkpointed(plan.select("source", "source_size", "target", "passes", "rest"), files)
     state = plan.select("source", "rest", F.lit(0).cast("long").alias("prefix"))
     rows, done = sizes, None
     for level in range(_LEVELS):
@@ -77,13 +78,13 @@ def thresholds(sizes: DataFrame, targets: DataFrame) -> DataFrame:
         over = filled.join(known, filled.source.eqNullSafe(known.s)).where(F.col("upto") > F.col("rest"))
         edge = over.groupBy("source").agg(F.min(F.struct("prefix", (F.col("rest") - F.col("upto") + F.col("size")).alias("rest"), "size")).alias("e"))
         last = F.lit(int(level == _LEVELS - 1))  # one hash is left: its documents are taken if that comes nearer to the budget
-        state = checkpointed(edge.select("source", "e.rest", (F.col("e.prefix") + F.when(F.col("e.size") < 2 * F.col("e.rest"), last).otherwise(0)).alias("prefix")))
+        state = checkpointed(edge.select("source", "e.rest", (F.col("e.prefix") + F.when(F.col("e.size") < 2 * F.col("e.rest"), last).otherwise(0)).alias("prefix")), files)
         done = state.select("source", F.shiftleft("prefix", shift).alias("threshold")) if done is None else _newer(done, state, shift)
-        done = checkpointed(done)
+        done = checkpointed(done, files)
         if level == _LEVELS - 1 or state.isEmpty():
             break
         edge_of = broadcast_if_small(state.select(F.col("source").alias("s"), F.col("prefix").alias("p")))
-        rows = checkpointed(rows.join(edge_of, rows.source.eqNullSafe(edge_of.s) & (F.shiftright("h", shift) == F.col("p"))).select("source", "size", "h"))
+        rows = checkpointed(rows.join(edge_of, rows.source.eqNullSafe(edge_of.s) & (F.shiftright("h", shift) == F.col("p"))).select("source", "size", "h"), files)
     above = F.lit(1 << (_BITS * _LEVELS))
     return plan.alias("a").join(done.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")), "left").select("a.source", "source_size", "target", "passes", F.when((F.col("source_size") > 0) & (F.col("rest") <= 0), 0).otherwise(F.coalesce("threshold", above)).cast("long").alias("threshold"))
 
@@ -101,8 +102,9 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5,
     """
     docs = without_columns(docs, "size", "source_size", "target", "copies")
     sized = docs.withColumn("size", word_count(F.col("text"))).withColumn("h", mix_hash(F.col("doc_id")))
-    slim = checkpointed(sized.select("source", "size", "h"))
-    plan = broadcast_if_small(checkpointed(thresholds(slim, source_targets(slim, weights, share, most)).withColumnRenamed("source", "__source")))
+    files, short = files_for(docs)
+    slim = checkpointed(sized.select("source", "size", "h"), files)
+    plan = broadcast_if_small(checkpointed(thresholds(slim, source_targets(slim, weights, share, most), short).withColumnRenamed("source", "__source"), short))
     joined = sized.join(plan, sized.source.eqNullSafe(plan["__source"]))
     copies = F.col("passes") + F.when(F.col("h") < F.col("threshold"), 1).otherwise(0)
     return joined.select(*[sized[f"`{c}`"] for c in docs.columns], "size", "source_size", "target", copies.cast("int").alias("copies"))

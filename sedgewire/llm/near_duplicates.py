@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedgewire.llm.common import U64, arrow_bytes, bitmap_of, checkpointed, in_batches, mix64, slices
+from sedgewire.llm.common import U64, arrow_bytes, bitmap_of, broadcast_if_small, checkpointed, files_for, in_batches, mix64, slices
 from sedgewire.llm.components import connected_components
 from sedgewire.llm.superminhash import shingle_sets, signatures
 
@@ -155,26 +155,27 @@ def near_duplicate_groups(docs: DataFrame, k: int = 5, percent: int = 80, bands:
     if their signatures agree on at least percent/100 - margin of the slots (seven standard
     deviations of the estimate at 96 slots).
     """
-    base = checkpointed(sketches(docs, k, bands, rows))
+    files, short = files_for(docs)
+    base = checkpointed(sketches(docs, k, bands, rows), files)
     nodes = base.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("id"), F.min(F.struct("doc_id", "text_key")).alias("source"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
-    nodes = checkpointed(nodes)
+    nodes = checkpointed(nodes, files)
     members = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     buckets = members.groupBy("band", "bucket").agg(F.min("node").alias("center"), F.count("*").alias("n")).where("n > 1")
-    shared = checkpointed(members.join(buckets, ["band", "bucket"]))
+    shared = checkpointed(members.join(buckets, ["band", "bucket"]), files)
     pairs = shared.where("node <> center").select("node", "center").distinct()
 
-    needed = checkpointed(shared.select("node").distinct().join(nodes, "node").select("node", "bands", "signature", "source"))
-    sets = checkpointed(full_sets(docs, needed, k))
+    needed = checkpointed(shared.select("node").distinct().join(nodes, "node").select("node", "bands", "signature", "source"), files)
+    sets = checkpointed(full_sets(docs, needed, k), files)
 
-    links = checkpointed(verified(pairs, sets, percent))
-    roots = connected_components(links)
+    roots = connected_components(verified(pairs, sets, percent), files=short)
+    near = broadcast_if_small(roots)
 
-    named = shared.join(roots, "node", "left").select("band", "bucket", "n", shared.node, F.coalesce("root", shared.node).alias("root"))
+    named = shared.join(near, "node", "left").select("band", "bucket", "n", shared.node, F.coalesce("root", shared.node).alias("root"))
     same = (F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.reverse(F.hex("node")))).alias("y"))
     mixed = named.groupBy("band", "bucket", "n").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("node").alias("first"), F.min_by("root", "node").alias("main"), *same).where("lo <> hi")
     # a bucket with the very members of one of an earlier band has no pair that it would be the first to compare
     mixed = mixed.groupBy("n", "first", "x", "y").agg(F.min(F.struct("band", "bucket", "main")).alias("b")).select("b.band", "b.bucket", "b.main")
-    held = checkpointed(named.join(mixed, ["band", "bucket"]).withColumn("outside", F.col("root") != F.col("main")))
+    held = checkpointed(named.join(mixed, ["band", "bucket"]).withColumn("outside", F.col("root") != F.col("main")), files)
     out_blocks = F.ceil(F.col("s") / block_rows).cast("int")
     counts = held.where("outside").groupBy("band", "bucket").agg(F.count("*").alias("s")).select("band", "bucket", out_blocks.alias("sb"))
     all_blocks = F.greatest(F.ceil(F.col("n") / block_rows), F.lit(1)).cast("int")
@@ -187,12 +188,13 @@ def near_duplicate_groups(docs: DataFrame, k: int = 5, percent: int = 80, bands:
     split = split.select("band", "bucket", "node", "root", "outside", "bi", "bj", *roles)
     grouped = split.join(sets, "node").groupBy("band", "bucket", "bi", "bj")
     extra = grouped.applyInPandas(lambda pdf: _block_links(pdf, percent, margin), "a binary, b binary")
-    extra = checkpointed(extra)
+    extra = checkpointed(extra, files)
     if not extra.isEmpty():
         stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        roots = connected_components(stars.union(extra))
+        roots = connected_components(stars.union(extra), files=short)
+        near = broadcast_if_small(roots)
 
-    rooted = nodes.join(roots, "node", "left").select(nodes.node, "id", F.coalesce("root", nodes.node).alias("root"))
+    rooted = nodes.join(near, "node", "left").select(nodes.node, "id", F.coalesce("root", nodes.node).alias("root"))
     least = rooted.where("id is not null").groupBy("root").agg(F.min("id").alias("component_id"))
     component = rooted.join(least, "root", "left").select("node", "component_id")
     out = base.join(component, "node", "left").select("doc_id", "text_key", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedgewire.llm.common import arrow_bytes, checkpointed, hash_spans, in_batches, lower_ascii, map_arrow, with_fields, without_columns
+from sedgewire.llm.common import arrow_bytes, checkpointed, files_for, hash_spans, in_batches, lower_ascii, map_arrow, with_fields, without_columns
 
 WORDS, STRIDE = 24, 12
 #: Longer words are read as several of so many bytes.
@@ -523,7 +523,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, sample: int = 2_400, most_bytes:
     free = crc_remainder(F.col("doc_id"), 4) != 2
     marks = labels.where("toxic is not null").where(free).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("h")).where(free & F.octet_length("text").between(1, most_bytes))
-    told = checkpointed(known.select("doc_id", "h").join(marks, "doc_id").select("h", F.col("toxic").cast("int").alias("toxic")).distinct())
+    told = checkpointed(known.select("doc_id", "h").join(marks, "doc_id").select("h", F.col("toxic").cast("int").alias("toxic")).distinct(), files_for(docs)[0])
     drawn = [told.where(F.col("toxic") == y).orderBy("h").limit(n) for y, n in ((1, sample * 2 // 5), (0, sample * 3 // 5))]
     chosen = known.join(F.broadcast(drawn[0].union(drawn[1])), "h").select("h", "text", "toxic").dropDuplicates(["h"])  # `sample` keys of 12 bytes
     rows = chosen.toPandas().sort_values(["h", "text"], kind="stable")

@@ -1,11 +1,15 @@
 from collections import Counter, defaultdict
+from pathlib import Path
+from urllib.parse import urlparse
 
 import corpus_pipeline as P
 import public_tokenizers
 import tiktoken
+from pyspark.sql import functions as F
 from test_pairs import _groups, _shingles
 
 from sedgewire.llm.byte_bpe import read_ranks
+from sedgewire.llm.common import files_for, gathered, shared_folder
 from sedgewire.llm.mixing import ORACLE
 from sedgewire.oracle import duck
 
@@ -77,3 +81,32 @@ def test_stages_on_odd_rows(spark):
     assert {r.doc_id: (r.n_tokens, r.round_trip) for r in P.tokenize(spark, odd, DATA).where("doc_id is null or doc_id < 2").collect()} == {None: (0, True), 1: (0, True)}
     for _, stage in P.STAGES:
         assert stage(spark, odd.limit(0), DATA).count() == 0
+
+
+def test_stages_write_few_files_of_small_tables(spark):
+    near = [f"a{k} b{k} c{k} d{k} e{k} f{k} g{k} h{k} {end}" for k in range(100) for end in ("i", "i j")]  # 5 of 6 shingles are shared
+    rows = [(i, f"one line for all sites\n{t}", "en", f"s{i % 12}", 0) for i, t in enumerate(near)]
+    top, before = Path(urlparse(shared_folder(spark)).path), set()
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    past = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        done = spark.createDataFrame(rows, SCHEMA).repartition(40).localCheckpoint()
+        for name, stage in P.STAGES[:-1]:
+            before = set(top.rglob("rdd-*"))
+            done = stage(spark, done, DATA).localCheckpoint()
+            made = {x: len(list(x.glob("part-*"))) for x in set(top.rglob("rdd-*")) - before}
+            assert made and max(made.values()) <= 4, (name, made)  # as many as there are cores
+            if name == "minhash_near_dedup":
+                assert sorted(r.doc_id for r in done.collect()) == [0, 1, *range(2, 200, 2)]  # the first keeps the line, and so is no near copy
+    finally:
+        for k, v in past.items():
+            spark.conf.set(k, v)
+
+
+def test_large_tables_keep_their_partitions(spark):
+    docs = spark.createDataFrame([(1, "x" * 3000), (2, None), (3, "y")], "doc_id long, text string").repartition(7)
+    assert files_for(docs) == (4, 4) and files_for(docs, most=500) == (7, 4) and files_for(docs.limit(0)) == (4, 4)
+    assert files_for(spark.range(90).select(F.lit("z").alias("text")), rows=10) == (9, 9)
+    assert [gathered(docs, n).rdd.getNumPartitions() for n in (None, 2, 3)] == [7, 2, 7]  # 4 partitions in a shuffle
