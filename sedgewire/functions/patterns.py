@@ -265,7 +265,9 @@ def _joined(rows: DataFrame, path: str, patterns: DataFrame, name: str, held: in
     # a merge join, as the planner can't know that a path becomes several rows and might broadcast them
     pairs = paths.mapInArrow(_met(bitmap, width, sizes), "path string, key long").hint("merge").join(own, "key").select("path", "test", "whole")
     if not few and 0 in by_size:
-        pairs = pairs.union(paths.crossJoin(tests.where("size = 0").select("test", "whole")))
+        # for each test all paths of a partition follow, so that its glob is compiled once for them
+        bare = tests.where("size = 0").select("test", "whole").repartition(max(spark.sparkContext.defaultParallelism, -(-by_size[0].n // 10_000)))
+        pairs = pairs.union(bare.hint("shuffle_replicate_nl").crossJoin(paths).select("path", "test", "whole"))
     hit = "hit"
     while hit in {c.lower() for c in [*rows.columns, name]}:
         hit += "_"
